@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.components import Forest, components
 from loomtext.llm.runs import dealt, runs
+from loomtext.llm.sampling import least_hashed
 from loomtext.session import pinned
 
 COSINE = 0.98
@@ -110,7 +111,7 @@ def fit(classes: DataFrame, *, sample: int = SAMPLE, seed: int = 1) -> dict[int,
         out = {int(d): Quantiser(np.stack([np.frombuffer(u) for u in g["unit"]]), lists) for d, g in held.groupby("dim")}
         yield pd.DataFrame({"model": [pickle.dumps(out)]})
 
-    drawn = classes.select("dim", "unit").orderBy(F.xxhash64(F.lit(seed), "unit"), "unit").limit(sample).coalesce(1)
+    drawn = least_hashed(classes.select("dim", "unit"), F.xxhash64(F.lit(seed), "unit"), sample).coalesce(1)
     found = drawn.mapInPandas(fitted, "model binary").collect()
     return pickle.loads(bytes(found[0]["model"])) if found else {}
 

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.llm.sampling import least_hashed
 from loomtext.llm.tokens import mix, slices, token_hashes
 from loomtext.session import pinned
 
@@ -47,7 +48,8 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, *, target_docs: int = TARGET_D
     are broadcast. Each task returns at most BUCKETS sums, so what is shuffled follows tasks, not words.
     """
     good = labels.where((F.col("quality") > 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    sample = docs.select("doc_id").join(good, "doc_id", "left_semi").distinct().orderBy(F.xxhash64(F.lit(seed), "doc_id")).limit(target_docs)
+    sample = docs.select("doc_id").join(good, "doc_id", "left_semi").distinct()
+    sample = least_hashed(pinned(sample, "marked"), F.xxhash64(F.lit(seed), "doc_id"), target_docs)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample.withColumn("good", F.lit(1.0))), "doc_id", "left").select("text", F.coalesce("good", F.lit(0.0)).alias("good"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

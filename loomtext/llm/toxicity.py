@@ -20,7 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.llm.sampling import least_hashed
 from loomtext.llm.tokens import slices, token_hashes
+from loomtext.session import pinned
 
 PREFIXES = (3, 4, 5)
 DIMENSIONS = 1 << 18
@@ -121,8 +123,8 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = SAMPLE_PER_CLA
     That bound keeps the fit in one task. Labels of one document that disagree count as toxic.
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("mark"))
-    keyed = docs.select("doc_id", F.xxhash64(F.lit(seed), "text").alias("h")).join(marks, "doc_id").groupBy("h").agg(F.max("mark").alias("mark"), F.min("doc_id").alias("doc_id"))
-    sample = [keyed.where(F.col("mark") == m).orderBy("h").limit(per_class) for m in (0, 1)]
+    keyed = pinned(docs.select("doc_id", F.xxhash64(F.lit(seed), "text").alias("h")).join(marks, "doc_id").groupBy("h").agg(F.max("mark").alias("mark"), F.min("doc_id").alias("doc_id")), "labelled")
+    sample = [least_hashed(keyed.where(F.col("mark") == m), F.col("h"), per_class) for m in (0, 1)]
     picked = F.broadcast(sample[0].unionByName(sample[1]))
     texts = docs.select("doc_id", "text").join(picked, "doc_id").dropDuplicates(["doc_id"]).select("text", "mark")
 
