@@ -85,7 +85,7 @@ def worker_lengths(vocabulary: str, hot: dict[str, int] | None) -> PieceLengths:
 
 
 def frequent_lengths(docs: DataFrame, vocabulary: str, *, pieces: int = HOT_PIECES, sample_docs: int = SAMPLE_DOCS, seed: int = 3) -> dict[str, int]:
-    """Tier one: lengths of the most frequent pre-tokens of the `sample_docs` texts with the least seeded hash."""
+    """Tier one: lengths of the most frequent pre-tokens of a random sample of about `sample_docs` texts."""
 
     def pieces_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         split = regex.compile(SPLIT)
@@ -96,8 +96,9 @@ def frequent_lengths(docs: DataFrame, vocabulary: str, *, pieces: int = HOT_PIEC
         lengths = worker_lengths(vocabulary, None)
         yield pd.DataFrame([(p, lengths[p]) for p, n in seen.most_common(pieces)], columns=["piece", "n"])
 
-    sample = docs.select("text").where("text IS NOT NULL").orderBy(F.xxhash64(F.lit(seed), "text")).limit(sample_docs)
-    table = sample.coalesce(1).mapInPandas(pieces_of, "piece string, n int").toPandas()
+    texts = docs.select("text").where("text IS NOT NULL")
+    sample = texts.sample(min(1.0, sample_docs / max(1, texts.count())), seed)
+    table = sample.repartition(1).mapInPandas(pieces_of, "piece string, n int").toPandas()
     return dict(zip(table["piece"], table["n"].astype(int)))
 
 
