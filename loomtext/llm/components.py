@@ -53,15 +53,17 @@ def components(edges: DataFrame) -> DataFrame:
     shuffle, and a node of many edges is one side of a join that adaptive execution splits.
     """
     now = pinned(edges.select("a", "b").mapInPandas(_contract, EDGES).distinct(), "edges")
-    seen = None
-    while True:
+    while not _are_stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         larger = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = larger.groupBy("a").agg(F.min("b").alias("m"))
         smaller = larger.join(least, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
         now = pinned(smaller.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        seen = state
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge down, to a node that has none: then that node is its root."""
+    down = edges.groupBy("a").count()
+    return down.where("count > 1").isEmpty() and edges.join(down.select("a"), edges["b"] == down["a"], "left_semi").isEmpty()

@@ -2,7 +2,8 @@
 
 Vectors of one label and dimension are compared. A coarse quantiser, fitted on a bounded sample, gives each vector a
 home list, where it is held as the codes of its residual's subspaces and the length of what the codes miss.
-A vector probes every list that can hold a neighbour: with cosine >= t, unit vectors are at most r = sqrt(2 - 2t)
+A vector probes every list from its home on, by number, that can hold a neighbour; those before it are probed from
+the other side, so that a pair of two lists meets once: with cosine >= t, unit vectors are at most r = sqrt(2 - 2t)
 apart, so the neighbour's home is no farther than r beyond the plane between the two centroids. In a list, table
 lookups give the distance to each coded vector; those within r plus what that code misses are candidates, and their
 cosine is computed from the vectors. Neither step can lose a link, whatever the sample.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from loomtext.llm.components import Forest, components
 from loomtext.llm.runs import dealt, runs
 from loomtext.llm.sampling import least_hashed
-from loomtext.session import pinned
+from loomtext.session import pinned, small_side
 
 COSINE = 0.98
 SAMPLE = 20_000
@@ -86,11 +87,12 @@ class Quantiser:
         return home, codes.astype(np.uint8), np.sqrt((rest**2).sum(axis=1))
 
     def probes(self, x: np.ndarray, home: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) for all lists that a vector within `radius` can have as its home."""
+        """(row, list) for all lists, from each row's home on, that a vector within `radius` can have as its home."""
         square = (x**2).sum(axis=1)[:, None] + (self.centres**2).sum(axis=1)[None, :] - 2 * x @ self.centres.T
         norms = (self.centres**2).sum(axis=1)
         apart = np.sqrt(np.maximum(0, norms[home][:, None] + norms[None, :] - 2 * self.centres[home] @ self.centres.T))
-        return np.nonzero(square - square[np.arange(len(x)), home][:, None] <= 2 * radius * apart + _SLACK)
+        within = square - square[np.arange(len(x)), home][:, None] <= 2 * radius * apart + _SLACK
+        return np.nonzero(within & (np.arange(len(self.centres))[None, :] >= home[:, None]))
 
     def distances(self, queries: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances (queries, coded vectors) by table lookup."""
@@ -135,7 +137,7 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, block: int =
     shared = vectors.sparkSession.sparkContext.broadcast(models)
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each class once in its home list (side 0) and once in each list that it probes (side 1)."""
+        """Each class once in its home list (side 0) and once in each list that it probes (side 1, or 2 where it isn't at home)."""
         for batch in batches:
             for dim, group in batch.groupby("dim"):
                 model = shared.value.get(int(dim)) or Quantiser(np.zeros((1, int(dim))), 1)
@@ -146,12 +148,13 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, block: int =
                     base = part[["label", "dim", "node", "copies", "unit"]]
                     yield base.assign(cell=home, side=0, codes=[c.tobytes() for c in codes], missed=missed)
                     row, cell = model.probes(x, home, radius)
-                    yield base.iloc[row].assign(cell=cell, side=1, codes=b"", missed=0.0)
+                    yield base.iloc[row].assign(cell=cell, side=np.where(cell == home[row], 1, 2), codes=b"", missed=0.0)
 
-    places = pinned(classes.select("label", "dim", "node", "copies", "unit").mapInPandas(placed, "label string, dim int, node long, copies long, unit binary, cell int, side int, codes binary, missed double"), "places")
+    places = classes.select("label", "dim", "node", "copies", "unit").mapInPandas(placed, "label string, dim int, node long, copies long, unit binary, cell int, side int, codes binary, missed double")
     key = ["label", "dim", "cell"]
-    sizes = places.groupBy(*key).agg(F.ceil(F.sum(1 - F.col("side")) / block).cast("int").alias("lists"), F.ceil(F.sum("side") / block).cast("int").alias("asks")).where("lists > 0 AND asks > 0")
-    spread = places.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, F.col("lists")).otherwise(F.col("asks"))).cast("int"))
+    held, asking = F.sum((F.col("side") == 0).cast("int")), F.sum((F.col("side") > 0).cast("int"))
+    sizes = pinned(places.groupBy(*key).agg(F.ceil(held / block).cast("int").alias("lists"), F.ceil(asking / block).cast("int").alias("asks")).where("lists > 0 AND asks > 0"), "sizes")
+    spread = places.join(small_side(sizes), key).withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, F.col("lists")).otherwise(F.col("asks"))).cast("int"))
     spread = spread.withColumn("other", F.explode(F.expr("sequence(0, CASE side WHEN 0 THEN asks ELSE lists END - 1)")))
     spread = spread.withColumn("lo", F.expr("CASE side WHEN 0 THEN own ELSE other END")).withColumn("hi", F.expr("CASE side WHEN 0 THEN other ELSE own END"))
     cells = [*key, "lo", "hi"]
@@ -161,7 +164,7 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, block: int =
         counts: dict[int, int] = {}
         for s, e in zip(bounds[:-1], bounds[1:]):
             part = frame.iloc[s:e]
-            held, asks = part[part["side"] == 0], part[part["side"] == 1]
+            held, asks = part[part["side"] == 0], part[part["side"] > 0]
             if not len(held) or not len(asks):
                 continue
             dim, cell = int(part["dim"].iloc[0]), int(part["cell"].iloc[0])
@@ -170,6 +173,8 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, block: int =
             codes = np.stack([np.frombuffer(c, np.uint8) for c in held["codes"]])
             missed, copies = held["missed"].to_numpy(), held["copies"].to_numpy()
             held_node, ask_node = held["node"].to_numpy(), asks["node"].to_numpy()
+            guest, ask_copies = asks["side"].to_numpy() == 2, asks["copies"].to_numpy()
+            received = np.zeros(len(held), np.int64)
             for i in range(0, len(ask), 256):
                 near = model.distances(ask[i : i + 256], cell, codes) <= radius + missed[None, :] + _SLACK
                 a, b = np.nonzero(near)
@@ -180,6 +185,9 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, block: int =
                     if c:
                         counts[n] = counts.get(n, 0) + int(c)
                 forest.link(zip(ask_node[i + a].tolist(), held_node[b].tolist()))
+                received += np.bincount(b, ask_copies[i + a] * guest[i + a], minlength=len(held)).astype(np.int64)
+            for n, c in zip(held_node[received > 0].tolist(), received[received > 0].tolist()):
+                counts[n] = counts.get(n, 0) + c
         edges = forest.frame()
         edges["links"] = pd.Series(pd.NA, index=edges.index, dtype="Int64")
         yield edges

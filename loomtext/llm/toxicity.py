@@ -126,24 +126,27 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = SAMPLE_PER_CLA
     keyed = pinned(docs.select("doc_id", F.xxhash64(F.lit(seed), "text").alias("h")).join(marks, "doc_id").groupBy("h").agg(F.max("mark").alias("mark"), F.min("doc_id").alias("doc_id")), "labelled")
     sample = [least_hashed(keyed.where(F.col("mark") == m), F.col("h"), per_class) for m in (0, 1)]
     picked = F.broadcast(sample[0].unionByName(sample[1]))
-    texts = docs.select("doc_id", "text").join(picked, "doc_id").dropDuplicates(["doc_id"]).select("text", "mark")
+    texts = docs.select("doc_id", "text").join(picked, "doc_id").dropDuplicates(["doc_id"]).select("h", "text", "mark")
 
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slots, owners, marks, n = [], [], [], 0
+    def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             values = batch["text"].tolist()
             for i, j in slices(values):
-                s, o = features(values[i:j])
-                slots.append(s.astype(np.int32))
-                owners.append((o + n).astype(np.int32))
-                n += j - i
-            marks.append(batch["mark"].to_numpy())
-        if not n or len(set(np.concatenate(marks))) < 2:
+                slots, owner = features(values[i:j])
+                ends = np.searchsorted(owner, np.arange(j - i + 1))
+                yield pd.DataFrame({"h": batch["h"].iloc[i:j], "mark": batch["mark"].iloc[i:j], "slots": [slots[ends[k] : ends[k + 1]].astype(np.int32).tobytes() for k in range(j - i)]})
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([*batches, pd.DataFrame({"mark": [], "slots": []})])
+        toxic = rows["mark"].to_numpy(np.int64)
+        if len(set(toxic)) < 2:
             return
-        s, o, toxic = np.concatenate(slots), np.concatenate(owners), np.concatenate(marks)
-        yield pd.DataFrame({"model": [pickle.dumps(fit_ordinal(s, o, severity_grades(s, o, toxic)))]})
+        sets = [np.frombuffer(s, np.int32) for s in rows["slots"]]
+        slots, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        yield pd.DataFrame({"model": [pickle.dumps(fit_ordinal(slots, owner, severity_grades(slots, owner, toxic)))]})
 
-    found = texts.repartition(1).sortWithinPartitions("text").mapInPandas(fit, "model binary").collect()
+    sample = texts.mapInPandas(marked, "h long, mark int, slots binary")
+    found = sample.repartition(1).sortWithinPartitions("h", "slots").mapInPandas(fit, "model binary").collect()
     return pickle.loads(bytes(found[0]["model"])) if found else None
 
 
