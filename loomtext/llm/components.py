@@ -66,4 +66,4 @@ def components(edges: DataFrame) -> DataFrame:
 def _are_stars(edges: DataFrame) -> bool:
     """Whether every node has one edge down, to a node that has none: then that node is its root."""
     down = edges.groupBy("a").count()
-    return down.where("count > 1").isEmpty() and edges.join(down.select("a"), edges["b"] == down["a"], "left_semi").isEmpty()
+    return down.where("count > 1").isEmpty() and edges.select("b").join(down.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
