@@ -12,23 +12,24 @@ from pyspark.sql import functions as F
 
 from loomtext.llm import jaccard, mixing, quality, toxicity
 from loomtext.llm.queries import byte_bpe
-from loomtext.session import pinned, small_side
+from loomtext.session import pinned, small_batches, small_side
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose expected severity is below the rejection level."""
-    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = toxicity.train(docs, small_batches(spark).read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(toxicity.severity(model, docs["text"]) < toxicity.REJECT_FROM)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with the largest Gumbel keys: as many as look like the good ones."""
-    weight, noise, least = quality.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    weight, noise, least = quality.resample(docs, small_batches(spark).read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(F.lit(quality.SCALE) * weight + noise >= F.lit(least))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the least doc_id, once."""
+    small_batches(spark)
     found = pinned(jaccard.join(docs).select(F.col("doc_id").alias("dup_id"), F.col("text_hash").alias("dup_hash"), "is_representative"), "found")
     dropped = small_side(found.where("NOT is_representative").select("dup_id", "dup_hash").distinct())
     kept = docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["dup_id"]) & (F.md5(docs["text"].cast("binary")) == dropped["dup_hash"]), "left_anti")
@@ -43,9 +44,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, with digests of the ids and of the bytes that they decode to."""
-    codec = byte_bpe(spark)
-    ids = docs.select("doc_id", "lang", "source", codec.encode(docs["text"]).alias("ids"))
-    return ids.select("*", F.size("ids").cast("long").alias("n_tokens"), F.sha2(codec.decode(F.col("ids")), 256).alias("decoded_sha256"))
+    codec = byte_bpe(small_batches(spark))
+    both = docs.select("doc_id", "lang", "source", codec.round_trip(docs["text"]).alias("both"))
+    return both.select("doc_id", "lang", "source", "both.ids", F.size("both.ids").cast("long").alias("n_tokens"), F.sha2("both.decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("toxicity", reject_toxic), ("quality", keep_quality), ("near_duplicates", drop_near_copies), ("mixing", mix_sources), ("byte_bpe", encode)]

@@ -18,12 +18,12 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 _AS_CHARS = {b: chr(0x100 + b) for b in range(256)}
 _WORKER: dict[str, Codec] = {}
 
@@ -80,22 +80,29 @@ class Codec(dict):
             self.pieces[rank] = token
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(self.ranks))
         self.split = regex.compile(pattern)
+        self.numbers = list(range(len(self.pieces) + 1))  # cached ids share these objects
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         raw = piece.encode()
         rank = self.ranks.get(raw)
-        ids = (rank,) if rank is not None else tuple(self.model.encode("".join(map(_AS_CHARS.__getitem__, raw)), num_threads=1))
+        ids = (rank,) if rank is not None else tuple(map(self.numbers.__getitem__, self.model.encode("".join(map(_AS_CHARS.__getitem__, raw)), num_threads=1)))
         if len(self) >= CACHE_PIECES:
             self.clear()
         if len(piece) <= 100:
             self[piece] = ids
         return ids
 
-    def encode(self, text: str | None) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, self.split.findall(text or ""))), np.int32)
+    def encode(self, text: str | None) -> list[int]:
+        return list(chain.from_iterable(map(self.__getitem__, self.split.findall(text)))) if text else []
 
-    def decode(self, ids) -> bytes:
-        return b"" if ids is None else b"".join(map(self.pieces.__getitem__, ids.tolist()))
+    def decode(self, ids: list[int] | None) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, ids)) if ids else b""
+
+    def encode_all(self, texts: pa.Array) -> tuple[pa.Array, list[list[int]]]:
+        found = [self.encode(t) for t in texts.to_pylist()]
+        ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+        flat = np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]))
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), found
 
 
 def worker_codec(content: bytes, pattern: str) -> Codec:
@@ -112,24 +119,38 @@ class ByteBPE:
         self.shared = spark.sparkContext.broadcast((content, pattern))
 
     def encode(self, text: Column) -> Column:
+        """array<int>: the ids of a text column."""
         shared = self.shared
 
-        @F.pandas_udf("array<int>")
-        def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("array<int>")
+        def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             codec = worker_codec(*shared.value)
             for batch in batches:
-                yield pd.Series([codec.encode(t) for t in batch], dtype=object)
+                yield codec.encode_all(batch)[0]
 
         return encode(text)
 
     def decode(self, ids: Column) -> Column:
-        """The bytes of the ids; cast to string where they are known to be valid UTF-8."""
+        """binary: the bytes of the ids; cast to string where they are known to be valid UTF-8."""
         shared = self.shared
 
-        @F.pandas_udf("binary")
-        def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("binary")
+        def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             codec = worker_codec(*shared.value)
             for batch in batches:
-                yield pd.Series([codec.decode(i) for i in batch], dtype=object)
+                yield pa.array([codec.decode(i) for i in batch.to_pylist()], pa.binary())
 
         return decode(ids)
+
+    def round_trip(self, text: Column) -> Column:
+        """struct<ids: array<int>, decoded: binary>: both ways in one Python worker, decoded from the ids."""
+        shared = self.shared
+
+        @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
+        def there_and_back(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            codec = worker_codec(*shared.value)
+            for batch in batches:
+                ids, found = codec.encode_all(batch)
+                yield pa.StructArray.from_arrays([ids, pa.array(map(codec.decode, found), pa.binary())], ["ids", "decoded"])
+
+        return there_and_back(text)

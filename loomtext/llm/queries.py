@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm import bpe_codec, fingerprint, jaccard, mixing, pq, quality, sharding, token_count, toxicity, warc
+from loomtext.session import small_batches
 
 TOKEN_LIMIT = 512
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,8 +107,8 @@ def byte_bpe(spark: SparkSession, name: str = "byte_bpe_50k.tiktoken") -> bpe_co
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = byte_bpe(spark)
-    ids = _table(spark, sf_dir, "documents").select("doc_id", codec.encode(F.col("text")).alias("ids"))
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2(codec.decode(F.col("ids")), 256).alias("decoded_sha256"))
+    both = _table(spark, sf_dir, "documents").select("doc_id", codec.round_trip(F.col("text")).alias("both"))
+    return both.select("doc_id", F.size("both.ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("both.ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("both.decoded", 256).alias("decoded_sha256"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
