@@ -57,3 +57,15 @@ BROADCAST_ROWS = 200_000
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, with a broadcast hint only if it is counted to have at most `rows` rows; beyond that joins shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+ARROW_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> SparkSession:
+    """spark, with Arrow batches of at most `rows` rows: at the default of 10,000 a batch of long texts, its Python
+    copies and its results take hundreds of MB in each worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(rows))
+    return spark
