@@ -2,7 +2,7 @@
 
 Each byte becomes one character (U+0100 + byte), each ranked byte string a piece of such characters with score
 -rank, so sentencepiece's best-score-first merges are the rank file's lowest-rank-first merges. Normalisation
-is the identity. A text is split by the vocabulary's pattern; each pre-token is one piece if it is ranked as it
+is the identity. A text is split by the vocabulary's pattern, with letters and numbers as tiktoken's tables have them; each pre-token is one piece if it is ranked as it
 stands, else sentencepiece encodes it. Decoding maps ids back to bytes.
 
 Defined cases: a null or empty text has no ids, and no ids decode to no bytes; a null list of ids decodes like an
@@ -14,12 +14,15 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,17 @@ _AS_CHARS = {b: chr(0x100 + b) for b in range(256)}
 _WORKER: dict[str, Codec] = {}
 
 
+_LETTER_OR_NUMBER = regex.compile(r"[\p{L}\p{N}]")
+_NEITHER = "\u0378"  # unassigned in every version of Unicode
+
+
+@lru_cache
+def _class_tables() -> list[tiktoken.Encoding]:
+    """Encodings that find only letters, and only numbers, by tiktoken's own character tables."""
+    single = {bytes([b]): b for b in range(256)}
+    return [tiktoken.Encoding(f"only {c}", pat_str=rf"\p{{{c}}}", mergeable_ranks=single, special_tokens={}) for c in "LN"]
+
+
 def read_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in content.splitlines() if line)}
 
@@ -80,6 +94,8 @@ class Codec(dict):
             self.pieces[rank] = token
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(self.ranks))
         self.split = regex.compile(pattern)
+        self.settled = set(map(chr, range(128)))
+        self.shadow: dict[str, str] = {}
         self.numbers = list(range(len(self.pieces) + 1))  # cached ids share these objects
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
@@ -92,8 +108,22 @@ class Codec(dict):
             self[piece] = ids
         return ids
 
+    def pre_tokens(self, text: str) -> list[str]:
+        """Characters that the splitter's newer tables may class otherwise are split as ones of their class in tiktoken's."""
+        if not text.isascii() and not self.settled.issuperset(text):
+            for c in set(text) - self.settled - self.shadow.keys():
+                if bool(_LETTER_OR_NUMBER.match(c)) == (unicodedata.category(c)[0] in "LN"):
+                    self.settled.add(c)
+                else:
+                    letter, number = (bool(t.encode_ordinary(c)) for t in _class_tables())
+                    self.shadow[c] = "a" if letter else "1" if number else _NEITHER
+            if any(map(text.__contains__, self.shadow)):
+                changed = text.translate(str.maketrans(self.shadow))
+                return [text[m.start() : m.end()] for m in self.split.finditer(changed)]
+        return self.split.findall(text)
+
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, self.split.findall(text)))) if text else []
+        return list(chain.from_iterable(map(self.__getitem__, self.pre_tokens(text)))) if text else []
 
     def decode(self, ids: list[int] | None) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids)) if ids else b""
