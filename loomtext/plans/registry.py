@@ -1,4 +1,8 @@
-"""All registered queries and their DuckDB equivalents."""
+"""All registered queries of the engine's own operators and their DuckDB equivalents, grouped by phase."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from loomtext.plans import corpus, kernels, tokens
+
+QUERIES = corpus.QUERIES | tokens.QUERIES | kernels.QUERIES
+ORACLES = corpus.ORACLES | tokens.ORACLES | kernels.ORACLES
