@@ -9,6 +9,7 @@ from loomtext.functions import kernels as K
 from loomtext.functions.bytes import utf8_ids
 from loomtext.operators import model, sampling
 from loomtext.plans.catalog import Catalog, table
+from loomtext.session import spread
 
 HEADS, WIDTH = 4, 16
 TINY = model.Config(block_size=64, vocab_size=257, n_layer=2, n_head=2, n_embd=16)
@@ -168,7 +169,7 @@ def normal_init(spark, sf):
 def model_forward(spark, sf):
     """The tiny model over windows of every document's bytes."""
     windows = table(spark, sf, "documents").select("doc_id", utf8_ids(F.col("text")).alias("ids")).select("doc_id", "ids", F.explode(F.expr("sequence(0, greatest(size(ids) - 1, 0), 64)")).alias("start"))
-    rows = windows.select("doc_id", F.slice("ids", F.col("start") + 1, 64).alias("ids"))
+    rows = spread(windows.select("doc_id", F.slice("ids", F.col("start") + 1, 64).alias("ids")))
     scored = model.forward(rows, TINY, model.random_weights(TINY))
     return scored.groupBy("doc_id").agg(F.sum("n").alias("tokens"), F.round(F.sum(F.when(F.col("n") > 1, F.col("loss") * (F.col("n") - 1))) / F.sum(F.greatest(F.col("n") - 1, F.lit(0))), 6).alias("loss"))
 

@@ -69,3 +69,10 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> SparkSession:
     if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(rows))
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, if its source has fewer: a small file of one row group would
+    otherwise be one task. Large inputs have more and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
