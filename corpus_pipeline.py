@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm import jaccard, mixing, quality, toxicity
 from loomtext.llm.queries import byte_bpe
-from loomtext.session import pinned, small_batches, small_side
+from loomtext.session import pinned, small_batches, small_side, spread
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES[:-1]:
         docs = pinned(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

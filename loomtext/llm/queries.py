@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm import bpe_codec, fingerprint, jaccard, mixing, pq, quality, sharding, token_count, toxicity, warc
-from loomtext.session import small_batches
+from loomtext.session import small_batches, spread
 
 TOKEN_LIMIT = 512
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return rows if name == "labels" else spread(rows)
 
 
 def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
