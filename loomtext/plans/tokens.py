@@ -8,7 +8,7 @@ from loomtext.functions import bytes as B
 from loomtext.operators import bpe, packing
 from loomtext.operators.order import with_offset
 from loomtext.plans.catalog import Catalog, table
-from loomtext.session import fresh_path
+from loomtext.session import fresh_path, spread
 from loomtext.sources import sinks
 from loomtext.sources import text as sources
 
@@ -34,7 +34,7 @@ _PAIRS = f"SELECT doc_id, i - 1 AS pos, ids[i] AS a, ids[i + 1] AS b FROM (SELEC
 
 
 def _documents(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text", "lang")
+    return spread(table(spark, sf, "documents").select("doc_id", "text", "lang"))
 
 
 def _encoded(spark, sf):
