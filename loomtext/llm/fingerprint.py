@@ -54,8 +54,6 @@ def digests(text: str) -> np.ndarray:
     raw = np.array([xxhash.xxh64_intdigest(p) for p in paragraphs(text)], np.uint64)
     ordered = np.sort(raw)
     new = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(raw) else np.zeros(0, bool)
-    if new.all():
-        return ordered
     place = np.arange(len(ordered))
     return mix(ordered + (place - np.maximum.accumulate(np.where(new, place, 0))).astype(np.uint64))
 
