@@ -26,7 +26,7 @@ import tiktoken
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-CACHE_PIECES = 200_000
+CACHE_PIECES = 150_000
 _AS_CHARS = {b: chr(0x100 + b) for b in range(256)}
 _WORKER: dict[str, Codec] = {}
 

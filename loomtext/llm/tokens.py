@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
