@@ -1,10 +1,11 @@
 """N-gram Jaccard join by a MinHash LSH forest, with exact verification.
 
 A text is the set of its hashed runs of five words (letters and digits, lower case); a text of one to four words is
-one run. Signatures of TREES x DEPTH minima are the labels of TREES prefix tries. The prefix on which texts must agree
-starts at DEPTH and is shortened until the chance that a pair at the threshold shares one in some trie reaches the
-target recall. Sorted by trie and label, texts with that prefix are neighbours; those whose signatures
-agree enough make groups, and in each group every pair's Jaccard similarity is computed on its whole sets.
+one run. Signatures of TREES x DEPTH minima are the labels of TREES prefix tries, each sorted by label, so that texts
+with a common prefix are neighbours. Matched prefixes start whole, at DEPTH minima, and are shortened one by one, for
+texts that longer ones haven't joined, down to the length at which the chance that a pair at the threshold shares one
+in some trie reaches the target recall. Texts that meet and whose signatures agree enough make groups, and in
+each group every pair's Jaccard similarity is computed on its whole sets.
 
 Texts with equal sets are one class, compared once. Pairs are never rows: tasks return link counts and spanning
 forests, so a group of n near copies costs n rows. Groups over a block are cut into a grid of blocks.
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,7 @@ THRESHOLD = 0.8
 TREES = 20
 DEPTH = 8
 RECALL = 0.9995
+SMALL = 64
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -97,31 +99,55 @@ def sign(docs: DataFrame, width: int) -> DataFrame:
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def near_groups(classes: DataFrame, *, trees: int, depth: int, threshold: float) -> DataFrame:
-    """Edges of a spanning forest of classes that share a trie prefix and whose signatures agree enough.
+def trie_edges(signs: np.ndarray, labels: np.ndarray, wanted: Callable[[int, np.ndarray], np.ndarray], shortest: int, least: float) -> Iterator[tuple[int, int]]:
+    """Edges that span what one subtree of a trie joins; rows are sorted by label and share `shortest` minima of it.
 
-    Enough is the threshold less five standard deviations of the agreement of a pair at the threshold.
+    From the whole label down to that length, rows with a common prefix are compared if a longer one hasn't compared
+    or joined them. They are joined if their signatures agree in a share of `least`; `wanted` masks the rows to compare with one.
+    """
+    depth = labels.shape[1]
+    common = np.cumprod(labels[1:] == labels[:-1], axis=1).sum(axis=1)
+    joined, child = np.arange(len(signs)), np.arange(len(signs))
+    for length in range(depth, shortest - 1, -1):
+        starts = np.concatenate([[0], np.flatnonzero(common < length) + 1, [len(signs)]])
+        for s, e in zip(starts[:-1], starts[1:]):
+            for i in range(s, e - 1):
+                rest = i + 1 + np.flatnonzero((joined[i + 1 : e] != joined[i]) & (child[i + 1 : e] != child[i]))
+                if len(rest):
+                    rest = rest[wanted(i, rest)]
+                    near = rest[(signs[rest] == signs[i]).mean(axis=1) >= least]
+                    if len(near):
+                        yield from ((i, int(x)) for x in near)
+                        joined[np.isin(joined, joined[near])] = joined[i]
+        child = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+
+
+def near_groups(classes: DataFrame, *, trees: int, depth: int, shortest: int, threshold: float) -> DataFrame:
+    """Edges of a spanning forest of classes that share `shortest` minima of a trie and whose signatures agree enough.
+
+    Enough is the threshold less five standard deviations of the agreement of a pair at the threshold. A subtree of
+    a trie is in one task, or in the tasks of its grid of blocks.
     """
     width = trees * depth
     least = threshold - 5 * math.sqrt(threshold * (1 - threshold) / width)
-    prefix = F.expr(f"transform(sequence(0, {trees - 1}), t -> xxhash64(substring(signature, int(t * {2 * depth} + 1), {2 * depth}), t))")
+    prefix = F.expr(f"transform(sequence(0, {trees - 1}), t -> xxhash64(substring(signature, int(t * {2 * depth} + 1), {2 * shortest}), t))")
     labels = classes.select("node", F.posexplode(prefix).alias("tree", "label"))
     key = ["tree", "label", "lo", "hi"]
 
     def match(frame: pd.DataFrame, bounds: np.ndarray) -> Iterator[pd.DataFrame]:
         signs = np.frombuffer(b"".join(frame["signature"]), np.uint16).reshape(-1, width)
         node, own = frame["node"].to_numpy(), frame["own"].to_numpy()
-        lo, hi = frame["lo"].to_numpy(), frame["hi"].to_numpy()
+        lo, hi, tree = frame["lo"].to_numpy(), frame["hi"].to_numpy(), frame["tree"].to_numpy()
         forest = Forest()
         for size in np.unique(np.diff(bounds)):
             starts = bounds[:-1][np.diff(bounds) == size]
-            if size > 64:
+            if size > SMALL:
                 for s in starts:
-                    for i in range(s, s + size - 1):
-                        rest = np.arange(i + 1, s + size)
-                        good = rest[((signs[i + 1 : s + size] == signs[i]).mean(axis=1) >= least) & crossing(own[i], own[rest], lo[i], hi[i])]
-                        forest.link((int(node[i]), int(x)) for x in node[good])
-            elif size > 1:
+                    part, cell = signs[s : s + size], own[s : s + size]
+                    labels = part[:, tree[s] * depth : (tree[s] + 1) * depth]
+                    wanted = lambda i, rest, cell=cell, s=s: crossing(cell[i], cell[rest], lo[s], hi[s])
+                    forest.link((int(node[s + i]), int(node[s + j])) for i, j in trie_edges(part, labels, wanted, shortest, least))
+            elif size > 1:  # so few that all pairs of many subtrees are compared at once
                 first, second = np.triu_indices(size, 1)
                 for some in np.array_split(starts, max(1, len(starts) * len(first) // 50_000)):
                     a, b = (some[:, None] + first).ravel(), (some[:, None] + second).ravel()
@@ -131,7 +157,8 @@ def near_groups(classes: DataFrame, *, trees: int, depth: int, threshold: float)
 
     # Signatures join only the labels that two classes share.
     shared = gridded(labels, ["tree", "label"], "node").join(classes.select("node", "signature"), "node")
-    return dealt(shared, key).mapInPandas(lambda batches: runs(batches, key, match), "a long, b long")
+    leaf = F.expr(f"substring(signature, int(tree * {2 * depth} + 1), {2 * depth})")
+    return dealt(shared.withColumn("leaf", leaf), key, "leaf").drop("leaf").mapInPandas(lambda batches: runs(batches, key, match), "a long, b long")
 
 
 def crossing(own_a, own_b, lo, hi):
@@ -184,12 +211,12 @@ def verified(docs: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
 def join(docs: DataFrame, *, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
     """For every row: doc_id, text_hash, class_id (the least doc_id of its class), n_links (other rows it links to),
     is_representative (the row that stands for its class; repeated rows of it too)."""
-    depth = matched_depth(threshold, trees, depth, recall)
+    shortest = matched_depth(threshold, trees, depth, recall)
     rows = pinned(sign(docs, trees * depth), "signed")
     # One row for each set of shingles. Node numbers are fixed by being written.
     classes = rows.where("set_hash IS NOT NULL").groupBy("set_hash").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.count("*").alias("copies"), F.min("signature").alias("signature"))
     classes = pinned(classes.select("set_hash", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"), "copies", "signature", F.monotonically_increasing_id().alias("node")), "classes")
-    groups = components(near_groups(classes, trees=trees, depth=depth, threshold=threshold))
+    groups = components(near_groups(classes, trees=trees, depth=depth, shortest=shortest, threshold=threshold))
     # A representative that is repeated, doc_id and all, must come back once.
     repeated = not rows.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty()
     texts = docs.select("doc_id", "text").dropDuplicates(["doc_id", "text"]) if repeated else docs.select("doc_id", "text")

@@ -24,9 +24,9 @@ def gridded(rows: DataFrame, key: list[str], by: str, block: int = BLOCK) -> Dat
     return other.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other")
 
 
-def dealt(rows: DataFrame, key: list[str]) -> DataFrame:
-    """rows with those of equal key side by side."""
-    return rows.repartition(*key).sortWithinPartitions(*key)
+def dealt(rows: DataFrame, key: list[str], *then: str) -> DataFrame:
+    """rows with those of equal key side by side, sorted by `then`."""
+    return rows.repartition(*key).sortWithinPartitions(*key, *then)
 
 
 def runs(batches: Iterator[pd.DataFrame], key: list[str], whole: Callable[[pd.DataFrame, np.ndarray], Iterator[pd.DataFrame]]) -> Iterator[pd.DataFrame]:

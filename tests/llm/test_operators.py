@@ -299,13 +299,33 @@ def test_join_in_blocks_and_odd_rows(spark, monkeypatch):
 
     words = [f"w{i}" for i in range(200)]
     texts = [" ".join([*words[:i], f"y{i}", *words[i + 1 :]]) for i in range(30)]
-    found = jaccard.join(make(spark, texts)).collect()
-    assert {r["class_id"] for r in found} == {0} and {r["n_links"] for r in found} == {29}
+    for small in (64, 1):
+        monkeypatch.setattr(jaccard, "SMALL", small)
+        found = jaccard.join(make(spark, texts)).collect()
+        assert {r["class_id"] for r in found} == {0} and {r["n_links"] for r in found} == {29}
     repeated = jaccard.join(make(spark, [texts[0], texts[0], texts[1], None, ""], ids=[1, 1, None, None, 4])).collect()
     assert sorted(r["n_links"] for r in repeated) == [0, 0, 2, 2, 2]
     assert jaccard.join(make(spark, [])).count() == 0
 
 
+def test_tries_join_what_all_pairs_would():
+    rng = np.random.default_rng(4)
+    depth, shortest, least = 8, 5, 0.64
+    for kinds in (1, 3, 40):
+        base = rng.integers(0, 1 << 16, (kinds, 20 * depth)).astype(np.uint16)
+        signs = base[rng.integers(0, kinds, 150)]
+        signs = np.where(rng.random(signs.shape) < rng.choice([0.02, 0.2, 0.4], (150, 1)), rng.integers(0, 1 << 16, signs.shape), signs).astype(np.uint16)
+        signs[:, :shortest] = 7  # one subtree of the first trie
+        signs[:, shortest:depth] = rng.integers(0, 2, (150, depth - shortest))
+        signs = signs[np.lexsort(signs[:, :depth].T[::-1])]
+        own = rng.integers(0, 2, 150)
+        for wanted in (lambda i, rest: np.ones(len(rest), bool), lambda i, rest: own[rest] != own[i]):
+            tries, brute = components.Forest(), components.Forest()
+            tries.link(jaccard.trie_edges(signs, signs[:, :depth], wanted, shortest, least))
+            brute.link((i, j) for i in range(150) for j in range(i + 1, 150) if wanted(i, np.array([j]))[0] and (signs[i] == signs[j]).mean() >= least)
+            assert [tries.root(i) for i in range(150)] == [brute.root(i) for i in range(150)]
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, j) for j in range(1001, 1400)]
     random.Random(1).shuffle(edges)
