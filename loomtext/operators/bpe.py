@@ -97,3 +97,15 @@ def decode_join(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     checked = F.when(F.col("bytes").isNull(), F.raise_error(F.concat(F.lit("unknown token id "), F.col("id").cast("string")))).otherwise(F.hex("bytes"))
     ordered = F.array_sort(F.collect_list(F.struct("pos", checked.alias("h"))))
     return known.groupBy("doc_id").agg(F.unhex(F.array_join(F.transform(ordered, lambda e: e["h"]), "")).alias("bytes"))
+
+
+def decode_lookup(docs: DataFrame, ids: Column, vocab: DataFrame) -> DataFrame:
+    """docs with `bytes`: each row's ids looked up in the whole vocabulary (ids 0 to n - 1) and joined in order.
+
+    The vocabulary is one array, bounded by its size; a document is decoded where it is, so no token is shuffled and
+    rows of one doc_id stay apart. An unknown id raises; no ids are no bytes, null ids null.
+    """
+    words = vocab.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.hex("bytes").alias("h")))), lambda e: e["h"]).alias("words"))
+    unknown = lambda i: F.raise_error(F.concat(F.lit("unknown token id "), F.coalesce(i.cast("string"), F.lit("null"))))
+    looked_up = docs.withColumn("__words", words.scalar()).withColumn("__found", F.transform(ids, lambda i: F.coalesce(F.get("__words", i), unknown(i))))
+    return looked_up.withColumn("bytes", F.unhex(F.array_join("__found", ""))).drop("__words", "__found")

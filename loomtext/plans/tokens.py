@@ -143,6 +143,13 @@ def decode_by_join(spark, sf):
     return bpe.decode_join(tokens, bpe.vocabulary(spark, MERGES)).select("doc_id", F.md5("bytes").alias("digest"))
 
 
+@_C.add("SELECT doc_id, md5(text) AS digest FROM documents")
+def decode_all_by_lookup(spark, sf):
+    """Every document by lookup in the vocabulary; decode_by_join holds every tenth, as its SQL does."""
+    decoded = bpe.decode_lookup(_encoded(spark, sf), B.ids_of(F.col("s")), bpe.vocabulary(spark, MERGES))
+    return decoded.select("doc_id", F.md5("bytes").alias("digest"))
+
+
 @_C.add("SELECT count(*)::BIGINT AS docs, 0::BIGINT AS failures FROM documents")
 def roundtrip_failures(spark, sf):
     back = B.decode_string(F.col("s"), MERGES)

@@ -5,6 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SF
+
 from loomtext.functions import bytes as B
 from loomtext.operators import bpe, model, order, packing
 from loomtext.sources import sinks
@@ -104,6 +106,24 @@ def test_unknown_id_raises(spark):
         bpe.decode_join(tokens, bpe.vocabulary(spark, [])).collect()
 
 
+def test_lookup_decodes_every_document(spark):
+    merges = [(97, 97, 256), (256, 97, 257)]
+    ids = [None if i == 4 else i // 2 for i in range(len(TEXTS))]  # null and repeated ids
+    docs = spark.createDataFrame(list(zip(ids, TEXTS)), "doc_id long, text string")
+    encoded = docs.withColumn("ids", B.ids_of(B.encode_string(B.byte_string(F.col("text")), merges)))
+    found = bpe.decode_lookup(encoded, F.col("ids"), bpe.vocabulary(spark, merges)).collect()
+    plain = lambda rows: sorted(map(repr, rows))
+    assert plain((r["doc_id"], None if r["bytes"] is None else bytes(r["bytes"])) for r in found) == plain((i, None if t is None else t.encode()) for i, t in zip(ids, TEXTS))
+    with pytest.raises(Exception, match="unknown token id 999"):
+        bpe.decode_lookup(spark.createDataFrame([(1, [999])], "doc_id long, ids array<int>"), F.col("ids"), bpe.vocabulary(spark, [])).collect()
+
+
+def test_every_document_is_decoded(spark):
+    from loomtext.plans import registry
+
+    assert registry.QUERIES["decode_all_by_lookup"](spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
 def test_files(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         sources.read_text(spark, str(tmp_path / "none.txt")).collect()
