@@ -1,7 +1,8 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text's paragraphs are its lines; a line of over LONG characters is cut at sentence ends, and a sentence every LONG
-characters. Each paragraph, with its repeat number in the text, is a 64-bit digest. A sketch of m cells adds every
+A text's paragraphs are its lines, cut at sentence ends, and in them runs of a few words. Runs are cut at places chosen
+by a hash of the characters around them, so an edit only changes the paragraphs that it touches. Runs are shorter
+where a text begins (RADII), so that short texts have several as well. Each paragraph, with its repeat number in the text, is a 64-bit digest. A sketch of m cells adds every
 digest to one cell of each of three subtables: count, sum of digests and sum of their check hashes, modulo 2^64.
 Two sketches of one size subtract cell by cell; what both texts hold cancels. Peeling then recovers the digests of
 differing paragraphs from cells of one digest. If it gets stuck, both texts are sketched anew in four times the cells.
@@ -17,7 +18,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -33,19 +33,52 @@ CELLS = 15
 GROW = 4
 BUCKET_BYTES = 16 << 20
 _BATCH_CHARS = 1 << 20
-_SENTENCE = re.compile(r"(?<=[.!?]) ")
+#: (up to this many characters from the start, radius): a place is cut if its hash is least among the places around it.
+RADII = ((64, 0), (512, 1), (1 << 62, 3))
+LONG_WORD = 16
+NEAR = 4
+_STOPS = np.array([ord(c) for c in ".!?"], np.uint32)
 RESULT = "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+def _cuts(text: str) -> np.ndarray:
+    """Where paragraphs start, but the first: after line and sentence ends, and at the least hashes of their surroundings.
+
+    Places are word starts; in words of over LONG_WORD characters (text without spaces) a hashed quarter of all characters.
+    """
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    n = len(codes)
+    end, space = codes == 10, codes == 32
+    end[1:] |= space[1:] & np.isin(codes[:-1], _STOPS)
+    lengths = np.diff(np.flatnonzero(np.concatenate([[True], (codes == 10) | space, [True]]))) - 1
+    inside = np.repeat(lengths > LONG_WORD, lengths + 1)[:n]
+    at = np.flatnonzero((end | space | inside)[:-1]) + 1
+    padded = np.concatenate([np.zeros(NEAR, np.uint64), codes.astype(np.uint64), np.zeros(NEAR, np.uint64)])
+    h = np.zeros(len(at), np.uint64)
+    for k in range(2 * NEAR):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + padded[at + k]
+    h = mix(h)
+    kept = (end | space)[at - 1] | (h % np.uint64(4) == 0)
+    at, h = at[kept], h[kept] | np.uint64(1)
+    h[end[at - 1]] = 0
+    radius = np.array([r for _, r in RADII])[np.searchsorted([to for to, _ in RADII], at, side="right")]
+    most = max(r for _, r in RADII)
+    around = np.pad(h, most, constant_values=np.uint64(0xFFFFFFFFFFFFFFFF))
+    least = np.ones(len(at), bool)
+    for k in range(1, most + 1):
+        before, after = around[most - k : most - k + len(h)], around[most + k : most + k + len(h)]
+        least &= (k > radius) | (h < before) & (h <= after)
+    return at[least | (h == 0)]
+
+
 def paragraphs(text: str) -> list[str]:
+    """The parts of a text without line ends; only runs of equal surroundings get over LONG characters, and are cut there."""
     out: list[str] = []
-    for line in text.split("\n"):
-        if len(line) <= LONG:
-            if line:
-                out.append(line)
-        else:
-            for sentence in _SENTENCE.split(line):
-                out.extend(sentence[i : i + LONG] for i in range(0, len(sentence), LONG))
+    start = 0
+    for stop in [*(_cuts(text).tolist() if text else ()), len(text)]:
+        part = text[start:stop].removesuffix("\n")
+        out.extend(part[i : i + LONG] for i in range(0, len(part), LONG))
+        start = stop
     return out
 
 
@@ -147,9 +180,12 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - third] + following[:third]
 
 
-def compare(texts: list[str], following: list[str]) -> pd.DataFrame:
+def compare(texts: list[str]) -> pd.DataFrame:
+    """A row for each text but the last, which only follows the one before it."""
+    texts, following = texts[:-1], texts[1:]
     changed = [edited(t, f) for t, f in zip(texts, following)]
-    own, new, after = ([digests(t) for t in group] for group in (texts, changed, following))
+    own, new = ([digests(t) for t in group] for group in ([*texts, following[-1]], changed))
+    own, after = own[:-1], own[1:]
     a, b, c = (Sketches(group, CELLS) for group in (own, new, after))
     return pd.DataFrame({
         "n_chars": [len(t) for t in texts],
@@ -210,7 +246,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 ended = bool(last)
                 if held >= _BATCH_CHARS and len(texts) > 1 or ended:
                     if len(texts) > 1:
-                        yield pd.concat([pd.Series(ids[:-1], name="doc_id", dtype=object), compare(texts[:-1], texts[1:])], axis=1)
+                        yield pd.concat([pd.Series(ids[:-1], name="doc_id", dtype=object), compare(texts)], axis=1)
                     ids, texts, held = ids[-1:], texts[-1:], len(text)
 
     rows = in_descending_order(docs).withColumn("doc_id", F.col("doc_id").cast("string"))

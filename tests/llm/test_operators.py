@@ -86,6 +86,20 @@ def test_fingerprint_stretches_join_up(spark, monkeypatch):
     assert len(found) == 80
 
 
+@pytest.mark.parametrize("text", ["A short text of one line, edited in its last third only", "seven words are in this short text", "漢字" + "".join(chr(0x4E00 + i * 37 % 999) for i in range(80))])
+def test_short_texts_share_paragraphs_with_their_edits(text):
+    near = fingerprint.compare([text, "z" * len(text)])["near_edited"][0]
+    assert 0.25 <= near < 1
+
+
+def test_an_early_insertion_moves_few_paragraphs():
+    draw = random.Random(4)
+    for text in (" ".join(str(draw.randrange(10**5)) for _ in range(500)), "".join(draw.choice("abcdefgh") for _ in range(3000))):
+        a, b = (Counter(fingerprint.paragraphs(t)) for t in (text, text[:100] + "inserted" + text[100:]))
+        assert sum((a & b).values()) / sum((a | b).values()) > 0.8
+        assert "".join(fingerprint.paragraphs(text)) == text
+
+
 # Sharding
 
 
