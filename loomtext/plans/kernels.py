@@ -165,13 +165,21 @@ def normal_init(spark, sf):
     return plain.unionByName(scaled).select("name", F.size("values").alias("n"), F.sqrt(K.total(F.transform("values", lambda v: v * v)) / F.size("values")).alias("std"))
 
 
+def score_windows(docs):
+    """(doc_id, tokens, loss) of (doc_id, ids): windows are a block and the token after it, which the next one starts with."""
+    block = TINY.block_size
+    windows = docs.select("doc_id", "ids", F.explode(F.expr(f"sequence(0, greatest(size(ids) - 2, 0), {block})")).alias("start"))
+    rows = spread(windows.select("doc_id", F.slice("ids", F.col("start") + 1, block + 1).alias("ids")))
+    scored = model.forward(rows, TINY, model.random_weights(TINY), ahead=True)
+    targets = F.sum(F.greatest(F.col("n") - 1, F.lit(0)))
+    return scored.groupBy("doc_id").agg((targets + F.max(F.least("n", F.lit(1)))).alias("tokens"), F.round(F.sum(F.when(F.col("n") > 1, F.col("loss") * (F.col("n") - 1))) / targets, 6).alias("loss"))
+
+
 @_C.add()
 def model_forward(spark, sf):
-    """The tiny model over windows of every document's bytes."""
-    windows = table(spark, sf, "documents").select("doc_id", utf8_ids(F.col("text")).alias("ids")).select("doc_id", "ids", F.explode(F.expr("sequence(0, greatest(size(ids) - 1, 0), 64)")).alias("start"))
-    rows = spread(windows.select("doc_id", F.slice("ids", F.col("start") + 1, 64).alias("ids")))
-    scored = model.forward(rows, TINY, model.random_weights(TINY))
-    return scored.groupBy("doc_id").agg(F.sum("n").alias("tokens"), F.round(F.sum(F.when(F.col("n") > 1, F.col("loss") * (F.col("n") - 1))) / F.sum(F.greatest(F.col("n") - 1, F.lit(0))), 6).alias("loss"))
+    """The tiny model over windows of every document's bytes; each token after a document's first is a target once."""
+    windows = table(spark, sf, "documents").select("doc_id", F.coalesce(utf8_ids(F.col("text")), F.array().cast("array<int>")).alias("ids"))
+    return score_windows(windows)
 
 
 @_C.add()

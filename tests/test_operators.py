@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,6 +155,23 @@ def test_model(spark):
         model.match_checkpoint(own, other).collect()
 
 
+def test_every_target_is_scored_once(spark):
+    from loomtext.plans.kernels import TINY, score_windows
+
+    draw = random.Random(6)
+    weights, block = model.random_weights(TINY), TINY.block_size
+    texts = {n: [draw.randrange(256) for _ in range(n)] for n in (0, 1, 2, 63, 64, 65, 66, 128, 129, 200)}
+    found = {r["doc_id"]: r for r in score_windows(spark.createDataFrame(list(texts.items()), "doc_id long, ids array<int>")).collect()}
+    for n, ids in texts.items():
+        losses = []
+        for start in range(0, n - 1, block):
+            x, y = ids[start : start + block], ids[start + 1 : start + block + 1]
+            z = model.logits(TINY, weights, np.array([x[: len(y)]]))[0]
+            losses += [np.log(np.exp(row).sum()) - row[t] for row, t in zip(z, y)]
+        assert len(losses) == max(0, n - 1) and found[n]["tokens"] == n
+        assert found[n]["loss"] == (pytest.approx(np.mean(losses), abs=1e-5) if losses else None)
+
+
 def test_stream(spark, tmp_path):
     merges = [(97, 97, 256)]
     rows = spark.createDataFrame([(1, "aaa", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
