@@ -6,6 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAX_ID = 55_295
+#: Each merge nests one more call in the plan; longer tables take operators.bpe.Codec.
+MAX_FOLDED = 64
+
+
+def _foldable(merges: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    if len(merges) > MAX_FOLDED:
+        raise ValueError(f"{len(merges)} merges are over the {MAX_FOLDED} that a plan can nest")
+    return merges
 
 
 def byte_string(text: Column) -> Column:
@@ -40,7 +48,7 @@ def merge_pair(string: Column, a: int, b: int, new: int) -> Column:
 
 def encode_string(string: Column, merges: list[tuple[int, int, int]]) -> Column:
     """Merges (a, b, id) in rank order: a merge only makes pairs of later ranks, so one pass is enough."""
-    for a, b, new in merges:
+    for a, b, new in _foldable(merges):
         string = merge_pair(string, a, b, new)
     return string
 
@@ -49,6 +57,6 @@ def decode_string(string: Column, merges: list[tuple[int, int, int]]) -> Column:
     """Text of an encoded string, by the merges in reverse; invalid UTF-8 becomes U+FFFD. Unknown ids raise."""
     top = 255 + len(merges)
     checked = F.when(F.exists(ids_of(string), lambda i: i > top), F.raise_error(F.lit(f"a token id is above {top}"))).otherwise(string)
-    for a, b, new in reversed(merges):
+    for a, b, new in reversed(_foldable(merges)):
         checked = F.replace(checked, F.lit(chr(new)), F.lit(chr(a) + chr(b)))
     return F.make_valid_utf8(F.encode(checked, "ISO-8859-1").cast("string"))

@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.functions import bytes as B
-from loomtext.session import pinned
+from loomtext.functions import merging as M
+from loomtext.session import pinned, small_side, unpinned
+
+#: Bytes or ids that a task's arrays hold at once; a longer text is held whole.
+SLICE = 1 << 21
+#: Pairs that a round of training starts with and ends with at most, and distinct run ids that it learns from.
+HOT_PAIRS, MAX_HOT, RUN_IDS = 256, 1 << 16, 1 << 21
+ID = np.dtype(np.uint16)
+MAX_MERGES = 65_536 - 256
+PIECE_SPAN = 1 << 32
+ROWS = "doc long, base long, weight long, ids binary"
 
-#: The widely published split pattern of byte-level pre-tokenisers, and one that keeps Devanagari and
-#: Kannada letters with their vowel signs, with dandas apart.
+#: The widely published split pattern of byte-level pre-tokenisers, and one that keeps Devanagari
+#: (U+0900-097F) and Kannada (U+0C80-0CFF) words with their vowel signs, splits dandas (U+0964-0965) and lone
+#: punctuation off, and ignores case.
 GPT2_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-INDIC_SPLIT = r"(?i)'s|'t|'re|'ve|'m|'ll|'d| ?[\p{L}ऀ-ॣ०-ॿಀ-೿]+| ?\p{N}+| ?[।॥]| ?[^\s\p{L}\p{N}ऀ-ॿಀ-೿]+|\s+(?!\S)|\s+"
+INDIC_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\b[\p{L}\u0900-\u0963\u0966-\u097F]+\b| ?\b[\p{L}\u0C80-\u0C9E\u0CA0-\u0CFF]+\b"
+INDIC_SIGNS = r" ?\p{N}+| ?[.,!?;:'\"-]| ?[\u0964-\u0965]| ?[\u0C9E-\u0C9F]| ?[^\s\p{L}\p{N}\u0900-\u097F\u0C80-\u0CFF]+|\s+(?!\S)|\s+"
+#: What the pattern leaves between its matches (letters beside digits, say) are pieces too.
+INDIC_SPLIT = f"(?i)(?:{INDIC_WORDS}|{INDIC_SIGNS})|(?:(?!{INDIC_WORDS}|{INDIC_SIGNS})[\\s\\S])+"
 
 
 def pre_tokens(text: Column, pattern: str = GPT2_SPLIT) -> Column:
-    """The pieces of a text; together they are the text."""
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    """The pieces of a text; together they are the text. Classes are Unicode's, white space and word ends included."""
+    return F.regexp_extract_all(text, F.lit(f"(?U){pattern}"), F.lit(0))
 
 
 def positioned_pairs(docs: DataFrame, ids: Column) -> DataFrame:
@@ -24,53 +42,277 @@ def positioned_pairs(docs: DataFrame, ids: Column) -> DataFrame:
     return docs.select("doc_id", F.posexplode(B.pairs_of(ids)).alias("pos", "p")).select("doc_id", "pos", "p.a", "p.b")
 
 
-def pair_counts(docs: DataFrame, ids: Column) -> DataFrame:
-    """(a, b, cnt): overlapping occurrences count. Partial counts go through the shuffle, not pairs."""
-    return docs.select(F.explode(B.pairs_of(ids)).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("cnt"))
+def pair_counts(docs: DataFrame, text: str = "text", *, by_document: bool = False) -> DataFrame:
+    """(a, b, cnt) of adjacent UTF-8 bytes, overlapping occurrences counted; with doc_id if `by_document`.
 
+    A task sums what it reads into a table of 65,536 cells (or a document's own pairs); only sums are shuffled.
+    """
 
-def top_pair(docs: DataFrame, ids: Column, weight: Column | None = None) -> DataFrame:
-    """(a, b, cnt, first_doc, first_pos): the most frequent pair; of equals the one that occurs first.
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells = np.zeros(65_536, np.int64)
+        for batch in batches:
+            for _, ids, bounds in _byte_slices(batch["text"].tolist()):
+                at = M.adjacent(bounds)
+                cells += np.bincount(ids[at] * 256 + ids[at + 1], minlength=65_536)
+        seen = np.flatnonzero(cells)
+        yield pd.DataFrame({"a": seen >> 8, "b": seen & 255, "cnt": cells[seen]})
+
+    def apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i, ids, bounds in _byte_slices(batch["text"].tolist()):
+                at = M.adjacent(bounds)
+                owner = np.searchsorted(bounds, at, side="right") - 1
+                cell, n = np.unique(owner * 65_536 + ids[at] * 256 + ids[at + 1], return_counts=True)
+                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[i + cell // 65_536].array, "a": cell // 256 % 256, "b": cell % 256, "cnt": n})
+
+    if by_document:
+        return docs.select("doc_id", F.col(text).alias("text")).mapInPandas(apart, "doc_id long, a int, b int, cnt long")
+    return docs.select(F.col(text).alias("text")).mapInPandas(whole, "a int, b int, cnt long").groupBy("a", "b").agg(F.sum("cnt").alias("cnt"))
+
+
+def _byte_slices(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, ids, bounds) for stretches of about SLICE bytes."""
+    raw = [(t or "").encode("utf-8") for t in texts]
+    for i, j in _slices([len(r) for r in raw]):
+        yield i, np.frombuffer(b"".join(raw[i:j]), np.uint8).astype(np.int64), M.bounds_of([len(r) for r in raw[i:j]])
+
+
+def _slices(lengths: Sequence[int]) -> Iterator[tuple[int, int]]:
+    start, held = 0, 0
+    for i, n in enumerate(lengths):
+        held += n
+        if held >= SLICE:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(lengths):
+        yield start, len(lengths)
+
+
+def _rows_in(batch: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """(rows, ids, bounds) of stretches of a batch of encoded rows."""
+    for i, j in _slices([len(x) // ID.itemsize for x in batch["ids"]]):
+        some = batch.iloc[i:j]
+        yield some, np.frombuffer(b"".join(some["ids"]), ID).astype(np.int64), M.bounds_of([len(x) // ID.itemsize for x in some["ids"]])
+
+
+def encoded_rows(docs: DataFrame) -> DataFrame:
+    """(doc, base, weight, ids) of the texts of docs (doc_id, text): UTF-8 bytes as ids, of weight 1."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids = [np.frombuffer(t.encode("utf-8"), np.uint8).astype(ID).tobytes() for t in batch["text"]]
+            yield batch[["doc", "base", "weight"]].assign(ids=ids)
+
+    texted = docs.where("text IS NOT NULL")
+    for name, default in (("doc", F.coalesce("doc_id", F.lit(-(1 << 63)))), ("base", F.lit(0)), ("weight", F.lit(1))):
+        texted = texted if name in docs.columns else texted.withColumn(name, default.cast("long"))
+    return texted.select("doc", "base", "weight", "text").mapInPandas(read, ROWS)
+
+
+def pair_sums(rows: DataFrame) -> DataFrame:
+    """(a, b, cnt, doc, pos) of encoded rows: a pair's weight and its first place."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for some, ids, bounds in _rows_in(batch):
+                # Rows in the order of their places: one number then stands for both parts of a place.
+                order = np.lexsort((some["base"], some["doc"]))
+                rank = np.empty(len(some), np.int64)
+                rank[order] = np.arange(len(some))
+                code, n, least = M.sum_pairs(ids, bounds, some["weight"].to_numpy(), rank << 32)
+                row = order[least >> 32]
+                yield pd.DataFrame({"a": code >> 32, "b": code & 0xFFFFFFFF, "cnt": n, "doc": some["doc"].to_numpy()[row], "pos": some["base"].to_numpy()[row] + (least & 0xFFFFFFFF)})
+
+    found = rows.mapInPandas(count, "a int, b int, cnt long, doc long, pos long")
+    return found.groupBy("a", "b").agg(F.sum("cnt").alias("cnt"), F.min(F.struct("doc", "pos")).alias("at")).select("a", "b", "cnt", "at.doc", "at.pos")
+
+
+def top_pairs(rows: DataFrame, n: int) -> DataFrame:
+    """The n most frequent pairs, of equally frequent ones those that occur first."""
+    return pair_sums(rows).orderBy(F.desc("cnt"), "doc", "pos", "a", "b").limit(n)
+
+
+def top_pair(docs: DataFrame) -> DataFrame:
+    """(a, b, cnt, first_doc, first_pos): the most frequent byte pair; of equals the one that occurs first."""
+    return top_pairs(encoded_rows(docs), 1).select("a", "b", "cnt", F.col("doc").alias("first_doc"), F.col("pos").alias("first_pos"))
+
+
+def runs_of(rows: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataFrame:
+    """(run, weight, doc, pos): the distinct longest runs of ids whose adjacent pairs are all among `pairs`, with
+    their weights and first places. What is shuffled and kept follows distinct runs, not the corpus."""
+    hot = np.sort(np.array([(a << 32) | b for a, b in pairs], np.int64))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for some, ids, bounds in _rows_in(batch):
+                first, last = M.hot_runs(ids, bounds, hot)
+                owner = np.searchsorted(bounds, first, side="right") - 1
+                doc, pos = some["doc"].to_numpy()[owner].tolist(), (some["base"].to_numpy()[owner] + first - bounds[owner]).tolist()
+                weight, raw, step = some["weight"].to_numpy()[owner].tolist(), ids.astype(ID).tobytes(), ID.itemsize
+                held: dict[bytes, list] = {}
+                for i, (s, e) in enumerate(zip((first * step).tolist(), (last * step + step).tolist())):
+                    entry = held.get(raw[s:e])
+                    if entry is None:
+                        held[raw[s:e]] = [weight[i], (doc[i], pos[i])]
+                    else:
+                        entry[0] += weight[i]
+                        if (doc[i], pos[i]) < entry[1]:
+                            entry[1] = (doc[i], pos[i])
+                yield pd.DataFrame({"run": list(held), "weight": [w for w, _ in held.values()], "doc": [p[0] for _, p in held.values()], "pos": [p[1] for _, p in held.values()]})
+
+    found = rows.mapInPandas(cut, "run binary, weight long, doc long, pos long")
+    return found.groupBy("run").agg(F.sum("weight").alias("weight"), F.min(F.struct("doc", "pos")).alias("at")).select("run", "weight", "at.doc", "at.pos")
+
+
+def learned(runs: DataFrame, wanted: int, first_id: int, stop: Row | None) -> list[M.Merge]:
+    """Merges learned from the distinct runs (at most RUN_IDS ids), in one task."""
+    worst = None if stop is None else (stop["cnt"], stop["doc"], stop["pos"])
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = pd.concat(list(batches) or [pd.DataFrame({"run": [], "weight": [], "doc": [], "pos": []})], ignore_index=True)
+        held = held.sort_values(["doc", "pos", "run"], ignore_index=True)
+        before = None if worst is None else (worst[0], int(((held["doc"] < worst[1]) | ((held["doc"] == worst[1]) & (held["pos"] <= worst[2]))).sum()))
+        found = M.learn([np.frombuffer(r, ID).astype(np.int64) for r in held["run"]], held["weight"].to_numpy(np.int64), wanted, first_id, before)
+        yield pd.DataFrame(found, columns=["a", "b", "id"])
+
+    rows = runs.coalesce(1).mapInPandas(learn, "a int, b int, id int").collect()
+    return sorted((tuple(r) for r in rows), key=lambda m: m[2])
 
-    docs may carry the place of what it counts as first_doc and first_pos; else that is (doc_id, position).
-    """
-    if weight is None:
-        found = positioned_pairs(docs, ids).select("a", "b", F.lit(1).cast("long").alias("w"), F.struct(F.col("doc_id").alias("d"), F.col("pos").cast("long").alias("p")).alias("at"))
-    else:
-        pairs = docs.select("first_doc", "first_pos", weight.alias("w"), F.posexplode(B.pairs_of(ids)).alias("pos", "p"))
-        found = pairs.select("p.a", "p.b", "w", F.struct(F.col("first_doc").alias("d"), (F.col("first_pos") * 65_536 + F.col("pos")).alias("p")).alias("at"))
-    counted = found.groupBy("a", "b").agg(F.sum("w").alias("cnt"), F.min("at").alias("at"))
-    return counted.orderBy(F.desc("cnt"), "at").limit(1).select("a", "b", "cnt", F.col("at.d").alias("first_doc"), F.col("at.p").alias("first_pos"))
 
+def rewritten(rows: DataFrame, merges: Sequence[M.Merge]) -> DataFrame:
+    """Encoded rows with further merges applied."""
+    table = M.MergeTable(merges)
 
-def train_stream(docs: DataFrame, merges: int) -> list[tuple[int, int, int]]:
-    """Merges (a, b, id) learned from whole texts, in rounds of one job each; stops when no pair is left.
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for some, ids, bounds in _rows_in(batch):
+                ids, bounds = table.encode(ids, bounds)
+                raw, cut = ids.astype(ID).tobytes(), (bounds * ID.itemsize).tolist()
+                yield some[["doc", "base", "weight"]].assign(ids=[raw[i:j] for i, j in zip(cut, cut[1:])])
 
-    Each round encodes the texts anew by the merges so far, so there is no lineage to cut.
+    return rows.mapInPandas(apply, ROWS)
+
+
+def train(rows: DataFrame, merges: int, *, hot: int = HOT_PAIRS, run_ids: int = RUN_IDS) -> list[M.Merge]:
+    """Merges (a, b, id), exactly those that a count after every merge would give; stops when no pair is left.
+
+    A round takes the `hot` best pairs and the distinct runs of ids that only such pairs join. A pair that merging can
+    still make is never more frequent than any pair in its expansion, so until the best pair is no better than the
+    best one that isn't hot, all that decides is in those runs: merges are learned from them, weighted, and then
+    applied to the rows in parallel. Runs of more than `run_ids` ids in all make the round start over with fewer hot
+    pairs; with one, they are one pair's. Rounds follow how far frequencies fall, not the number of merges.
     """
-    found: list[tuple[int, int, int]] = []
-    base = pinned(docs.select("doc_id", B.byte_string(F.col("text")).alias("s")), "bytes")
+    if merges > MAX_MERGES:
+        raise ValueError(f"{merges} merges need ids of more than {ID.itemsize} bytes")
+    found: list[M.Merge] = []
+    rows = pinned(rows, "bytes")
     while len(found) < merges:
-        best = top_pair(base, B.ids_of(B.encode_string(F.col("s"), found))).first()
-        if best is None:
+        best = top_pairs(rows, hot + 1).collect()
+        while True:
+            stop = best[hot] if len(best) > hot else None
+            runs = pinned(runs_of(rows, [(r["a"], r["b"]) for r in best[:hot]]), "runs")
+            held = (runs.agg(F.sum(F.length("run"))).first()[0] or 0) // ID.itemsize
+            if held <= run_ids or hot == 1:
+                break
+            unpinned(runs)
+            hot = max(1, hot // 4)
+        more = learned(runs, merges - len(found), 256 + len(found), stop)
+        unpinned(runs)
+        if not more:
             break
-        found.append((best["a"], best["b"], 256 + len(found)))
+        found += more
+        if len(found) < merges:
+            before, rows = rows, pinned(rewritten(rows, more), "merged")
+            unpinned(before)
+        if held < run_ids // 4:
+            hot = min(MAX_HOT, hot * 4)
+    unpinned(rows)
     return found
 
 
-def train_chunks(docs: DataFrame, merges: int, pattern: str = GPT2_SPLIT) -> list[tuple[int, int, int]]:
-    """As train_stream, over distinct pre-tokens weighted by their counts: what a round reads is the reduced table."""
-    pieces = docs.select("doc_id", F.posexplode(pre_tokens(F.col("text"), pattern)).alias("pos", "piece"))
-    place = F.min(F.struct("doc_id", F.col("pos").cast("long").alias("pos"))).alias("at")
-    counted = pieces.groupBy("piece").agg(F.count("*").alias("n"), place)
-    table = pinned(counted.select(B.byte_string(F.col("piece")).alias("s"), "n", F.col("at.doc_id").alias("first_doc"), F.col("at.pos").alias("first_pos")), "chunks")
-    found: list[tuple[int, int, int]] = []
-    while len(found) < merges:
-        best = top_pair(table, B.ids_of(B.encode_string(F.col("s"), found)), F.col("n")).first()
-        if best is None:
-            break
-        found.append((best["a"], best["b"], 256 + len(found)))
-    return found
+def train_stream(docs: DataFrame, merges: int, **options) -> list[M.Merge]:
+    """Merges learned from whole texts: they may join words, never documents. Documents count in the order of doc_id
+    (null first); rows of one doc_id are at one place, so that equally frequent pairs of theirs may tie, then by id."""
+    return train(encoded_rows(docs), merges, **options)
+
+
+def train_chunks(docs: DataFrame, merges: int, pattern: str = GPT2_SPLIT, **options) -> list[M.Merge]:
+    """As train_stream, over distinct pre-tokens weighted by their counts: merges stay within pre-tokens."""
+    pieces = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.posexplode(pre_tokens(F.col("text"), pattern)).alias("nth", "text"))
+    # A piece's place is PIECE_SPAN times its number in its document: pairs within it are fewer than that.
+    place = F.min(F.struct("doc", (F.col("nth").cast("long") * PIECE_SPAN).alias("base")))
+    counted = pieces.groupBy("text").agg(F.count("*").alias("weight"), place.alias("at"))
+    return train(encoded_rows(counted.select("at.doc", "at.base", "weight", "text")), merges, **options)
+
+
+class Codec:
+    """A merge table as columns: texts to ids and back.
+
+    The table goes to the tasks with the functions, so it is bounded: more than MAX_MERGES merges raise. Merging is
+    lowest rank first, over whole texts or within given pieces. Null in, null out; no text is no ids.
+    """
+
+    def __init__(self, merges: Sequence[M.Merge]):
+        if len(merges) > MAX_MERGES:
+            raise ValueError(f"a table of {len(merges)} merges is over {MAX_MERGES}")
+        self.merges = [tuple(map(int, m)) for m in merges]
+        table, words = M.MergeTable(self.merges), list(words_of(self.merges).values())
+
+        def encoded(texts: list[str | None]) -> Iterator[np.ndarray]:
+            for _, ids, bounds in _byte_slices(texts):
+                ids, bounds = table.encode(ids, bounds)
+                ids, cuts = ids.astype(np.int32), bounds.tolist()
+                yield from (ids[i:j] for i, j in zip(cuts, cuts[1:]))
+
+        def joined(ids) -> bytes:
+            try:
+                if min(ids, default=0) < 0:
+                    raise IndexError
+                return b"".join([words[i] for i in ids])
+            except (IndexError, TypeError):
+                raise ValueError(f"unknown token id {next(i for i in ids if i is None or not 0 <= i < len(words))}") from None
+
+        @F.pandas_udf("array<int>")
+        def encode(texts: pd.Series) -> pd.Series:
+            values = texts.tolist()
+            return pd.Series([None if t is None else x for t, x in zip(values, encoded(values))], dtype=object)
+
+        @F.pandas_udf("array<int>")
+        def encode_pieces(pieces: pd.Series) -> pd.Series:
+            values = [None if p is None else p.tolist() for p in pieces]
+            distinct = list({x for v in values for x in v or ()})
+            known = dict(zip(distinct, encoded(distinct)))
+            return pd.Series([None if v is None else np.concatenate([np.zeros(0, np.int32), *(known[x] for x in v)]) for v in values], dtype=object)
+
+        @F.pandas_udf("binary")
+        def decode_bytes(ids: pd.Series) -> pd.Series:
+            return pd.Series([None if x is None else joined(x.tolist()) for x in ids], dtype=object)
+
+        @F.pandas_udf("string")
+        def decode(ids: pd.Series) -> pd.Series:
+            return pd.Series([None if x is None else joined(x.tolist()).decode("utf-8", "replace") for x in ids], dtype=object)
+
+        self.encode, self.encode_pieces, self.decode_bytes, self.decode = encode, encode_pieces, decode_bytes, decode
+
+    def register(self, spark: SparkSession, prefix: str = "bpe") -> None:
+        """SQL functions <prefix>_encode(text), _encode_pieces(array), _decode(ids), _decode_bytes(ids)."""
+        for name in ("encode", "encode_pieces", "decode", "decode_bytes"):
+            spark.udf.register(f"{prefix}_{name}", getattr(self, name))
+
+
+def register_pairs(spark: SparkSession) -> None:
+    """SQL function byte_pairs(text): array of (a, b, cnt) of a text's adjacent bytes, by (a, b)."""
+
+    @F.pandas_udf("array<struct<a: int, b: int, cnt: bigint>>")
+    def byte_pairs(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            ids = np.frombuffer((text or "").encode("utf-8"), np.uint8).astype(np.int64)
+            cell, n = np.unique(ids[:-1] * 256 + ids[1:], return_counts=True)
+            out.append(None if text is None else [{"a": int(c) >> 8, "b": int(c) & 255, "cnt": int(k)} for c, k in zip(cell, n)])
+        return pd.Series(out, dtype=object)
+
+    spark.udf.register("byte_pairs", byte_pairs)
 
 
 def merge_table(spark: SparkSession, merges: list[tuple[int, int, int]]) -> DataFrame:
@@ -78,25 +320,39 @@ def merge_table(spark: SparkSession, merges: list[tuple[int, int, int]]) -> Data
     return spark.createDataFrame([(i, *m) for i, m in enumerate(merges)], "rank int, a int, b int, id int")
 
 
-def vocabulary(spark: SparkSession, merges: list[tuple[int, int, int]]) -> DataFrame:
-    """(id, bytes): the 256 bytes, then each merge's two parts joined."""
+def words_of(merges: Sequence[M.Merge]) -> dict[int, bytes]:
+    """The bytes of every id: the 256 bytes, then each merge's two parts joined."""
     parts = {i: bytes([i]) for i in range(256)}
     for a, b, new in merges:
         parts[new] = parts[a] + parts[b]
-    return spark.createDataFrame([(i, bytearray(p)) for i, p in parts.items()], "id int, bytes binary")
+    return parts
+
+
+def vocabulary(spark: SparkSession, merges: Sequence[M.Merge], special: str | None = None) -> DataFrame:
+    """(id, bytes) in the order of ids; a special token, if any, is the last."""
+    words = list(words_of(merges).items()) + ([(256 + len(merges), special.encode())] if special is not None else [])
+    return spark.createDataFrame([(i, bytearray(p)) for i, p in words], "id int, bytes binary")
 
 
 def with_rank(pairs: DataFrame, merges: DataFrame) -> DataFrame:
-    """Pairs with their rank, null where none: the merge table is bounded by its vocabulary and broadcast."""
-    return pairs.join(F.broadcast(merges.select("a", "b", "rank")), ["a", "b"], "left")
+    """Pairs with their rank, null where none; a merge table counted to be small is broadcast."""
+    return pairs.join(small_side(merges.select("a", "b", "rank")), ["a", "b"], "left")
+
+
+DECODE_SPAN = 4_096
 
 
 def decode_join(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(doc_id, bytes) from tokens (doc_id, pos, id) by lookup and ordered concatenation; an unknown id raises."""
-    known = tokens.join(F.broadcast(vocab), "id", "left")
+    """(doc_id, bytes) from tokens (doc_id, pos, id) by lookup and ordered concatenation; an unknown id raises.
+
+    Tokens are gathered in spans of DECODE_SPAN positions, and spans, as bytes, by document: no group holds more
+    tokens than a span, nor more rows than a document has spans. A doc_id is one document.
+    """
+    known = tokens.join(small_side(vocab), "id", "left")
     checked = F.when(F.col("bytes").isNull(), F.raise_error(F.concat(F.lit("unknown token id "), F.col("id").cast("string")))).otherwise(F.hex("bytes"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", checked.alias("h"))))
-    return known.groupBy("doc_id").agg(F.unhex(F.array_join(F.transform(ordered, lambda e: e["h"]), "")).alias("bytes"))
+    ordered = lambda by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, "h"))), lambda e: e["h"]), "")
+    spans = known.withColumn("h", checked).groupBy("doc_id", F.floor(F.col("pos") / DECODE_SPAN).alias("span")).agg(ordered("pos").alias("h"))
+    return spans.groupBy("doc_id").agg(F.unhex(ordered("span")).alias("bytes"))
 
 
 def decode_lookup(docs: DataFrame, ids: Column, vocab: DataFrame) -> DataFrame:

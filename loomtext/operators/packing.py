@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.functions import bytes as B
 from loomtext.operators.bpe import pair_counts
 from loomtext.operators.order import with_position
 
@@ -14,27 +19,45 @@ def batches_per_epoch(tokens: int, b: int, t: int) -> int:
     return max(0, tokens - 1) // (b * t)
 
 
-def pack(docs: DataFrame, b: int, t: int) -> DataFrame:
+def pack(docs: DataFrame, b: int, t: int, tokens: int | None = None) -> DataFrame:
     """(batch, row, x, y) of whole batches from (offset, ids): y is x shifted by one token.
 
-    A row needs tokens r t .. r t + t. Each document gives every row its slice of those, so arrays are shuffled
-    once, not single tokens, and a group is t + 1 tokens. The tail that fills no batch is dropped.
+    A row needs tokens r t .. r t + t. Rows within one document are cut where it is; only the at most two rows in
+    which a document begins or ends go through a shuffle, as slices of at most t + 1 tokens. The tail that fills
+    no batch is dropped. `tokens` is the stream's length, if it is known.
     """
-    total = docs.agg(F.max(F.col("offset") + F.size("ids"))).first()[0] or 0
-    rows = batches_per_epoch(total, b, t) * b
-    first = F.greatest(F.floor((F.col("offset") - 1) / t), F.lit(0))
-    last = F.least(F.floor((F.col("offset") + F.size("ids") - 1) / t), F.lit(rows - 1))
+    if tokens is None:
+        tokens = docs.agg(F.max(F.col("offset") + F.size("ids"))).first()[0] or 0
+    rows = batches_per_epoch(tokens, b, t) * b
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts, lists = batch.column("offset").to_numpy(zero_copy_only=False), batch.column("ids")
+            flat, cuts = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            for i in np.flatnonzero(np.diff(cuts) > t).tolist():
+                o, ids = int(starts[i]), flat[cuts[i] : cuts[i + 1]]
+                first, end = -(-o // t), min((o + len(ids) - 1) // t, rows)
+                if first < end:
+                    x, n = ids[first * t - o : end * t + 1 - o], end - first
+                    bounds = pa.array(np.arange(n + 1) * t, pa.int32())
+                    parts = (pa.ListArray.from_arrays(bounds, pa.array(v, pa.int32())) for v in (x[:-1], x[1:]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, end)), *parts], ["r", "x", "y"])
+
     size = F.size("ids")
+    last = F.col("offset") + size
+    ends = F.array_distinct(F.array(F.ceil(F.col("offset") / t) - 1, F.floor((last - 1) / t)))
 
     def part(r):
-        start, end = F.greatest(r * t, F.col("offset")), F.least(r * t + t + 1, F.col("offset") + size)
+        start, end = F.greatest(r * t, F.col("offset")), F.least(r * t + t + 1, last)
         return F.struct(r.alias("r"), start.alias("start"), F.slice("ids", (start - F.col("offset") + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int")).alias("part"))
 
+    cut = F.filter(ends, lambda r: (r >= 0) & (r < rows) & ((r * t < F.col("offset")) | (r * t + t + 1 > last)))
     # Slices are cut before the explode: exploded rows must not each carry the whole document.
-    parts = docs.where((size > 0) & (first <= last)).select(F.explode(F.transform(F.sequence(first, last), part)).alias("e")).select("e.*").where(F.size("part") > 0)
-    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "part"))), lambda e: e["part"]))
-    packed = parts.groupBy("r").agg(whole.alias("w")).where(F.size("w") == t + 1)
-    return packed.select(F.floor(F.col("r") / b).cast("long").alias("batch"), (F.col("r") % b).cast("int").alias("row"), F.slice("w", 1, t).alias("x"), F.slice("w", 2, t).alias("y"))
+    parts = docs.where(size > 0).select(F.explode(F.transform(cut, part)).alias("e")).select("e.*").where(F.size("part") > 0)
+    joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "part"))), lambda e: e["part"]))
+    seams = parts.groupBy("r").agg(joined.alias("w")).where(F.size("w") == t + 1).select("r", F.slice("w", 1, t).alias("x"), F.slice("w", 2, t).alias("y"))
+    packed = docs.select("offset", "ids").where(size > t).mapInArrow(within, "r long, x array<int>, y array<int>").unionByName(seams)
+    return packed.select(F.floor(F.col("r") / b).cast("long").alias("batch"), (F.col("r") % b).cast("int").alias("row"), "x", "y")
 
 
 def epoch_cycle(steps: DataFrame, batches: int) -> DataFrame:
@@ -43,13 +66,14 @@ def epoch_cycle(steps: DataFrame, batches: int) -> DataFrame:
 
 
 def next_token_pairs(docs: DataFrame) -> DataFrame:
-    """(id, next_id, cnt) over the whole stream of (doc_id, ids), counted within documents and across their seams.
+    """(id, next_id, cnt) over the stream of the bytes of (doc_id, text), counted within documents and across seams.
 
-    Only one row for each document goes through the join that finds its successor.
+    Only one narrow row for each document goes through the join that finds its successor.
     """
-    docs = docs.where(F.size("ids") > 0)
-    seams = with_position(docs.select("doc_id", F.get("ids", F.lit(0)).alias("first"), F.element_at("ids", -1).alias("last")), "doc_id")
+    string = B.byte_string(F.col("text"))
+    docs = docs.where(F.octet_length("text") > 0)
+    seams = with_position(docs.select("doc_id", F.ascii(F.left(string, F.lit(1))).alias("first"), F.ascii(F.right(string, F.lit(1))).alias("last")), "doc_id")
     after = seams.select((F.col("position") - 1).alias("position"), F.col("first").alias("b"))
     across = seams.select("position", F.col("last").alias("a")).join(after, "position").groupBy("a", "b").agg(F.count("*").alias("cnt"))
-    both = pair_counts(docs, F.col("ids")).unionByName(across)
+    both = pair_counts(docs).unionByName(across)
     return both.groupBy(F.col("a").alias("id"), F.col("b").alias("next_id")).agg(F.sum("cnt").alias("cnt"))

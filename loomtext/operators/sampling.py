@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +29,12 @@ def repeat(prompts: DataFrame, n: int) -> DataFrame:
 
 
 def normal_weights(spark, name: str, shape: tuple[int, int], *, std: float = 0.02, layers: int | None = None, seed: int = 42) -> DataFrame:
-    """(name, shape, values) of normal draws; residual projections are scaled by (2 layers) ** -0.5."""
+    """(name, row, values) of normal draws, a row of the matrix each; residual projections are scaled by (2 layers) ** -0.5.
+
+    A draw depends on (seed, name, row, column) alone: two uniform hashes become a normal number (Box-Muller).
+    """
     scale = std * ((2 * layers) ** -0.5 if layers else 1.0)
-    rows = spark.range(shape[0] * shape[1]).select("id", (F.randn(seed) * scale).alias("v"))
-    values = F.transform(F.array_sort(F.collect_list(F.struct("id", "v"))), lambda e: e["v"])
-    return rows.agg(values.alias("values")).select(F.lit(name).alias("name"), F.array(*map(F.lit, shape)).alias("shape"), "values")
+    u = lambda k, i: uniform(seed, F.lit(f"{name}:{k}"), F.col("row").cast("string"), i.cast("string"))
+    normal = lambda i: F.sqrt(-2 * F.log(1 - u(0, i))) * F.cos(2 * math.pi * u(1, i)) * scale
+    rows = spark.range(shape[0]).withColumnRenamed("id", "row")
+    return rows.select(F.lit(name).alias("name"), "row", F.transform(F.sequence(F.lit(0), F.lit(shape[1] - 1)), normal).alias("values"))

@@ -9,11 +9,11 @@ from loomtext.functions import kernels as K
 from loomtext.operators import model, sampling
 from loomtext.operators.order import with_position
 from loomtext.plans.catalog import Catalog, table
-from loomtext.session import fresh_path
+from loomtext.session import fresh_path, small_side
 from loomtext.sources import sinks
 from loomtext.sources import text as sources
 
-LANGUAGES = ("en", "fr", "de")
+FILE_DOCS = 100
 SAMPLE, SEED = 40, 42
 _C = Catalog()
 QUERIES, ORACLES = _C.queries, _C.oracles
@@ -24,16 +24,15 @@ def nonempty_filter(spark, sf):
     return sources.non_empty(table(spark, sf, "documents")).select("doc_id", "text")
 
 
-@_C.add("SELECT doc_id, lang, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 ELSE 2 END::INT AS src_order, text || chr(10) AS line FROM documents WHERE lang IN ('en', 'fr', 'de')")
+@_C.add("SELECT doc_id, lang, (dense_rank() OVER (ORDER BY lang NULLS LAST) - 1)::INT AS src_order, text || chr(10) AS line FROM documents")
 def corpus_union(spark, sf):
-    docs = sources.union_by_language(table(spark, sf, "documents"), LANGUAGES)
+    docs = sources.union_by_language(table(spark, sf, "documents"))
     return docs.select("doc_id", "lang", "src_order", F.concat("text", F.lit("\n")).alias("line"))
 
 
-@_C.add("SELECT position::BIGINT AS position, doc_id, substr(text, 1, 20) AS head FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents) WHERE position IN (0, 1, 10, 100)")
+@_C.add("SELECT (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS position, doc_id, md5(text) AS digest FROM documents")
 def row_by_position(spark, sf):
-    numbered = with_position(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    return numbered.where(F.col("position").isin(0, 1, 10, 100)).select("position", "doc_id", F.substring("text", 1, 20).alias("head"))
+    return with_position(table(spark, sf, "documents").select("doc_id", F.md5("text").alias("digest")), "doc_id").select("position", "doc_id", "digest")
 
 
 @_C.add("SELECT lang, sum(strlen(text))::BIGINT AS bytes, sum(length(text))::BIGINT AS chars, count(*)::BIGINT AS docs FROM documents GROUP BY lang")
@@ -64,15 +63,17 @@ def strip_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(sources.strip(padded)).alias("digest"))
 
 
-@_C.add("SELECT count(*)::BIGINT AS files, min(strlen(text))::BIGINT AS bytes FROM (SELECT string_agg(text, '' ORDER BY doc_id) AS text FROM documents WHERE doc_id < 3)")
+@_C.add(f"SELECT file, count(*)::BIGINT AS docs, sum(strlen(text))::BIGINT AS bytes, md5(string_agg(text, '' ORDER BY doc_id)) AS digest FROM (SELECT doc_id, text, ((row_number() OVER (ORDER BY doc_id) - 1) // {FILE_DOCS})::INT AS file FROM documents) GROUP BY file")
 def whole_file(spark, sf):
-    """Three texts written as one file, read back whole, not stripped."""
-    docs = table(spark, sf, "documents").where("doc_id < 3")
-    parts = docs.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda e: e["text"]), "").alias("value"))
+    """All texts written as whole files of FILE_DOCS documents each, read back whole, not stripped."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    places = with_position(docs.select("doc_id"), "doc_id").select("doc_id", F.floor(F.col("position") / FILE_DOCS).cast("int").alias("file"))
+    ordered = F.array_sort(F.collect_list(F.struct("doc_id", "text")))
+    whole = docs.join(small_side(places), "doc_id").groupBy("file").agg(F.count("*").alias("docs"), F.array_join(F.transform(ordered, lambda e: e["text"]), "").alias("value"))
     path = fresh_path(spark, "whole")
-    parts.coalesce(1).write.option("lineSep", "\u0001").text(path)
-    found = sources.read_text(spark, path, stripped=False).select(F.rtrim("text", F.lit("\u0001")).alias("text"))
-    return found.agg(F.count("*").alias("files"), F.min(F.octet_length("text")).cast("long").alias("bytes"))
+    whole.write.partitionBy("file", "docs").option("lineSep", "\u0001").text(path)  # a mark after each text
+    found = sources.read_text(spark, path, stripped=False, keep=["file", "docs"]).withColumn("text", F.expr("left(text, length(text) - 1)"))
+    return found.select("file", F.col("docs").cast("long").alias("docs"), F.octet_length("text").cast("long").alias("bytes"), F.md5("text").alias("digest"))
 
 
 @_C.add(f"SELECT doc_id, lang, sample_rank FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('{SEED}:' || doc_id), doc_id)::INT AS sample_rank FROM documents) WHERE sample_rank <= {SAMPLE}")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from loomtext.functions import kernels as K
 from loomtext.functions.bytes import utf8_ids
-from loomtext.operators import model, sampling
+from loomtext.operators import attention, model, sampling
+from loomtext.operators.bpe import Codec
+from loomtext.operators.order import with_position
 from loomtext.plans.catalog import Catalog, table
-from loomtext.session import spread
+from loomtext.session import fresh_path, pinned, small_side, spread
+from loomtext.sources import text as sources
 
 HEADS, WIDTH = 4, 16
 TINY = model.Config(block_size=64, vocab_size=257, n_layer=2, n_head=2, n_embd=16)
@@ -56,31 +60,36 @@ def gelu(spark, sf):
     return _vectors(spark, sf).select("vec_id", *_rounded(F.transform("x", K.gelu)))
 
 
-@_C.add(f"SELECT d.doc_id, {_rounded_sql('x')} FROM documents d JOIN {_V} v ON v.vec_id = d.doc_id % 500")
+@_C.add(f"SELECT d.doc_id, {_rounded_sql('x')} FROM documents d JOIN {_V} v ON v.vec_id = d.doc_id % (SELECT count(*) FROM embeddings)")
 def embedding_lookup(spark, sf):
-    """Token ids (doc_id % 500) to their vectors; a model's table is bounded by its vocabulary."""
-    vectors = _vectors(spark, sf).where("vec_id < 500")
-    ids = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 500).alias("vec_id"))
-    return ids.join(F.broadcast(vectors), "vec_id").select("doc_id", *_rounded(F.col("x")))
+    """Token ids (doc_id modulo the number of vectors) to their vectors in the whole table."""
+    vectors = _vectors(spark, sf)
+    ids = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % F.lit(max(1, vectors.count()))).alias("vec_id"))
+    return ids.join(small_side(vectors), "vec_id").select("doc_id", *_rounded(F.col("x")))
+
+
+def _positions(spark, sf):
+    """(vec_id, label, pos): positions from 0 within a label, without a window over a label in one task."""
+    placed = pinned(with_position(table(spark, sf, "embeddings").where("label IS NOT NULL").select("label", "vec_id"), ["label", "vec_id"], "at"), "positions")
+    starts = placed.groupBy("label").agg(F.min("at").alias("start"))
+    return placed.join(small_side(starts), "label").select("vec_id", "label", (F.col("at") - F.col("start")).alias("pos"))
 
 
 @_C.add(f"WITH p AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos FROM {_V} WHERE label IS NOT NULL) SELECT t.vec_id, {_rounded_sql('list_transform(list_zip(t.x, w.x), lambda z: z[1] + z[2])')} FROM p t JOIN {_V} w ON w.vec_id = t.pos")
 def position_add(spark, sf):
-    placed = _vectors(spark, sf).where("label IS NOT NULL").withColumn("pos", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long"))
+    placed = _vectors(spark, sf).select("vec_id", "x").join(small_side(_positions(spark, sf).select("vec_id", "pos")), "vec_id")
     table_of_positions = _vectors(spark, sf).select(F.col("vec_id").alias("pos"), F.col("x").alias("p"))
-    return placed.join(table_of_positions, "pos").select("vec_id", *_rounded(K.add(F.col("x"), F.col("p"))))
+    return placed.join(small_side(table_of_positions), "pos").select("vec_id", *_rounded(K.add(F.col("x"), F.col("p"))))
 
 
 @_C.add(f"""WITH a AS (SELECT q.vec_id, k.vec_id AS key, list_dot_product(q.x, k.x) / sqrt(64) AS score, k.x AS v FROM {_V} q JOIN {_V} k ON q.label = k.label AND k.vec_id <= q.vec_id),
  m AS (SELECT vec_id, max(score) AS top FROM a GROUP BY vec_id), e AS (SELECT a.vec_id, exp(score - top) AS w, v FROM a JOIN m USING (vec_id))
  SELECT vec_id, count(*)::BIGINT AS keys, round(sum(w * v[1]) / sum(w), 6) AS first, round(sum(w * list_sum(v)) / sum(w), 5) AS total FROM e GROUP BY vec_id""")
 def causal_attention(spark, sf):
-    """Each position over itself and those before it in its sequence; never a cross join: the sequence is an equi key."""
-    x = _vectors(spark, sf)
-    q, k = x.select(F.col("vec_id").alias("q_id"), "label", F.col("x").alias("q")), x.select(F.col("vec_id").alias("k_id"), "label", F.col("x").alias("k"))
-    scored = q.join(k, "label").where("k_id <= q_id").select("q_id", (K.dot(F.col("q"), F.col("k")) / 8.0).alias("score"), F.get("k", F.lit(0)).alias("v0"), K.total(F.col("k")).alias("vs"))
-    top = scored.withColumn("top", F.max("score").over(Window.partitionBy("q_id"))).withColumn("w", F.exp(F.col("score") - F.col("top")))
-    return top.groupBy(F.col("q_id").alias("vec_id")).agg(F.count("*").alias("keys"), F.round(F.sum(F.col("w") * F.col("v0")) / F.sum("w"), 6).alias("first"), F.round(F.sum(F.col("w") * F.col("vs")) / F.sum("w"), 5).alias("total"))
+    """Each position over itself and those before it in its sequence."""
+    rows = _vectors(spark, sf).join(small_side(_positions(spark, sf)), ["vec_id", "label"])
+    out = attention.causal(rows.select("label", "pos", "vec_id", "x"))
+    return out.select("vec_id", "keys", F.round(F.get("mixed", F.lit(0)), 6).alias("first"), F.round(K.total(F.col("mixed")), 5).alias("total"))
 
 
 @_C.add(f"SELECT vec_id, h::INT AS head, round(list_sum(x[h * {WIDTH} + 1 : h * {WIDTH} + {WIDTH}]), 6) AS total FROM {_V}, range({HEADS}) t(h)")
@@ -134,43 +143,85 @@ def affine(spark, sf):
     return _vectors(spark, sf).select("vec_id", out.alias("y")).select("vec_id", *(F.round(F.get("y", F.lit(i)), 6).alias(f"y{i}") for i in range(3)))
 
 
-@_C.add(f"SELECT vec_id, {_rounded_sql('y')} FROM (SELECT vec_id, list_transform(list_zip(x, {_NORM}), lambda z: z[1] + 0.5 * z[2] * (1 + tanh(sqrt(2 / pi()) * (z[2] + 0.044715 * z[2] * z[2] * z[2])))) AS y FROM {_V})")
+def _affine_sql(x: str, weights, bias) -> str:
+    return "[" + ", ".join(f"list_dot_product({x}, {row}::DOUBLE[]) + {c}" for row, c in zip(weights, bias)) + "]"
+
+
+_RULE = lambda rows, columns, k: [[round(((i * 7 + j * 3 + k) % 11 - 5) / 10, 2) for j in range(columns)] for i in range(rows)]
+_G, _B, _FC, _FC_B, _OUT, _OUT_B = _RULE(1, 8, 1)[0], _RULE(1, 8, 2)[0], _RULE(32, 8, 3), _RULE(1, 32, 4)[0], _RULE(8, 32, 5), _RULE(1, 8, 6)[0]
+_NORMED = f"list_transform(range(1, 9), lambda i: (x[i] - list_avg(x)) / sqrt(list_var_pop(x) + 1e-5) * ({_G}::DOUBLE[])[i] + ({_B}::DOUBLE[])[i])"
+_GELU = "list_transform(h, lambda v: 0.5 * v * (1 + tanh(sqrt(2 / pi()) * (v + 0.044715 * v * v * v))))"
+
+
+@_C.add(f"""SELECT vec_id, {_rounded_sql('y')} FROM (SELECT vec_id, list_transform(range(1, 9), lambda i: x[i] + o[i]) AS y FROM (SELECT vec_id, x, {_affine_sql('g', _OUT, _OUT_B)} AS o
+ FROM (SELECT vec_id, x, {_GELU} AS g FROM (SELECT vec_id, x, {_affine_sql('n', _FC, _FC_B)} AS h FROM (SELECT vec_id, x, {_NORMED} AS n FROM (SELECT vec_id, x[1:8] AS x FROM {_V}))))))""")
 def residual_block(spark, sf):
-    """A pre-norm residual step: x plus GELU of its layer norm."""
-    return _vectors(spark, sf).select("vec_id", *_rounded(K.add(F.col("x"), F.transform(K.layer_norm(F.col("x")), K.gelu))))
+    """A pre-norm residual step on eight dimensions: x plus the second affine map of GELU of the first one of the scaled
+    and shifted layer norm of x. The attention half is causal_attention, both together model_forward."""
+    literal = lambda values: F.array(*map(F.lit, values))
+    rows = _vectors(spark, sf).select("vec_id", K.head(F.col("x"), 0, 8).alias("x"))
+    normed = rows.withColumn("n", F.zip_with(F.zip_with(K.layer_norm(F.col("x")), literal(_G), lambda v, g: v * g), literal(_B), lambda v, b: v + b))
+    hidden = normed.withColumn("g", F.transform(K.affine(F.col("n"), _FC, _FC_B), K.gelu))
+    return hidden.select("vec_id", K.add(F.col("x"), K.affine(F.col("g"), _OUT, _OUT_B)).alias("y")).select("vec_id", *_rounded(F.col("y")))
 
 
-@_C.add(f"SELECT vec_id, arg_max(w, s)::BIGINT AS token, round(max(s), 6) AS logit FROM (SELECT v.vec_id, w.vec_id AS w, list_dot_product(v.x, w.x) AS s FROM {_V} v JOIN {_V} w ON w.vec_id < 50 AND v.vec_id >= 0) GROUP BY vec_id")
+@_C.add(f"SELECT vec_id, arg_max(w, s)::BIGINT AS token, round(max(s), 6) AS logit FROM (SELECT v.vec_id, w.vec_id AS w, list_dot_product(v.x, w.x) AS s FROM {_V} v, {_V} w) GROUP BY vec_id")
 def tied_head(spark, sf):
-    """Each state against all rows of a stated table of 50 token vectors, the same table that embeds."""
-    states = _vectors(spark, sf)
-    heads = states.where("vec_id < 50").agg(F.array_sort(F.collect_list(F.struct(F.col("vec_id").alias("w"), F.col("x").alias("wx")))).alias("heads"))
-    scored = states.join(F.broadcast(heads)).select("vec_id", F.transform("heads", lambda h: F.struct(K.dot(F.col("x"), h["wx"]).alias("s"), h["w"].alias("w"))).alias("scores"))
-    return scored.select("vec_id", F.array_max("scores").alias("best")).select("vec_id", F.col("best.w").alias("token"), F.round("best.s", 6).alias("logit"))
+    """Each state against every token vector, from the same table that embeds: the likeliest token and its logit."""
+    states = _vectors(spark, sf).select("vec_id", "x")
+    return attention.likeliest(states, states.select(F.col("vec_id").alias("token"), "x")).select("vec_id", "token", F.round("logit", 6).alias("logit"))
+
+
+#: Stored values by rule: the i-th value of the k-th weight, in the stored order.
+_SHAPES = model.shapes(TINY)
+_VALUE = "((k * 31 + i * 7) % 101 - 50) / 1000.0"
+_STORED = ", ".join(f"({k}, '{n}', {s[0]}, {s[1] if len(s) > 1 else 0}, {str(n.endswith(model.TRANSPOSED)).lower()})" for k, (n, s) in enumerate(_SHAPES.items()))
 
 
-@_C.add("SELECT n AS name, '4,2' AS shape, round(t, 6) AS total, first FROM (VALUES ('h.0.attn.c_attn.weight', 28.0::DOUBLE, 0.0::DOUBLE), ('h.0.ln.weight', 28.0, 0.0)) v(n, t, first)")
+def _checkpoint(spark):
+    """The tiny model's weights as a checkpoint stores them, four kinds turned and buffers beside them; written and read."""
+    rows = spark.createDataFrame([(k, n, [s[1], s[0]] if n.endswith(model.TRANSPOSED) else list(s)) for k, (n, s) in enumerate(_SHAPES.items())], "k int, name string, shape array<int>")
+    size = F.aggregate("shape", F.lit(1), lambda p, v: p * v)
+    values = F.transform(F.sequence(F.lit(0), size - 1), lambda i: ((F.col("k") * 31 + i * 7) % 101 - 50) / F.lit(1000.0))
+    buffers = spark.createDataFrame([(f"transformer.h.0{b}", [1], [0.0]) for b in model.BUFFERS], "name string, shape array<int>, values array<double>")
+    path = fresh_path(spark, "checkpoint")
+    rows.select("name", "shape", values.alias("values")).unionByName(buffers).write.parquet(path)
+    return sources.read_weights(spark, path)
+
+
+@_C.add(f"""WITH w(k, name, rows, columns, turned) AS (VALUES {_STORED}),
+ v AS (SELECT k, name, rows, columns, turned, unnest(range(0, CASE columns WHEN 0 THEN rows ELSE rows * columns END)) AS j FROM w),
+ s AS (SELECT k, name, rows, columns, j, CASE WHEN turned THEN (j % columns) * rows + j // columns ELSE j END AS i FROM v)
+ SELECT name, CASE columns WHEN 0 THEN rows::VARCHAR ELSE rows || ',' || columns END AS shape, round(sum({_VALUE} * (j + 1)), 4) AS weighted, count(*)::BIGINT AS n FROM s GROUP BY name, rows, columns""")
 def checkpoint_match(spark, sf):
-    """Stored weights copied by name: one turned, one as it is; a buffer is left out."""
-    stored = spark.createDataFrame([("h.0.attn.c_attn.weight", [2, 4], [float(i) for i in range(8)]), ("h.0.ln.weight", [4, 2], [float(i) for i in range(8)]), ("h.0.attn.bias", [1], [0.0])], "name string, shape array<int>, values array<double>")
-    own = spark.createDataFrame([("h.0.attn.c_attn.weight", [4, 2]), ("h.0.ln.weight", [4, 2])], "name string, shape array<int>")
-    found = model.match_checkpoint(own, stored)
-    return found.select("name", F.array_join(F.col("shape").cast("array<string>"), ",").alias("shape"), F.round(K.total(F.col("values")), 6).alias("total"), F.get("values", F.lit(0)).alias("first"))
+    """All weights of the tiny model filled from a stored checkpoint: by name, four kinds turned, buffers left out."""
+    found = model.match_checkpoint(model.own_names(spark, TINY), _checkpoint(spark))
+    weighted = K.total(F.transform("values", lambda v, i: v * (i + 1)))
+    return found.select("name", F.array_join(F.col("shape").cast("array<string>"), ",").alias("shape"), F.round(weighted, 4).alias("weighted"), F.size("values").cast("long").alias("n"))
 
 
-@_C.add()
+def tiny_weights(spark):
+    return model.load_weights(model.match_checkpoint(model.own_names(spark, TINY), _checkpoint(spark)))
+
+
+_U = f"('0x' || substr(md5('{42}:' || name || ':' || {{k}} || ':' || row || ':' || j), 1, 13))::BIGINT / pow(16, 13)"
+
+
+@_C.add(f"""WITH d AS (SELECT name, row, scale * sqrt(-2 * ln(1 - {_U.format(k=0)})) * cos(2 * pi() * {_U.format(k=1)}) AS v
+ FROM (VALUES ('wte', 0.02::DOUBLE), ('c_proj', 0.02 / sqrt(24))) n(name, scale), range(64) r(row), range(16) c(j))
+ SELECT name, row, round(sum(v), 6) AS total, round(sqrt(sum(v * v) / 16), 6) AS spread FROM d GROUP BY name, row""")
 def normal_init(spark, sf):
-    plain = sampling.normal_weights(spark, "wte", (64, 16))
-    scaled = sampling.normal_weights(spark, "c_proj", (64, 16), layers=12)
-    return plain.unionByName(scaled).select("name", F.size("values").alias("n"), F.sqrt(K.total(F.transform("values", lambda v: v * v)) / F.size("values")).alias("std"))
+    rows = sampling.normal_weights(spark, "wte", (64, 16)).unionByName(sampling.normal_weights(spark, "c_proj", (64, 16), layers=12))
+    square = F.transform("values", lambda v: v * v)
+    return rows.select("name", "row", F.round(K.total(F.col("values")), 6).alias("total"), F.round(F.sqrt(K.total(square) / F.size("values")), 6).alias("spread"))
 
 
-def score_windows(docs):
+def score_windows(docs, weights):
     """(doc_id, tokens, loss) of (doc_id, ids): windows are a block and the token after it, which the next one starts with."""
     block = TINY.block_size
     windows = docs.select("doc_id", "ids", F.explode(F.expr(f"sequence(0, greatest(size(ids) - 2, 0), {block})")).alias("start"))
     rows = spread(windows.select("doc_id", F.slice("ids", F.col("start") + 1, block + 1).alias("ids")))
-    scored = model.forward(rows, TINY, model.random_weights(TINY), ahead=True)
+    scored = model.forward(rows, TINY, weights, ahead=True)
     targets = F.sum(F.greatest(F.col("n") - 1, F.lit(0)))
     return scored.groupBy("doc_id").agg((targets + F.max(F.least("n", F.lit(1)))).alias("tokens"), F.round(F.sum(F.when(F.col("n") > 1, F.col("loss") * (F.col("n") - 1))) / targets, 6).alias("loss"))
 
@@ -178,13 +229,19 @@ def score_windows(docs):
 @_C.add()
 def model_forward(spark, sf):
     """The tiny model over windows of every document's bytes; each token after a document's first is a target once."""
-    windows = table(spark, sf, "documents").select("doc_id", F.coalesce(utf8_ids(F.col("text")), F.array().cast("array<int>")).alias("ids"))
-    return score_windows(windows)
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    ids = Codec([]).encode(F.coalesce("text", F.lit("")))
+    return score_windows(docs.select("doc_id", ids.alias("ids")), tiny_weights(spark))
+
+
+#: The tiny model with room for a whole benchmark text and what is grown from it.
+LONG = dataclasses.replace(TINY, block_size=4_096)
+GROWN = 6
 
 
 @_C.add()
 def generate(spark, sf):
-    prompt = spark.createDataFrame([("Hello, I'm a language model,",)], "text string")
-    prompts = sampling.repeat(prompt, 5).select("seq", utf8_ids(F.col("text")).alias("ids"))
-    grown = model.generate(prompts, TINY, model.random_weights(TINY), length=40)
-    return grown.select("seq", F.size("ids").alias("n"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+    """Two continuations of every benchmark text, GROWN tokens each."""
+    prompts = sampling.repeat(table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), Codec([]).encode("text").alias("ids")), 2)
+    grown = model.generate(spread(prompts.where("ids IS NOT NULL")), LONG, model.random_weights(LONG), length=F.size("ids") + GROWN)
+    return grown.select("id", "seq", F.size("ids").alias("n"), F.array_join(F.slice("ids", -GROWN, GROWN).cast("array<string>"), ",").alias("last"))

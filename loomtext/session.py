@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def get_session(app: str = "loomtext", master: str | None = None, **conf: str) -> SparkSession:
@@ -27,12 +28,14 @@ def get_session(app: str = "loomtext", master: str | None = None, **conf: str) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder of spark.checkpoint.dir; where that is unset, a temporary one in local mode and an error on a cluster."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomtext-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -51,12 +54,37 @@ def pinned(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-BROADCAST_ROWS = 200_000
+def unpinned(df: DataFrame) -> None:
+    """Deletes the table of a frame that `pinned` gave and that nothing reads any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, with a broadcast hint only if it is counted to have at most `rows` rows; beyond that joins shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+
+
+def _width(field) -> Column:
+    """About the bytes of a value: strings and binaries by length, arrays by their elements."""
+    kind, c = field.dataType, F.col(f"`{field.name}`")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(c)
+    elif isinstance(kind, T.ArrayType):
+        size = F.length(F.to_json(c)) if isinstance(kind.elementType, (T.StringType, T.ArrayType, T.StructType)) else 8 * F.size(c)
+    elif isinstance(kind, (T.StructType, T.MapType)):
+        size = F.length(F.to_json(c))
+    else:
+        size = F.lit(0)
+    return F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)) + 16
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df, with a broadcast hint only if it is measured to have at most `rows` rows and about `size` bytes; beyond
+    that joins shuffle."""
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(sum((_width(f) for f in df.schema), F.lit(0)).cast("long")).alias("size")).first()
+    return F.broadcast(df) if found["n"] <= rows and (found["size"] or 0) <= size else df
 
 
 ARROW_ROWS = 1_000

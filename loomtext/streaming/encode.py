@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from loomtext.functions import bytes as B
+from loomtext.operators.bpe import Codec
 
 
 def read_documents(spark: SparkSession, folder: str, schema: str = "doc_id long, text string, lang string, source string, n_chars long") -> DataFrame:
@@ -15,5 +14,5 @@ def read_documents(spark: SparkSession, folder: str, schema: str = "doc_id long,
 
 def encode_stream(docs: DataFrame, merges: list[tuple[int, int, int]], folder: str, checkpoint: str) -> StreamingQuery:
     """Appends (doc_id, ids) for all files that are there, then stops; run again for what has come since."""
-    rows = docs.select("doc_id", B.ids_of(B.encode_string(B.byte_string(F.col("text")), merges)).alias("ids"))
+    rows = docs.select("doc_id", Codec(merges).encode("text").alias("ids"))
     return rows.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

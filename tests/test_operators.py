@@ -1,15 +1,19 @@
 """Hand-worked cases and properties."""
 
+import base64
+import math
 import random
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
 
 from loomtext.functions import bytes as B
-from loomtext.operators import bpe, model, order, packing
+from loomtext.operators import attention, bpe, model, order, packing, sampling
+from loomtext.session import small_side
 from loomtext.sources import sinks
 from loomtext.sources import text as sources
 from loomtext.streaming import encode
@@ -36,8 +40,91 @@ def test_merge_is_left_to_right(spark):
 
 
 def test_pairs_overlap_and_stay_in_documents(spark):
-    rows = bpe.pair_counts(_docs(spark, ["aaa", "a", ""]), B.utf8_ids(F.col("text"))).collect()
-    assert [tuple(r) for r in rows] == [(97, 97, 2)]
+    docs = _docs(spark, ["aaa", "a", "", None, "ba"])
+    assert sorted(tuple(r) for r in bpe.pair_counts(docs).collect()) == [(97, 97, 2), (98, 97, 1)]
+    assert sorted(tuple(r) for r in bpe.pair_counts(docs, by_document=True).collect()) == [(0, 97, 97, 2), (4, 98, 97, 1)]
+    assert bpe.pair_counts(docs.limit(0)).count() == 0
+
+
+def merged(ids, a, b, new):
+    out, i = [], 0
+    while i < len(ids):
+        hit = ids[i : i + 2] == [a, b]
+        out.append(new if hit else ids[i])
+        i += 2 if hit else 1
+    return out
+
+
+def brute_training(texts, n):
+    """One merge after the other, each after a full count; a dict keeps the order of first occurrences."""
+    rows, found = [list(t.encode()) for t in texts], []
+    while len(found) < n:
+        counts = {}
+        for ids in rows:
+            for pair in zip(ids, ids[1:]):
+                counts[pair] = counts.get(pair, 0) + 1
+        if not counts:
+            break
+        a, b = max(counts, key=counts.get)
+        found.append((a, b, 256 + len(found)))
+        rows = [merged(ids, *found[-1]) for ids in rows]
+    return found
+
+
+def brute_encoding(text, merges):
+    ids, rank = list(text.encode()), {(a, b): i for i, (a, b, _) in enumerate(merges)}
+    while known := [rank[p] for p in zip(ids, ids[1:]) if p in rank]:
+        ids = merged(ids, *merges[min(known)])
+    return ids
+
+
+@pytest.mark.parametrize("hot, run_ids", [(1, 1 << 20), (3, 1 << 20), (64, 40), (1 << 16, 1 << 20)])
+def test_training_is_one_merge_after_the_other(spark, hot, run_ids):
+    """Whatever the number of hot pairs and the bound on runs, which only decide how many rounds there are."""
+    draw = random.Random(hot)
+    texts = ["".join(draw.choice("aab c") for _ in range(draw.randrange(50))) for _ in range(40)] + ["aaaaaaa", "", "é" * 9]
+    merges = {1: 5, 3: 12}.get(hot, 40)
+    assert bpe.train_stream(_docs(spark, texts).repartition(3), merges, hot=hot, run_ids=run_ids) == brute_training(texts, merges)
+
+
+def test_training_within_pieces(spark):
+    draw = random.Random(8)
+    words = ["".join(draw.choice("abcd") for _ in range(draw.randrange(1, 7))) for _ in range(30)]
+    texts = [" ".join(draw.choice(words) for _ in range(draw.randrange(12))) for _ in range(50)]
+    pieces = [p for t in texts for p in regex.findall(bpe.GPT2_SPLIT, t)]
+    assert bpe.train_chunks(_docs(spark, texts), 60, hot=7) == brute_training(pieces, 60)
+    rows = bpe.vocabulary(spark, [(97, 98, 256)], "<|end|>").orderBy("id").collect()
+    assert [bytes(r["bytes"]) for r in rows[-2:]] == [b"ab", b"<|end|>"] and rows[-1]["id"] == 257
+
+
+def test_codec(spark):
+    draw = random.Random(3)
+    texts = ["".join(draw.choice("abc é") for _ in range(draw.randrange(60))) for _ in range(80)] + ["aaaaa", "", None, "😀"]
+    merges = brute_training([t for t in texts if t], 90)
+    codec = bpe.Codec(merges)
+    codec.register(spark)
+    _docs(spark, texts).createOrReplaceTempView("texts")
+    for r in spark.sql("SELECT *, bpe_decode(ids) AS back, bpe_decode_bytes(ids) AS raw FROM (SELECT text, bpe_encode(text) AS ids, bpe_encode_pieces(split(text, '(?= )')) AS apart FROM texts)").collect():
+        assert r["ids"] == (None if r["text"] is None else brute_encoding(r["text"], merges))
+        assert r["back"] == r["text"] and (r["raw"] is None or bytes(r["raw"]).decode() == r["text"])
+        if r["text"]:
+            assert r["apart"] == [i for p in regex.split("(?= )", r["text"]) if p for i in brute_encoding(p, merges)]
+    for ids in ([999], [-1], [97, None]):
+        with pytest.raises(Exception, match="unknown token id"):
+            spark.createDataFrame([(ids,)], "ids array<int>").select(codec.decode("ids")).collect()
+    row = spark.createDataFrame([([0x61, 0xE0, 0xA4, 0xFF, 0x62],)], "ids array<int>").select(codec.decode("ids")).first()
+    assert row[0] == "a\ufffd\ufffdb"
+    with pytest.raises(ValueError):
+        bpe.Codec([(97, 97, 256 + i) for i in range(bpe.MAX_MERGES + 1)])
+    with pytest.raises(ValueError):
+        B.encode_string(F.col("text"), merges)
+
+
+def test_byte_pairs_in_sql(spark):
+    bpe.register_pairs(spark)
+    _docs(spark, ["aab", "", None]).createOrReplaceTempView("texts")
+    rows = spark.sql("SELECT doc_id, byte_pairs(text) AS p FROM texts ORDER BY doc_id").collect()
+    assert [None if r["p"] is None else [tuple(x) for x in r["p"]] for r in rows] == [[(97, 97, 1), (97, 98, 1)], [], None]
 
 
 def test_invalid_bytes_become_replacements(spark):
@@ -47,40 +134,24 @@ def test_invalid_bytes_become_replacements(spark):
         spark.range(1).select(B.decode_string(B.id_string(F.array(F.lit(300))), [])).collect()
 
 
-def test_fold_is_lowest_rank_first(spark):
-    draw = random.Random(3)
-    texts = ["".join(draw.choice("abc") for _ in range(draw.randrange(40))) for _ in range(60)]
-    merges = bpe.train_stream(_docs(spark, texts), 6)
-    table = {(a, b): i for i, (a, b, _) in enumerate(merges)}
-    found = {r["doc_id"]: r["ids"] for r in _docs(spark, texts).select("doc_id", B.ids_of(B.encode_string(B.byte_string(F.col("text")), merges)).alias("ids")).collect()}
-    for k, text in enumerate(texts):
-        ids = list(text.encode())
-        while (pairs := [table[p] for p in zip(ids, ids[1:]) if p in table]):
-            a, b, new = merges[min(pairs)]
-            out, i = [], 0
-            while i < len(ids):
-                hit = ids[i : i + 2] == [a, b]
-                out.append(new if hit else ids[i])
-                i += 2 if hit else 1
-            ids = out
-        assert found[k] == ids
-
-
 def test_training_stops_without_pairs(spark):
     assert bpe.train_stream(_docs(spark, ["ab", None, ""]), 9) == [(97, 98, 256)]
     assert bpe.train_chunks(_docs(spark, ["ab ab"]), 1) == [(97, 98, 256)]
+    assert bpe.train_stream(_docs(spark, []), 5) == [] == bpe.train_chunks(_docs(spark, []), 5)
 
 
-def test_split_patterns_keep_the_text(spark):
-    texts = ["Let's test pre-tokenization!", "हिन्दी वाक्य।", "a  b\n\n c", ""]
+def test_split_patterns(spark):
+    """Against another engine's matches, with what lies between them as pieces of its own."""
+    texts = ["Let's test pre-tokenization!", "LET'S abc1 don''t \u00a0x", "हिन्दी वाक्य। और, \"यह\"!", "ಕನ್ನಡ ಹ್ಯಾಮಿಲ್ಟನ್ (ಜುಲೈ 5,1948).", "a  b\n\n c\t", "", "__x_1 ऽ़ 7"]
+    gap = lambda start, end, t: [t[start:end]] if end > start else []
     for pattern in (bpe.GPT2_SPLIT, bpe.INDIC_SPLIT):
         for r in _docs(spark, texts).select("text", bpe.pre_tokens(F.col("text"), pattern).alias("p")).collect():
-            assert "".join(r["p"]) == r["text"]
-    assert "हिन्दी" in bpe_pieces(spark, "हिन्दी", bpe.INDIC_SPLIT)
-
-
-def bpe_pieces(spark, text, pattern):
-    return _docs(spark, [text]).select(bpe.pre_tokens(F.col("text"), pattern)).first()[0]
+            want, at = [], 0
+            for m in regex.finditer(pattern if pattern == bpe.GPT2_SPLIT else f"(?i){bpe.INDIC_WORDS}|{bpe.INDIC_SIGNS}", r["text"]):
+                want += gap(at, m.start(), r["text"]) + [m.group()]
+                at = m.end()
+            assert r["p"] == want + gap(at, len(r["text"]), r["text"])
+    assert "हिन्दी" in _docs(spark, ["हिन्दी"]).select(bpe.pre_tokens(F.col("text"), bpe.INDIC_SPLIT)).first()[0]
 
 
 @pytest.mark.parametrize("n", [0, 5, 12, 13, 24, 25, 40])
@@ -122,7 +193,9 @@ def test_lookup_decodes_every_document(spark):
 def test_every_document_is_decoded(spark):
     from loomtext.plans import registry
 
-    assert registry.QUERIES["decode_all_by_lookup"](spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+    texts = spark.read.parquet(f"{SF}/documents.parquet").where("text <> ''").count()
+    for name in ("decode_all_by_lookup", "decode_by_join"):
+        assert registry.QUERIES[name](spark, SF).count() == texts
 
 
 def test_files(spark, tmp_path):
@@ -139,20 +212,136 @@ def test_files(spark, tmp_path):
     assert {r["id"] for r in spark.read.parquet(str(tmp_path / "tok/special")).collect()} == {258}
 
 
-def test_model(spark):
-    config = model.Config(block_size=4, vocab_size=16, n_layer=1, n_head=2, n_embd=8)
-    weights = model.random_weights(config)
-    rows = spark.createDataFrame([(1, [1, 2, 3]), (2, []), (3, [4])], "doc_id long, ids array<int>")
-    found = {r["doc_id"]: r for r in model.forward(rows, config, weights).collect()}
-    assert found[1]["loss"] > 0 and found[2]["n"] == 0 and found[3]["next_id"] is not None
+def test_rank_file_and_text_sink(spark, tmp_path):
+    words = [bytes([i]) for i in range(256)] + [b"th", b"the"]
+    (tmp_path / "ranks").write_text("".join(f"{base64.b64encode(w).decode()} {i}\n" for i, w in enumerate(words)) + "\n")
+    rows = sources.read_ranks(spark, str(tmp_path / "ranks")).orderBy("id").collect()
+    assert [bytes(r["bytes"]) for r in rows] == words and [r["id"] for r in rows] == list(range(258))
+    docs = spark.createDataFrame([(1, "en", "a"), (2, "fr", "é")], "doc_id long, lang string, text string").coalesce(1)
+    path = sinks.write_corpus(docs, str(tmp_path / "out"), seed=1, n=2, source="s", as_text=True)
+    assert sinks.write_corpus(docs.limit(1), str(tmp_path / "out"), seed=1, n=2, source="s", as_text=True) == path
+    assert "".join(f.read_text("utf-8") for f in sorted((tmp_path / "out/s-seed1-n2").glob("part-*"))) == "a\né\n"
+
+
+def test_languages(spark):
+    docs = spark.createDataFrame([(1, "fr"), (2, None), (3, "en"), (4, "es")], "doc_id long, lang string")
+    assert {r["doc_id"]: r["src_order"] for r in sources.union_by_language(docs).collect()} == {3: 0, 4: 1, 1: 2, 2: 3}
+    assert {r["doc_id"]: r["src_order"] for r in sources.union_by_language(docs, ("fr", "en")).collect()} == {1: 0, 3: 1}
+
+
+def test_offsets_of_nulls_and_ties(spark):
+    rows = spark.createDataFrame([(None, 3), (5, 1), (5, 2), (5, 2), (1, 4)], "doc_id long, n long")
+    found = order.with_offset(rows, "doc_id", F.col("n"), rows_per_part=2).orderBy("offset").collect()
+    assert [r["doc_id"] for r in found] == [None, 1, 5, 5, 5]
+    assert all(a["offset"] + a["n"] == b["offset"] for a, b in zip(found, found[1:])) and found[0]["offset"] == 0
+    assert order.with_position(rows.limit(0), "doc_id").count() == 0
+
+
+def test_broadcasts_are_bounded(spark):
+    rows = spark.createDataFrame([("x" * 1000, [1.0] * 100)] * 50, "a string, b array<double>")
+    hinted = lambda df: "BroadcastHashJoin" in rows.join(df, "a")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert hinted(small_side(rows)) and not hinted(small_side(rows, size=50_000)) and not hinted(small_side(rows, rows=49))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+CONFIG = model.Config(block_size=6, vocab_size=16, n_layer=2, n_head=2, n_embd=8)
+
+
+def some_weights(config=CONFIG):
+    draw = np.random.default_rng(4)
+    return {k: draw.normal(0, 0.5, s).astype(np.float32) for k, s in model.shapes(config).items()}
+
+
+def plain_logits(ids, w, config=CONFIG):
+    """The published model, position by position, with Python loops over layers, heads and keys."""
+    c, d = config.n_embd, config.n_embd // config.n_head
+    norm = lambda v, n: (v - v.mean()) / np.sqrt(((v - v.mean()) ** 2).mean() + 1e-5) * w[n + ".weight"] + w[n + ".bias"]
+    affine = lambda v, n: np.array([float(r @ v) for r in w[n + ".weight"].astype(float)]) + w[n + ".bias"]
+    x = [w["transformer.wte.weight"][i].astype(float) + w["transformer.wpe.weight"][p] for p, i in enumerate(ids)]
+    for layer in range(config.n_layer):
+        at = f"transformer.h.{layer}."
+        qkv = [affine(norm(v, at + "ln_1"), at + "attn.c_attn") for v in x]
+        mixed = []
+        for p in range(len(ids)):
+            heads = []
+            for h in range(config.n_head):
+                cut = lambda v, part, h=h: v[part * c + h * d : part * c + h * d + d]
+                e = [math.exp(cut(qkv[p], 0) @ cut(qkv[s], 1) / math.sqrt(d)) for s in range(p + 1)]
+                heads.append(sum(e[s] / sum(e) * cut(qkv[s], 2) for s in range(p + 1)))
+            mixed.append(np.concatenate(heads))
+        x = [v + affine(m, at + "attn.c_proj") for v, m in zip(x, mixed)]
+        gelu = lambda v: 0.5 * v * (1 + np.tanh(math.sqrt(2 / math.pi) * (v + 0.044715 * v**3)))
+        x = [v + affine(gelu(affine(norm(v, at + "ln_2"), at + "mlp.c_fc")), at + "mlp.c_proj") for v in x]
+    return np.array([[float(row @ norm(v, "transformer.ln_f")) for row in w["transformer.wte.weight"].astype(float)] for v in x])
+
+
+def test_model_by_loops(spark):
+    w = some_weights()
+    sequences = {1: [1, 2, 3], 2: [], 3: [4], 4: [15, 0, 7, 7, 2, 1]}
+    rows = spark.createDataFrame(list(sequences.items()), "doc_id long, ids array<int>")
+    for r in model.forward(rows, CONFIG, w).collect():
+        ids = sequences[r["doc_id"]]
+        assert r["n"] == len(ids)
+        if ids:
+            z = plain_logits(ids, w)
+            assert r["next_id"] == z[-1].argmax()
+            if len(ids) > 1:
+                assert r["loss"] == pytest.approx(np.mean([np.log(np.exp(row).sum()) - row[t] for row, t in zip(z, ids[1:])]), abs=1e-3)
     with pytest.raises(Exception, match="over the block size"):
-        model.forward(spark.createDataFrame([(1, [1] * 5)], "doc_id long, ids array<int>"), config, weights).collect()
+        model.forward(spark.createDataFrame([(1, [1] * 7)], "doc_id long, ids array<int>"), CONFIG, w).collect()
     with pytest.raises(ValueError):
         model.Config(n_head=5)
-    own = spark.createDataFrame([("w", [2])], "name string, shape array<int>")
-    other = spark.createDataFrame([("v", [2], [1.0, 2.0])], "name string, shape array<int>, values array<double>")
-    with pytest.raises(Exception, match="no match for"):
-        model.match_checkpoint(own, other).collect()
+
+
+def test_generation_by_loops(spark):
+    w = some_weights()
+    prompts = spark.createDataFrame([(1, 1, [1, 2]), (1, 2, [1, 2]), (2, 1, [3]), (3, 1, [])], "id long, seq int, ids array<int>")
+    u = {(r["id"], r["seq"], n): r[f"u{n}"] for r in prompts.select("id", "seq", *(sampling.uniform(42, F.col("id").cast("string"), F.col("seq").cast("string"), F.lit(str(n))).alias(f"u{n}") for n in range(6))).collect() for n in range(6)}
+    for r in model.generate(prompts, CONFIG, w, length=5, k=4).collect():
+        ids = {1: [1, 2], 2: [3], 3: []}[r["id"]]
+        while 0 < len(ids) < 5:
+            z = plain_logits(ids, w)[-1]
+            best = sorted(range(16), key=lambda i: (-z[i], i))[:4]
+            p = [math.exp(z[i] - z.max()) for i in best]
+            goal, total = u[r["id"], r["seq"], len(ids)] * sum(p), 0.0
+            for i, v in zip(best, p):
+                total += v
+                if total >= goal:
+                    break
+            ids = ids + [i]
+        assert r["ids"] == ids
+
+
+def test_checkpoint_fills_the_model(spark, tmp_path):
+    w = some_weights()
+    stored = {k: v.T.copy() if k.endswith(model.TRANSPOSED) else v for k, v in w.items()} | {"transformer.h.0.attn.bias": np.zeros((1, 1))}
+    model.weight_table(spark, stored).write.parquet(str(tmp_path / "weights"))
+    own = model.own_names(spark, CONFIG)
+    found = model.load_weights(model.match_checkpoint(own, sources.read_weights(spark, str(tmp_path / "weights"))))
+    assert set(found) == set(w) and all(np.array_equal(found[k], w[k]) for k in w)
+    for wrong in ({k: v for k, v in stored.items() if "wpe" not in k}, stored | {"other": np.zeros(2)}, stored | {"transformer.wpe.weight": np.zeros((2, 2))}):
+        with pytest.raises(Exception, match="no match for"):
+            model.match_checkpoint(own, model.weight_table(spark, wrong)).collect()
+    with pytest.raises(ValueError):
+        model.load_weights(model.weight_table(spark, w), limit=10)
+
+
+def test_attention_and_head_in_blocks(spark):
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(23, 4))
+    rows = spark.createDataFrame([(int(i % 2), int(i // 2), int(i), x[i].tolist()) for i in range(23)], "label int, pos long, vec_id long, x array<double>")
+    for r in attention.causal(rows, block=3).collect():
+        keys = [j for j in range(23) if j % 2 == r["vec_id"] % 2 and j <= r["vec_id"]]
+        e = np.exp(x[keys] @ x[r["vec_id"]] / 2)
+        assert r["keys"] == len(keys) and np.allclose(r["mixed"], e @ x[keys] / e.sum())
+    states = rows.select("vec_id", "x")
+    tokens = states.unionByName(states.selectExpr("vec_id + 100 AS vec_id", "x")).withColumnRenamed("vec_id", "token")  # ties
+    found = attention.likeliest(states, tokens, state_block=4, token_block=5).collect()
+    assert len(found) == 23 and all(r["token"] % 100 == (x @ x[r["vec_id"]]).argmax() for r in found)
+    assert attention.likeliest(states, tokens.limit(0)).count() == 0
 
 
 def test_every_target_is_scored_once(spark):
@@ -161,7 +350,7 @@ def test_every_target_is_scored_once(spark):
     draw = random.Random(6)
     weights, block = model.random_weights(TINY), TINY.block_size
     texts = {n: [draw.randrange(256) for _ in range(n)] for n in (0, 1, 2, 63, 64, 65, 66, 128, 129, 200)}
-    found = {r["doc_id"]: r for r in score_windows(spark.createDataFrame(list(texts.items()), "doc_id long, ids array<int>")).collect()}
+    found = {r["doc_id"]: r for r in score_windows(spark.createDataFrame(list(texts.items()), "doc_id long, ids array<int>"), weights).collect()}
     for n, ids in texts.items():
         losses = []
         for start in range(0, n - 1, block):
