@@ -53,10 +53,11 @@ def pack(docs: DataFrame, b: int, t: int, tokens: int | None = None) -> DataFram
 
     cut = F.filter(ends, lambda r: (r >= 0) & (r < rows) & ((r * t < F.col("offset")) | (r * t + t + 1 > last)))
     # Slices are cut before the explode: exploded rows must not each carry the whole document.
-    parts = docs.where(size > 0).select(F.explode(F.transform(cut, part)).alias("e")).select("e.*").where(F.size("part") > 0)
+    # No filter on ids: it would be pushed below joins and have ids computed twice.
+    parts = docs.select(F.explode(F.when(size > 0, F.transform(cut, part))).alias("e")).select("e.*").where(F.size("part") > 0)
     joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "part"))), lambda e: e["part"]))
     seams = parts.groupBy("r").agg(joined.alias("w")).where(F.size("w") == t + 1).select("r", F.slice("w", 1, t).alias("x"), F.slice("w", 2, t).alias("y"))
-    packed = docs.select("offset", "ids").where(size > t).mapInArrow(within, "r long, x array<int>, y array<int>").unionByName(seams)
+    packed = docs.select("offset", "ids").mapInArrow(within, "r long, x array<int>, y array<int>").unionByName(seams)
     return packed.select(F.floor(F.col("r") / b).cast("long").alias("batch"), (F.col("r") % b).cast("int").alias("row"), "x", "y")
 
 

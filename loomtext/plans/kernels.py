@@ -219,8 +219,8 @@ def normal_init(spark, sf):
 def score_windows(docs, weights):
     """(doc_id, tokens, loss) of (doc_id, ids): windows are a block and the token after it, which the next one starts with."""
     block = TINY.block_size
-    windows = docs.select("doc_id", "ids", F.explode(F.expr(f"sequence(0, greatest(size(ids) - 2, 0), {block})")).alias("start"))
-    rows = spread(windows.select("doc_id", F.slice("ids", F.col("start") + 1, block + 1).alias("ids")))
+    windows = F.transform(F.expr(f"sequence(0, greatest(size(ids) - 2, 0), {block})"), lambda start: F.slice("ids", start + 1, block + 1))
+    rows = docs.select("doc_id", F.explode(windows).alias("ids"))  # cut before the explode: a row is one window
     scored = model.forward(rows, TINY, weights, ahead=True)
     targets = F.sum(F.greatest(F.col("n") - 1, F.lit(0)))
     return scored.groupBy("doc_id").agg((targets + F.max(F.least("n", F.lit(1)))).alias("tokens"), F.round(F.sum(F.when(F.col("n") > 1, F.col("loss") * (F.col("n") - 1))) / targets, 6).alias("loss"))
