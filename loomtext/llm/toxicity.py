@@ -4,9 +4,14 @@ P(grade >= k) = sigmoid(w . x - theta_k), k = 1..K-1, with one weight vector for
 theta ascending. x marks which hashed words and word beginnings a text has, however long it is.
 The score is the expected severity, sum_k P(grade >= k), between 0 and K - 1.
 
+The labels know two grades. The graded severity of a toxic text is therefore made here, out of how many marker
+features it holds (`severity_grades`): it orders toxic texts by how densely they are toxic, and no true grade is there
+to test it by. What is tested is the 0/1 decision and that the model fits the grades that it is given.
+
 Defined cases: a null or empty text has no features, so its severity is that of the thresholds alone
-(near 0). Without labelled rows of both kinds there is no model, and every severity is 0. Repeated
-rows get equal scores; extra columns pass through untouched, whatever their names.
+(near 0). Without labelled rows of both kinds (an empty table, say) there is no model, and every severity is 0.
+Repeated rows get equal scores, and count once in the fit; rows that share a doc_id but not the text are fitted apart.
+Extra columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -126,7 +131,9 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = SAMPLE_PER_CLA
     keyed = pinned(docs.select("doc_id", F.xxhash64(F.lit(seed), "text").alias("h")).join(marks, "doc_id").groupBy("h").agg(F.max("mark").alias("mark"), F.min("doc_id").alias("doc_id")), "labelled")
     sample = [least_hashed(keyed.where(F.col("mark") == m), F.col("h"), per_class) for m in (0, 1)]
     picked = F.broadcast(sample[0].unionByName(sample[1]))
-    texts = docs.select("doc_id", "text").join(picked, "doc_id").dropDuplicates(["doc_id"]).select("h", "text", "mark")
+    # One row for each picked text, whatever other texts share its doc_id; of texts with one hash the least.
+    hashed = docs.select("doc_id", "text", F.xxhash64(F.lit(seed), "text").alias("h"))
+    texts = hashed.join(picked, ["doc_id", "h"]).groupBy("h", "mark").agg(F.min("text").alias("text")).select("h", "text", "mark")
 
     def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
