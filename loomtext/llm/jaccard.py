@@ -11,7 +11,8 @@ Texts with equal sets are one class, compared once. Pairs are never rows: tasks
 forests, so a group of n near copies costs n rows. Groups over a block are cut into a grid of blocks.
 
 Defined cases: a text without words (null, empty, only punctuation) links with nothing and is its own class. Texts
-that differ in case or punctuation alone are copies. Repeated rows are copies. Extra columns aren't read.
+that differ in case or punctuation alone are copies. Repeated rows are copies. An empty table gives an empty result.
+Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.components import Forest, components
-from loomtext.llm.runs import dealt, gridded, runs
+from loomtext.llm.runs import crossing, dealt, gridded, runs
 from loomtext.llm.tokens import mix, slices, token_hashes
 from loomtext.session import pinned, small_side
 
@@ -161,11 +162,6 @@ def near_groups(classes: DataFrame, *, trees: int, depth: int, shortest: int, th
     return dealt(shared.withColumn("leaf", leaf), key, "leaf").drop("leaf").mapInPandas(lambda batches: runs(batches, key, match), "a long, b long")
 
 
-def crossing(own_a, own_b, lo, hi):
-    """Whether a pair belongs to the cell: one row from block lo, one from hi."""
-    return (np.minimum(own_a, own_b) == lo) & (np.maximum(own_a, own_b) == hi)
-
-
 def verified(docs: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
     """(a, b, links): for each pair of a group's classes with Jaccard >= threshold, links counts b's copies at a; forest edges have null links."""
     key = ["root", "lo", "hi"]
@@ -228,6 +224,8 @@ def join(docs: DataFrame, *, threshold: float = THRESHOLD, trees: int = TREES, d
     named = roots.join(named, "root").select("node", "class_id", (F.col("node") == F.col("first.node")).alias("leads"))
     about = classes.join(named, "node", "left").join(links, "node", "left").select(
         "set_hash", F.coalesce("class_id", "rep_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("leads", F.lit(True)).alias("leads"), "rep_id", "rep_hash")
-    return rows.select("doc_id", "text_hash", "set_hash").join(about, "set_hash", "left").select(
-        "doc_id", "text_hash", F.when(F.col("set_hash").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        (F.col("set_hash").isNull() | (F.col("leads") & F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash")))).alias("is_representative"))
+    named = rows.where("set_hash IS NOT NULL").select("doc_id", "text_hash", "set_hash").join(about, "set_hash").select(
+        "doc_id", "text_hash", "class_id", F.col("n_links").cast("long").alias("n_links"), (F.col("leads") & F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash"))).alias("is_representative"))
+    # Texts without words stay out of the join, where their nulls would be one key.
+    alone = rows.where("set_hash IS NULL").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("is_representative"))
+    return named.unionByName(alone)

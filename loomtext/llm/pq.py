@@ -6,13 +6,15 @@ A vector probes every list from its home on, by number, that can hold a neighbou
 the other side, so that a pair of two lists meets once: with cosine >= t, unit vectors are at most r = sqrt(2 - 2t)
 apart, so the neighbour's home is no farther than r beyond the plane between the two centroids. In a list, table
 lookups give the distance to each coded vector; those within r plus what that code misses are candidates, and their
-cosine is computed from the vectors. Neither step can lose a link, whatever the sample.
+cosine is computed from the vectors. Neither step can lose a link, whatever the sample. There are as many lists as the
+largest label has LIST_ROWS vectors: fewer, larger ones would look up more, more of them would be probed more often.
 
 Vectors that are equal as unit vectors are one class, compared once. Tasks return link counts and spanning forests,
 never pairs; lists over a block are cut into a grid of blocks.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and those of null label, link
-with nothing. Repeated rows are copies of each other. A null vec_id has a null component of its own unless it links. Extra columns aren't read.
+with nothing. Repeated rows are copies of each other. A null vec_id has a null component of its own unless it links. An empty table gives
+an empty result. Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -27,18 +29,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.components import Forest, components
-from loomtext.llm.runs import dealt, runs
+from loomtext.llm.runs import crossing, dealt, gridded, runs
 from loomtext.llm.sampling import least_hashed
-from loomtext.session import pinned, small_side
+from loomtext.session import pinned
 
 COSINE = 0.98
 SAMPLE = 20_000
 MAX_LISTS = 1024
-LIST_ROWS = 800
+LIST_ROWS = 4096
 SUBSPACES = 8
 CODES = 64
-BLOCK = 2048
+BLOCK = 8192
 _SLACK = 1e-6
+_LOOKUP_SLACK = 1e-3  # lookups add single-precision numbers
 
 
 def units(vectors: list) -> list[np.ndarray | None]:
@@ -87,26 +90,27 @@ class Quantiser:
         return home, codes.astype(np.uint8), np.sqrt((rest**2).sum(axis=1))
 
     def probes(self, x: np.ndarray, home: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) for all lists, from each row's home on, that a vector within `radius` can have as its home."""
+        """(row, list) for all lists, after each row's home, that a vector within `radius` can have as its home."""
         square = (x**2).sum(axis=1)[:, None] + (self.centres**2).sum(axis=1)[None, :] - 2 * x @ self.centres.T
         norms = (self.centres**2).sum(axis=1)
         apart = np.sqrt(np.maximum(0, norms[home][:, None] + norms[None, :] - 2 * self.centres[home] @ self.centres.T))
         within = square - square[np.arange(len(x)), home][:, None] <= 2 * radius * apart + _SLACK
-        return np.nonzero(within & (np.arange(len(self.centres))[None, :] >= home[:, None]))
+        return np.nonzero(within & (np.arange(len(self.centres))[None, :] > home[:, None]))
 
-    def distances(self, queries: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric distances (queries, coded vectors) by table lookup."""
+    def near(self, queries: np.ndarray, cell: int, codes: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """Whether the asymmetric distance, by table lookup, of each query to each coded vector is within its reach."""
         rest = queries - self.centres[cell]
-        total = np.zeros((len(queries), len(codes)))
+        total = np.zeros((len(queries), len(codes)), np.float32)
         for j, (p, b) in enumerate(zip(self.parts, self.books)):
             table = (rest[:, p] ** 2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :] - 2 * rest[:, p] @ b.T
-            total += table[:, codes[:, j]]
-        return np.sqrt(np.maximum(total, 0))
+            total += np.take(table.astype(np.float32), codes[:, j], axis=1)
+        return total <= ((reach + _LOOKUP_SLACK) ** 2).astype(np.float32)[None, :]
 
 
 def fit(classes: DataFrame, *, sample: int = SAMPLE, seed: int = 1) -> dict[int, Quantiser]:
     """Quantisers by dimension, from the `sample` vectors with the least seeded hash; fitted in one task."""
-    lists = int(min(MAX_LISTS, max(1, classes.count() // LIST_ROWS)))
+    largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
+    lists = int(min(MAX_LISTS, max(1, -(-largest // LIST_ROWS))))
 
     def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = pd.concat([*batches, pd.DataFrame({"dim": [], "unit": []})])
@@ -137,68 +141,63 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, block: int =
     shared = vectors.sparkSession.sparkContext.broadcast(models)
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each class once in its home list (side 0) and once in each list that it probes (side 1, or 2 where it isn't at home)."""
+        """Each class once in its home list, with its codes, and once, as a guest, in each list after it that it probes."""
         for batch in batches:
             for dim, group in batch.groupby("dim"):
                 model = shared.value.get(int(dim)) or Quantiser(np.zeros((1, int(dim))), 1)
-                for some in np.array_split(np.arange(len(group)), max(1, len(group) // 256)):
-                    part = group.iloc[some]
-                    x = np.stack([np.frombuffer(u) for u in part["unit"]])
-                    home, codes, missed = model.place(x)
-                    base = part[["label", "dim", "node", "copies", "unit"]]
-                    yield base.assign(cell=home, side=0, codes=[c.tobytes() for c in codes], missed=missed)
-                    row, cell = model.probes(x, home, radius)
-                    yield base.iloc[row].assign(cell=cell, side=np.where(cell == home[row], 1, 2), codes=b"", missed=0.0)
-
-    places = classes.select("label", "dim", "node", "copies", "unit").mapInPandas(placed, "label string, dim int, node long, copies long, unit binary, cell int, side int, codes binary, missed double")
+                x = np.stack([np.frombuffer(u) for u in group["unit"]])
+                home, codes, missed = model.place(x)
+                yield group.assign(cell=home, guest=False, codes=[c.tobytes() for c in codes], missed=missed)
+                row, cell = model.probes(x, home, radius)
+                yield group.iloc[row].assign(cell=cell, guest=True, codes=b"", missed=0.0)
+
+    places = classes.select("label", "dim", "node", "copies", "unit").mapInPandas(placed, "label string, dim int, node long, copies long, unit binary, cell int, guest boolean, codes binary, missed double")
     key = ["label", "dim", "cell"]
-    held, asking = F.sum((F.col("side") == 0).cast("int")), F.sum((F.col("side") > 0).cast("int"))
-    sizes = pinned(places.groupBy(*key).agg(F.ceil(held / block).cast("int").alias("lists"), F.ceil(asking / block).cast("int").alias("asks")).where("lists > 0 AND asks > 0"), "sizes")
-    spread = places.join(small_side(sizes), key).withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, F.col("lists")).otherwise(F.col("asks"))).cast("int"))
-    spread = spread.withColumn("other", F.explode(F.expr("sequence(0, CASE side WHEN 0 THEN asks ELSE lists END - 1)")))
-    spread = spread.withColumn("lo", F.expr("CASE side WHEN 0 THEN own ELSE other END")).withColumn("hi", F.expr("CASE side WHEN 0 THEN other ELSE own END"))
+    spread = gridded(pinned(places, "places"), key, "node", block=block, few=True)
     cells = [*key, "lo", "hi"]
 
     def match(frame: pd.DataFrame, bounds: np.ndarray) -> Iterator[pd.DataFrame]:
         forest = Forest()
-        counts: dict[int, int] = {}
+        links = np.zeros(len(frame), np.int64)
+        node, own, guest, copies = (frame[c].to_numpy() for c in ("node", "own", "guest", "copies"))
+        lo, hi, missed = frame["lo"].to_numpy(), frame["hi"].to_numpy(), frame["missed"].to_numpy()
         for s, e in zip(bounds[:-1], bounds[1:]):
-            part = frame.iloc[s:e]
-            held, asks = part[part["side"] == 0], part[part["side"] > 0]
-            if not len(held) or not len(asks):
+            rows = np.concatenate([s + np.flatnonzero(~guest[s:e]), s + np.flatnonzero(guest[s:e])])
+            held = int((~guest[s:e]).sum())
+            if not held or e - s < 2:
                 continue
-            dim, cell = int(part["dim"].iloc[0]), int(part["cell"].iloc[0])
+            dim, cell = int(frame["dim"].iloc[s]), int(frame["cell"].iloc[s])
             model = shared.value.get(dim) or Quantiser(np.zeros((1, dim)), 1)
-            there, ask = (np.stack([np.frombuffer(u) for u in p["unit"]]) for p in (held, asks))
-            codes = np.stack([np.frombuffer(c, np.uint8) for c in held["codes"]])
-            missed, copies = held["missed"].to_numpy(), held["copies"].to_numpy()
-            held_node, ask_node = held["node"].to_numpy(), asks["node"].to_numpy()
-            guest, ask_copies = asks["side"].to_numpy() == 2, asks["copies"].to_numpy()
-            received = np.zeros(len(held), np.int64)
-            for i in range(0, len(ask), 256):
-                near = model.distances(ask[i : i + 256], cell, codes) <= radius + missed[None, :] + _SLACK
-                a, b = np.nonzero(near)
-                exact = np.concatenate([np.zeros(0), *((ask[i + a[k : k + 50_000]] * there[b[k : k + 50_000]]).sum(axis=1) for k in range(0, len(a), 50_000))])
-                good = (exact >= cosine) & (ask_node[i + a] != held_node[b])
-                a, b = a[good], b[good]
-                for n, c in zip(ask_node[i : i + 256].tolist(), np.bincount(a, copies[b], minlength=min(256, len(ask) - i)).tolist()):
-                    if c:
-                        counts[n] = counts.get(n, 0) + int(c)
-                forest.link(zip(ask_node[i + a].tolist(), held_node[b].tolist()))
-                received += np.bincount(b, ask_copies[i + a] * guest[i + a], minlength=len(held)).astype(np.int64)
-            for n, c in zip(held_node[received > 0].tolist(), received[received > 0].tolist()):
-                counts[n] = counts.get(n, 0) + c
+            unit = np.stack([np.frombuffer(u) for u in frame["unit"].iloc[rows]])
+            codes = np.stack([np.frombuffer(c, np.uint8) for c in frame["codes"].iloc[rows[:held]]]).astype(np.intp)
+            reach = radius + missed[rows[:held]]
+            for i in range(0, len(rows), 256):
+                first = i + 1 if i < held else 0  # rows at home ask those after them only, guests all at home
+                if first >= held:
+                    continue
+                a, b = np.nonzero(model.near(unit[i : i + 256], cell, codes[first:], reach[first:]))
+                a, b = a + i, b + first
+                wanted = ((a >= held) | (b > a)) & crossing(own[rows[a]], own[rows[b]], lo[s], hi[s])
+                a, b = a[wanted], b[wanted]
+                exact = np.concatenate([np.zeros(0), *((unit[a[k : k + 50_000]] * unit[b[k : k + 50_000]]).sum(axis=1) for k in range(0, len(a), 50_000))])
+                a, b = rows[a[exact >= cosine]], rows[b[exact >= cosine]]
+                np.add.at(links, a, copies[b])
+                np.add.at(links, b, copies[a])
+                forest.link(zip(node[a].tolist(), node[b].tolist()))
         edges = forest.frame()
         edges["links"] = pd.Series(pd.NA, index=edges.index, dtype="Int64")
         yield edges
-        yield pd.DataFrame({"a": list(counts), "b": list(counts), "links": pd.array(list(counts.values()), dtype="Int64")})
+        yield pd.DataFrame({"a": node[links > 0], "b": node[links > 0], "links": pd.array(links[links > 0], dtype="Int64")})
 
-    found = pinned(dealt(spread.select("node", "copies", "unit", "side", "codes", "missed", *cells), cells).mapInPandas(lambda b: runs(b, cells, match), "a long, b long, links long"), "found")
+    wide = spread.select("node", "copies", "unit", "guest", "codes", "missed", "own", *cells)
+    found = pinned(dealt(wide, cells).mapInPandas(lambda b: runs(b, cells, match), "a long, b long, links long"), "found")
     links = found.where("links IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     roots = components(found.where("links IS NULL").select("a", "b"))
     ids = roots.join(classes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("component_id"))
     about = classes.select("label", "dim", "digest", "node", "rep", "copies").join(roots.join(ids, "root").select("node", "component_id"), "node", "left").join(links, "node", "left")
     about = about.select("label", "dim", "digest", F.coalesce("component_id", "rep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = rows.select("vec_id", "label", "dim", "digest").join(about, ["label", "dim", "digest"], "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    named = rows.select("vec_id", "label", "dim", "digest").where("digest IS NOT NULL AND label IS NOT NULL").join(about, ["label", "dim", "digest"])
+    # Vectors that can't link stay out of the join, where their nulls would be one key.
+    alone = rows.where("digest IS NULL OR label IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = named.select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).unionByName(alone)
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -9,21 +9,29 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.session import pinned, small_side
+
 BLOCK = 1024
 
 
-def gridded(rows: DataFrame, key: list[str], by: str, block: int = BLOCK) -> DataFrame:
+def gridded(rows: DataFrame, key: list[str], by: str, block: int = BLOCK, *, few: bool = False) -> DataFrame:
     """The narrow `rows` of groups of two or more, each once for each cell (lo, hi) of its group's grid that it is in.
 
     A group of n rows has ceil(n / block) blocks by a hash of `by`; `own` is a row's block. Cell (i, j) gets blocks
-    i and j, so every pair of rows meets in the cell of its blocks, and no task needs more than two blocks at once.
+    i and j, so every pair of rows meets in the cell of its blocks, and no task needs more than two blocks at once. Where groups
+    are `few`, their sizes are written, and broadcast if they are small, so that wide rows aren't shuffled to meet them.
     """
     sizes = rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key, F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    placed = rows.join(sizes, key).withColumn("own", F.pmod(F.xxhash64(by, F.lit(1)), F.col("blocks")).cast("int"))
+    placed = rows.join(small_side(pinned(sizes, "sizes")) if few else sizes, key).withColumn("own", F.pmod(F.xxhash64(by, F.lit(1)), F.col("blocks")).cast("int"))
     other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     return other.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other")
 
 
+def crossing(own_a, own_b, lo, hi):
+    """Whether a pair belongs to the cell: one row from block lo, one from hi."""
+    return (np.minimum(own_a, own_b) == lo) & (np.maximum(own_a, own_b) == hi)
+
+
 def dealt(rows: DataFrame, key: list[str], *then: str) -> DataFrame:
     """rows with those of equal key side by side, sorted by `then`."""
     return rows.repartition(*key).sortWithinPartitions(*key, *then)
