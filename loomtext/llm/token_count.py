@@ -1,13 +1,15 @@
 """Token counts by a two-tier lookup of pre-tokens, without shuffling any text or pre-token of the corpus.
 
 Tier one is a compact table of the lengths, in tokens, of pre-tokens that are frequent in a bounded sample;
-it is broadcast. Tier two is a bounded cache in each Python worker: pre-tokens that tier one misses are encoded
-by the library once for each worker. The tables only save work: a count never depends on what they hold.
+it is broadcast and seeds each worker's table. Tier two is the rest of that table, a bounded cache: pre-tokens that
+tier one misses are encoded by the library once for each worker. When the cache is full, only tier one stays. The
+tables only save work: a count never depends on what they hold.
 
 Special strings in a text are found first, as the library does by default, and count as one token each.
 Where the library's older character tables might split a text otherwise, it encodes the whole text itself.
 
-Defined cases: a null or empty text has 0 tokens. Repeated rows get equal counts. Other columns pass through.
+Defined cases: a null or empty text has 0 tokens. Repeated rows get equal counts. An empty table has no counts and an
+empty tier one. The operator is a column, so other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import public_tokenizers
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +29,6 @@ from pyspark.sql import functions as F
 HOT_PIECES = 50_000
 SAMPLE_DOCS = 2_000
 CACHE_PIECES = 300_000
-#: The split pattern of the library's byte-level pre-tokenizer.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _LETTER_OR_NUMBER = regex.compile(r"[\p{L}\p{N}]")
 _WORKER: dict[str, PieceLengths] = {}
 
@@ -40,22 +41,26 @@ class PieceLengths(dict):
 
         super().__init__()
         self.library = Tokenizer.from_str(vocabulary)
-        self.split = regex.compile(SPLIT)
+        self.split = regex.compile(public_tokenizers.PATTERN)
         specials = [t["content"] for t in json.loads(vocabulary).get("added_tokens", []) if t["content"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
         self.settled: set[str] = set(map(chr, range(128)))
         self.hot: dict[str, int] = {}
 
     def __missing__(self, piece: str) -> int:
-        n = self.hot.get(piece)
-        if n is None:
-            n = len(self.library.encode(piece, add_special_tokens=False).ids)
-            if len(self) >= CACHE_PIECES:
-                self.clear()
-            if len(piece) <= 100:
-                self[piece] = n
+        n = len(self.library.encode(piece, add_special_tokens=False).ids)
+        if len(self) >= CACHE_PIECES + len(self.hot):
+            self.clear()
+            self.update(self.hot)
+        if len(piece) <= 100:
+            self[piece] = n
         return n
 
+    def seed(self, hot: dict[str, int]) -> None:
+        if hot is not self.hot:
+            self.hot = hot
+            self.update(hot)
+
     def known(self, text: str) -> bool:
         """Whether all characters are of the same class in this Python's, the splitter's and so the library's tables."""
         if text.isascii() or self.settled.issuperset(text):
@@ -80,7 +85,8 @@ def worker_lengths(vocabulary: str, hot: dict[str, int] | None) -> PieceLengths:
     key = hashlib.md5(vocabulary.encode()).hexdigest()
     if key not in _WORKER:
         _WORKER[key] = PieceLengths(vocabulary)
-    _WORKER[key].hot = hot or {}
+    if hot:
+        _WORKER[key].seed(hot)
     return _WORKER[key]
 
 
@@ -88,7 +94,7 @@ def frequent_lengths(docs: DataFrame, vocabulary: str, *, pieces: int = HOT_PIEC
     """Tier one: lengths of the most frequent pre-tokens of a random sample of about `sample_docs` texts."""
 
     def pieces_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split = regex.compile(SPLIT)
+        split = regex.compile(public_tokenizers.PATTERN)
         seen: Counter[str] = Counter()
         for batch in batches:
             for text in batch["text"]:
