@@ -2,12 +2,18 @@
 
 The target model counts the unigrams and bigrams of a bounded sample of the documents marked good, the raw
 model those of all documents; both count whole texts. A document's log weight is the mean of
-log p_target - log p_raw over its n-grams, shrunk towards 0 for very short texts. `scale` times the
-log weight plus seeded Gumbel noise is its key; the k largest keys are kept. Unless k is given, it is the
-number of documents whose log weight is at least `floor`: as many as look like the target.
-
-Defined cases: a null or empty text has log weight 0. Ties at the k-th key are all kept. Without marked
-documents every weight is 0 and all are kept. Repeated rows get equal keys. Other columns pass through.
+log p_target - log p_raw over its n-grams, shrunk towards 0 for very short texts. A text counts as one of SCALE
+n-grams, however long it is, so that length neither wins nor loses: SCALE times the log weight plus standard Gumbel
+noise, seeded by the row's values, is its key, and the k largest keys are kept.
+
+Unless k is given, it is the number of documents whose log weight is at least a floor that the labels set: the cut
+that best parts the documents marked good from those marked bad, in the middle of the gap around it. On texts that
+differ as clearly as junk and prose do, the noise decides little: it reorders texts whose weights are within a few
+hundredths of each other.
+
+Defined cases: a null or empty text has log weight 0. Ties at the k-th key are all kept. Without documents marked
+good every weight is 0; without any marked bad nothing says where to stop; then all are kept. Repeated rows get equal
+keys. An empty table gives an empty result. Input columns are kept in a struct, so none can clash with the results.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ from loomtext.session import pinned
 BUCKETS = 1 << 14
 TARGET_DOCS = 20_000
 SCALE = 100.0
-FLOOR = -0.04
+LABELLED = 20_000
 SHRINK = 30
 _TWICE = np.uint64(0x5851F42D4C957F2D)
 
@@ -124,12 +130,34 @@ def kth_largest(values: DataFrame, k: int, bins: int = 4096, few: int = 8192) ->
             return lo
 
 
-def resample(docs: DataFrame, labels: DataFrame, *, k: int | None = None, scale: float = SCALE, floor: float = FLOOR, seed: int = 11) -> tuple[Column, Column, float]:
-    """(log weight, Gumbel key, least key kept) for the rows of docs."""
+def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
+    """The value with the largest share of good weights at or above it less that of bad ones, in the middle of its gap."""
+    if not len(good) or not len(bad):
+        return float("-inf")
+    values = np.unique(np.concatenate([good, bad]))
+    above = lambda x: 1 - np.searchsorted(np.sort(x), values, side="left") / len(x)
+    at = int(np.argmax(above(good) - above(bad)))
+    return float(values[at] if at == 0 else (values[at - 1] + values[at]) / 2)
+
+
+def label_floor(weighted: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, seed: int = 6) -> float:
+    """The cut between weights (doc_id, w) of documents marked good and bad, from at most `labelled` of either."""
+    marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max((F.col("quality") > 0).cast("int")).alias("mark"))
+    marked = pinned(weighted.join(marks, "doc_id").select("mark", "w", F.xxhash64(F.lit(seed), "doc_id").alias("h")), "marked")
+    sample = [least_hashed(marked.where(F.col("mark") == m), F.col("h"), labelled).select("w").toPandas()["w"].to_numpy(float) for m in (1, 0)]
+    return best_cut(*sample)
+
+
+def resample(docs: DataFrame, labels: DataFrame, *, keep: Sequence[str] = ("doc_id",), k: int | None = None, scale: float = SCALE, floor: float | None = None, seed: int = 11) -> DataFrame:
+    """(row, log_weight, gumbel_key, kept) for every row of docs, where row is a struct of the columns `keep`.
+
+    Texts are read for the raw counts and once more for the weights, which are written with the kept columns.
+    """
     weight = log_weight(fit_ratio(docs, labels), F.col("text"))
-    noise = gumbel(seed, "doc_id", "text")
-    keys = pinned(docs.select(weight.alias("w"), noise.alias("g")).select("w", (F.lit(scale) * F.col("w") + F.col("g")).alias("v")))
+    rows = docs.select(F.struct(*keep).alias("row"), F.col("doc_id").alias("id"), weight.alias("w"), gumbel(seed, "doc_id", "text").alias("g"))
+    keys = pinned(rows.withColumn("v", F.lit(scale) * F.col("w") + F.col("g")).drop("g"), "weights")
     if k is None:
+        floor = label_floor(keys.select(F.col("id").alias("doc_id"), "w"), labels) if floor is None else floor
         k = keys.where(F.col("w") >= floor).count()
-    least = kth_largest(keys, k) if k else float("inf")
-    return weight, noise, float("-inf") if least is None else least
+    least = kth_largest(keys.select("v"), k) if k else float("inf")
+    return keys.select("row", F.col("w").alias("log_weight"), F.col("v").alias("gumbel_key"), F.coalesce(F.col("v") >= F.lit(least), F.lit(True)).alias("kept"))

@@ -40,10 +40,10 @@ WITH sizes AS (SELECT coalesce(source, '') AS s, sum(coalesce(length(text), 0) +
 rates AS (SELECT s, round(pow(size, {mixing.EXPONENT}) / (SELECT sum(pow(size, {mixing.EXPONENT})) FROM sizes) * (SELECT sum(size) FROM sizes) / size, 9) AS rate FROM sizes),
 drawn AS (SELECT d.*, r.rate, ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / pow(16, 13) AS u
   FROM documents d JOIN rates r ON coalesce(d.source, '') = r.s),
-steps AS (SELECT s, n, sum(exp(n * ln(rate) - rate - lgamma(n + 1))) OVER (PARTITION BY s ORDER BY n) AS below FROM rates, range(0, 2000) t(n) WHERE rate > 0),
+steps AS (SELECT s, n, sum(exp(n * ln(rate) - rate - lgamma(n + 1))) OVER (PARTITION BY s ORDER BY n) AS below FROM rates, range(0, (SELECT (max(rate) + 40 * sqrt(max(rate)) + 41)::BIGINT FROM rates)) t(n) WHERE rate > 0 AND n <= rate + 40 * sqrt(rate) + 40),
 counted AS (SELECT d.doc_id, d.source, d.lang, d.n_chars, d.text, d.rate, (SELECT count(*) FROM steps p WHERE p.s = coalesce(d.source, '') AND p.below <= d.u AND p.below < 1 - 1e-13)::INT AS copies FROM drawn d)
 SELECT doc_id, source, lang, n_chars, text, round(rate, 6) AS rate, copies, copy::INT AS copy, md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy) AS shuffle_key
-FROM counted, range(1, 2000) c(copy) WHERE copy <= copies
+FROM (SELECT *, unnest(range(1, copies + 1)) AS copy FROM counted)
 """
 
 
@@ -71,10 +71,7 @@ FROM v
 
 def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    weight, noise, least = quality.resample(docs, _table(spark, sf_dir, "labels"))
-    keyed = docs.select("doc_id", weight.alias("log_weight"), noise.alias("noise"))
-    key = F.lit(quality.SCALE) * F.col("log_weight") + F.col("noise")
-    return keyed.select("doc_id", "log_weight", key.alias("gumbel_key"), (key >= F.lit(least)).alias("kept"))
+    return quality.resample(docs, _table(spark, sf_dir, "labels")).select("row.doc_id", "log_weight", "gumbel_key", "kept")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +87,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = f"""
 WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents WHERE text IS NOT NULL),
-shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {jaccard.WORDS - 1}], ' ') AS s FROM words, range(1, 100000) t(i) WHERE len(w) > 0 AND i <= greatest(1, len(w) - {jaccard.WORDS - 1})),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {jaccard.WORDS - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - {jaccard.WORDS - 1}) + 1)) AS i FROM words WHERE len(w) > 0)),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
 shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE shared.n >= {jaccard.THRESHOLD} * (x.n + y.n - shared.n) - 1e-9),
