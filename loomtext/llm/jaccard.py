@@ -176,21 +176,24 @@ def verified(docs: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
             if e - s < 2:
                 continue
             sets = [x for i, j in slices(texts[s:e]) for x in shingle_sets(texts[s + i : s + j])]
+            order = np.argsort([len(x) for x in sets], kind="stable")
+            sets, rows = [sets[k] for k in order], s + order
             sizes = np.array([len(x) for x in sets])
+            # Of two sets the smaller has at least the threshold's share of the larger: those after `ends` are too large.
+            ends = np.searchsorted(sizes, sizes / threshold + 1e-9, side="right")
             _, slot = np.unique(np.concatenate(sets), return_inverse=True)
             heads = np.concatenate([[0], np.cumsum(sizes)])
             mark = np.zeros(int(slot.max()) + 1, np.int32)
-            for i in range(e - s - 1):
-                mine = slot[heads[i] : heads[i + 1]]
+            for i in np.flatnonzero(ends > np.arange(len(sets)) + 1).tolist():
+                mine, rest = slot[heads[i] : heads[i + 1]], rows[i + 1 : ends[i]]
                 mark[mine] = 1
-                shared = np.add.reduceat(mark[slot[heads[i + 1] :]], heads[i + 1 : -1] - heads[i + 1])
+                shared = np.add.reduceat(mark[slot[heads[i + 1] : heads[ends[i]]]], heads[i + 1 : ends[i]] - heads[i + 1])
                 mark[mine] = 0
-                rest = np.arange(s + i + 1, e)
-                near = (shared >= threshold * (sizes[i] + sizes[i + 1 :] - shared) - 1e-9) & crossing(own[s + i], own[rest], lo[s], hi[s])
+                near = (shared >= threshold * (sizes[i] + sizes[i + 1 : ends[i]] - shared) - 1e-9) & crossing(own[rows[i]], own[rest], lo[s], hi[s])
                 good = rest[near]
-                links[s + i] += copies[good].sum()
-                links[good] += copies[s + i]
-                forest.link((int(node[s + i]), int(x)) for x in node[good])
+                links[rows[i]] += copies[good].sum()
+                links[good] += copies[rows[i]]
+                forest.link((int(node[rows[i]]), int(x)) for x in node[good])
         some = links > 0
         edges = forest.frame()
         edges["links"] = pd.Series(pd.NA, index=edges.index, dtype="Int64")
