@@ -44,12 +44,15 @@ class OrdinalModel:
         return (1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -50, 50)))).sum(axis=1)
 
 
-def features(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(slot, text number) pairs, each once: the hashed words and word beginnings of every text."""
+def features(texts: Sequence[str | None], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(slot, text number) pairs, each once: the hashed words and word beginnings of every text, or those `wanted` by a mask."""
     words, bounds, *starts = token_hashes(texts, prefixes=PREFIXES)
-    owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    hashed = np.concatenate([words, *starts]) % np.uint64(DIMENSIONS)
-    pairs = np.unique(np.tile(owner, 1 + len(starts)) * DIMENSIONS + hashed.astype(np.int64))
+    owner = np.tile(np.repeat(np.arange(len(texts)), np.diff(bounds)), 1 + len(starts))
+    slots = (np.concatenate([words, *starts]) % np.uint64(DIMENSIONS)).astype(np.int64)
+    if wanted is not None:
+        known = wanted[slots]
+        slots, owner = slots[known], owner[known]
+    pairs = np.unique(owner * DIMENSIONS + slots)
     return pairs % DIMENSIONS, pairs // DIMENSIONS
 
 
@@ -158,9 +161,9 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = SAMPLE_PER_CLA
 
 
 def score_texts(model: OrdinalModel, texts: Sequence[str | None]) -> np.ndarray:
-    out = [np.zeros(0)]
+    out, weighty = [np.zeros(0)], model.weights != 0
     for i, j in slices(texts):
-        slots, owner = features(texts[i:j])
+        slots, owner = features(texts[i:j], weighty)
         out.append(model.expected_severity(np.bincount(owner, model.weights[slots], minlength=j - i)))
     return np.concatenate(out)
 
