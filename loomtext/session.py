@@ -87,6 +87,23 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_
     return F.broadcast(df) if found["n"] <= rows and (found["size"] or 0) <= size else df
 
 
+SALTS = 32
+
+
+def matched(rows: DataFrame, table: DataFrame, key: str, *by: str, how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """rows joined on `key` with `table`, which has each key once and is written once.
+
+    A table measured to be small is broadcast, so that wide rows stay where they are. A larger one is repeated for
+    each of SALTS salts, and the rows of a key, however many, are dealt over these by a hash of the columns `by`.
+    """
+    held = pinned(table, "matched")
+    small = small_side(held, limit)
+    if small is not held:
+        return rows.join(small, key, how)
+    many = held.withColumn("matched_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("matched_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).join(many, [key, "matched_salt"], how).drop("matched_salt")
+
+
 ARROW_ROWS = 1_000
 
 

@@ -13,7 +13,7 @@ from tests.conftest import SF
 
 from loomtext.functions import bytes as B
 from loomtext.operators import attention, bpe, model, order, packing, sampling
-from loomtext.session import small_side
+from loomtext.session import matched, small_side
 from loomtext.sources import sinks
 from loomtext.sources import text as sources
 from loomtext.streaming import encode
@@ -247,6 +247,17 @@ def test_broadcasts_are_bounded(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize("limit", [10, 1])
+def test_matched_is_a_left_join(spark, limit):
+    """By broadcast or over salts: every row once, a hot key's too, whatever else is in it."""
+    rows = spark.createDataFrame([("hot", i, None) for i in range(500)] + [("cold", 1, "y"), ("none", 2, None), (None, 3, None)], "k string, i long, salt string")
+    table = spark.createDataFrame([("hot", 7), ("cold", None), ("unused", 9)], "k string, v long")
+    found = sorted((r["i"], r["k"] or "", r["v"]) for r in matched(rows, table, "k", "i", "salt", limit=limit).collect() if r["k"] != "hot")
+    assert found == [(1, "cold", None), (2, "none", None), (3, "", None)]
+    hot = matched(rows, table, "k", "i", "salt", how="inner", limit=limit).where("k = 'hot'")
+    assert hot.columns == ["k", "i", "salt", "v"] and sorted(r["i"] for r in hot.where("v = 7").collect()) == [*range(500)]
+
+
 CONFIG = model.Config(block_size=6, vocab_size=16, n_layer=2, n_head=2, n_embd=8)
 
 
