@@ -10,7 +10,8 @@ its task attempt, and only files in the written manifest count, so tasks may fai
 
 Defined cases: null html is an empty payload; payloads below MIN_REVISIT bytes are always responses. A null page_id
 is written as 'null': such a record is a revisit if its payload has a numbered one. Rows that repeat the smallest page_id are all
-responses. A null url becomes urn:page:<id>; line ends and spaces in urls are percent-encoded.
+responses. A null url becomes urn:page:<id>; line ends and spaces in urls are percent-encoded. Repeated rows are
+records each. An empty table gives no archive and an empty result. Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.session import fresh_path, pinned
+from loomtext.session import fresh_path, matched, pinned
 
 MIN_REVISIT = 100
 ROLL_BYTES = 32 << 20
@@ -39,12 +40,15 @@ RECORD = "page_id long, url string, record_type string, refers_to long, payload_
 
 
 def resolve(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, digest, first): first is the page_id of the response that a revisit refers to, else null."""
+    """(page_id, url, html, digest, first): first is the page_id of the response that a revisit refers to, else null.
+
+    Copies don't meet with their html: digests that repeat come to the rows, by broadcast while they are few.
+    """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", "html", F.sha2(payload, 256).alias("digest"))
     sized = pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n"))
     repeated = sized.where(F.col("n") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    joined = rows.join(repeated, "digest", "left")
+    joined = matched(rows, repeated, "digest", "page_id", "url")
     return joined.withColumn("first", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
 
 

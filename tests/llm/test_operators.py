@@ -1,5 +1,6 @@
 """Each operator against brute force, and its defined cases."""
 
+import functools
 import gzip
 import hashlib
 import math
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from loomtext.llm import components, fingerprint, jaccard, mixing, pq, quality, sampling, sharding, token_count, tokens, toxicity, warc
 from loomtext.llm.queries import ORACLES, QUERIES, byte_bpe
 from loomtext.llm.bpe_codec import Codec, serialise
-from loomtext.session import small_batches
+from loomtext.session import matched, small_batches
 from tests.conftest import SF, same_rows
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, node long, label string, rate double, h long, bucket int"
@@ -478,7 +479,9 @@ def test_prefixes_shorten_to_the_recall():
 # WARC
 
 
-def test_warc(spark, tmp_path):
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_warc(spark, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr(warc, "matched", functools.partial(matched, limit=limit))
     html = ["x" * 200, "x" * 200, "x" * 200, "short", "short", "", None, "é" * 60 + "\r\n\r\nWARC/1.1\r\n", LONG]
     pages = spark.createDataFrame([(i, f"http://a/{i} b\r\nc" if i and i % 2 else None, h, "d", 1) for i, h in zip([5, 3, 9, 1, 2, 4, 6, 7, None], html)], "page_id long, url string, html string, digest string, first int")
     found = {r["page_id"]: r for r in warc.roundtrip(pages, f"file://{tmp_path}/w").collect()}
