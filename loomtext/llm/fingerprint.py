@@ -11,7 +11,8 @@ The likeness of two texts is shared / (shared + differing) paragraphs, from what
 paragraphs that fingerprints carry. A fingerprint is "n:m:" and the base64 of its m cells.
 
 Defined cases: a null text is an empty one, with no paragraphs; two empty texts have likeness 1. Rows are ordered by
-(doc_id, hash of text), descending, null doc_ids last; so repeated rows follow each other, and a single row is its own next.
+(doc_id, hash of text), descending, null doc_ids last; so repeated rows follow each other, and a single row is its own next. An
+empty table gives an empty result. Extra columns aren't read.
 """
 
 from __future__ import annotations
