@@ -6,7 +6,7 @@ log p_target - log p_raw over its n-grams, shrunk towards 0 for very short texts
 n-grams, however long it is, so that length neither wins nor loses: SCALE times the log weight plus standard Gumbel
 noise, seeded by the row's values, is its key, and the k largest keys are kept.
 
-Unless k is given, it is the number of documents whose log weight is at least a floor that the labels set: the cut
+Unless k is given, it is the number of documents whose log weight is at least a floor that all labels set: the cut
 that best parts the documents marked good from those marked bad, in the middle of the gap around it. On texts that
 differ as clearly as junk and prose do, the noise decides little: it reorders texts whose weights are within a few
 hundredths of each other.
@@ -32,7 +32,7 @@ from loomtext.session import pinned
 BUCKETS = 1 << 14
 TARGET_DOCS = 20_000
 SCALE = 100.0
-LABELLED = 20_000
+BIN = 1e-3
 SHRINK = 30
 _TWICE = np.uint64(0x5851F42D4C957F2D)
 
@@ -130,22 +130,25 @@ def kth_largest(values: DataFrame, k: int, bins: int = 4096, few: int = 8192) ->
             return lo
 
 
-def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
-    """The value with the largest share of good weights at or above it less that of bad ones, in the middle of its gap."""
-    if not len(good) or not len(bad):
+def best_cut(lo: np.ndarray, hi: np.ndarray, good: np.ndarray, bad: np.ndarray) -> float:
+    """The cut between ascending bins of weights, each from lo to hi with counts of good and bad, with the largest share
+    of good at or above it less that of bad, in the middle of the gap below it."""
+    if not good.sum() or not bad.sum():
         return float("-inf")
-    values = np.unique(np.concatenate([good, bad]))
-    above = lambda x: 1 - np.searchsorted(np.sort(x), values, side="left") / len(x)
+    above = lambda n: np.cumsum(n[::-1])[::-1] / n.sum()
     at = int(np.argmax(above(good) - above(bad)))
-    return float(values[at] if at == 0 else (values[at - 1] + values[at]) / 2)
+    return float(lo[at] if at == 0 else (hi[at - 1] + lo[at]) / 2)
 
 
-def label_floor(weighted: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, seed: int = 6) -> float:
-    """The cut between weights (doc_id, w) of documents marked good and bad, from at most `labelled` of either."""
+def label_floor(weighted: DataFrame, labels: DataFrame, *, width: float = BIN) -> float:
+    """The cut between weights (doc_id, w) of documents marked good and bad, by all that are marked.
+
+    What comes to the driver are counts by bins of `width`: a weight is a mean of log ratios, so its bins grow with the
+    logarithm of the corpus.
+    """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max((F.col("quality") > 0).cast("int")).alias("mark"))
-    marked = pinned(weighted.join(marks, "doc_id").select("mark", "w", F.xxhash64(F.lit(seed), "doc_id").alias("h")), "marked")
-    sample = [least_hashed(marked.where(F.col("mark") == m), F.col("h"), labelled).select("w").toPandas()["w"].to_numpy(float) for m in (1, 0)]
-    return best_cut(*sample)
+    bins = weighted.join(marks, "doc_id").groupBy(F.floor(F.col("w") / width).alias("bin")).agg(F.min("w").alias("lo"), F.max("w").alias("hi"), F.sum("mark").alias("good"), F.sum(1 - F.col("mark")).alias("bad")).orderBy("bin").toPandas()
+    return best_cut(*(bins[c].to_numpy(float) for c in ("lo", "hi", "good", "bad")))
 
 
 def resample(docs: DataFrame, labels: DataFrame, *, keep: Sequence[str] = ("doc_id",), k: int | None = None, scale: float = SCALE, floor: float | None = None, seed: int = 11) -> DataFrame:

@@ -319,10 +319,24 @@ def test_quality_by_brute_force(spark):
     assert quality.resample(docs, labels.limit(0)).where("kept").count() == quality.resample(docs, labels.where("quality = 1")).where("kept").count() == len(texts)
 
 
+def binned(good, bad):
+    values = sorted({*good, *bad})
+    return [np.array(x, float) for x in (values, values, [good.count(v) for v in values], [bad.count(v) for v in values])]
+
+
 def test_best_cut():
-    assert quality.best_cut(np.array([1.0, 2.0]), np.array([-2.0, -1.0])) == 0.0
-    assert quality.best_cut(np.array([1.0, -3.0, 2.0]), np.array([-2.0, 0.0])) == 0.5
-    assert quality.best_cut(np.array([]), np.array([1.0])) == quality.best_cut(np.array([1.0]), np.array([])) == float("-inf")
+    assert quality.best_cut(*binned([1.0, 2.0], [-2.0, -1.0])) == 0.0
+    assert quality.best_cut(*binned([1.0, -3.0, 2.0], [-2.0, 0.0])) == 0.5
+    assert quality.best_cut(*binned([], [1.0])) == quality.best_cut(*binned([1.0], [])) == float("-inf")
+
+
+def test_every_label_sets_the_floor(spark):
+    """60,000 documents of either mark; the bad ones, and later one good one, are enough to place the cut."""
+    weights = spark.range(120_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 1, F.col("id") % 8 - 4).otherwise(F.lit(-9)).cast("double").alias("w"))
+    labels = weights.select("doc_id", (F.col("doc_id") % 2).alias("quality"))
+    assert quality.label_floor(weights, labels) == -6.0  # between -9 and the least good weight, -3
+    one = labels.where("doc_id = 1").unionByName(labels.where("quality = 0"))
+    assert quality.label_floor(weights, one) == -6.0 and quality.label_floor(weights, one.where("quality = 1")) == float("-inf")
 
 
 def test_kth_largest(spark):
