@@ -30,7 +30,7 @@ def get_session(app: str = "loomtext", master: str | None = None, **conf: str) -
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where that is unset, a temporary one in local mode and an error on a cluster."""
     sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir")
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
     if sc.getCheckpointDir() is None:
