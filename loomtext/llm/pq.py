@@ -40,6 +40,7 @@ LIST_ROWS = 4096
 SUBSPACES = 8
 CODES = 64
 BLOCK = 8192
+ASK = 256
 _SLACK = 1e-6
 _LOOKUP_SLACK = 1e-3  # lookups add single-precision numbers
 
@@ -107,10 +108,10 @@ class Quantiser:
         return total <= ((reach + _LOOKUP_SLACK) ** 2).astype(np.float32)[None, :]
 
 
-def fit(classes: DataFrame, *, sample: int = SAMPLE, seed: int = 1) -> dict[int, Quantiser]:
+def fit(classes: DataFrame, *, sample: int = SAMPLE, list_rows: int = LIST_ROWS, seed: int = 1) -> dict[int, Quantiser]:
     """Quantisers by dimension, from the `sample` vectors with the least seeded hash; fitted in one task."""
     largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
-    lists = int(min(MAX_LISTS, max(1, -(-largest // LIST_ROWS))))
+    lists = int(min(MAX_LISTS, max(1, -(-largest // list_rows))))
 
     def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = pd.concat([*batches, pd.DataFrame({"dim": [], "unit": []})])
@@ -122,7 +123,7 @@ def fit(classes: DataFrame, *, sample: int = SAMPLE, seed: int = 1) -> dict[int,
     return pickle.loads(bytes(found[0]["model"])) if found else {}
 
 
-def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, block: int = BLOCK, list_rows: int = LIST_ROWS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id, embedding, label)."""
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + _SLACK
 
@@ -137,7 +138,7 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, block: int =
     able = rows.where("unit IS NOT NULL AND label IS NOT NULL")
     classes = able.groupBy("label", "dim", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min("unit").alias("unit"))
     classes = pinned(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    models = fit(classes)
+    models = fit(classes, list_rows=list_rows)
     shared = vectors.sparkSession.sparkContext.broadcast(models)
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,11 +172,12 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, block: int =
             unit = np.stack([np.frombuffer(u) for u in frame["unit"].iloc[rows]])
             codes = np.stack([np.frombuffer(c, np.uint8) for c in frame["codes"].iloc[rows[:held]]]).astype(np.intp)
             reach = radius + missed[rows[:held]]
-            for i in range(0, len(rows), 256):
-                first = i + 1 if i < held else 0  # rows at home ask those after them only, guests all at home
+            # Rows at home ask those after them only, guests all at home; no chunk holds both.
+            asks = [(i, min(i + ASK, held), i + 1) for i in range(0, held, ASK)] + [(i, min(i + ASK, len(rows)), 0) for i in range(held, len(rows), ASK)]
+            for i, end, first in asks:
                 if first >= held:
                     continue
-                a, b = np.nonzero(model.near(unit[i : i + 256], cell, codes[first:], reach[first:]))
+                a, b = np.nonzero(model.near(unit[i:end], cell, codes[first:], reach[first:]))
                 a, b = a + i, b + first
                 wanted = ((a >= held) | (b > a)) & crossing(own[rows[a]], own[rows[b]], lo[s], hi[s])
                 a, b = a[wanted], b[wanted]

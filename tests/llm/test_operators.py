@@ -256,6 +256,51 @@ def test_near_vectors_by_brute_force(spark):
     assert pq.near_duplicates(table.limit(0)).count() == 0
 
 
+def planted_vectors(seed, sizes, copies, width=24):
+    """Vectors about a few directions, one for each of `sizes`, and near copies of some, so that links cross lists."""
+    draw = np.random.default_rng(seed)
+    centres = draw.normal(size=(len(sizes), width))
+    base = np.concatenate([c + draw.normal(size=(n, width)) * 0.6 for c, n in zip(centres, sizes)])
+    near = base[draw.integers(0, len(base), copies)]
+    return np.concatenate([base, near + draw.normal(size=near.shape) * draw.uniform(0.02, 0.25, (copies, 1))])
+
+
+def links_of(x):
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    a, b = np.nonzero(unit @ unit.T >= pq.COSINE)
+    return {(i, j) for i, j in zip(a.tolist(), b.tolist()) if i != j}
+
+
+@pytest.mark.parametrize("block", [97, 1000, 8192])
+def test_near_vectors_across_lists(spark, block):
+    """Several lists and guests in them, with cells on either side of a chunk's border, lose no link."""
+    x = planted_vectors(block, [255, 256, 257, 600, 40, 900, 1], 900)
+    table = spark.createDataFrame([(i, [float(c) for c in v], 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    links = links_of(x)
+    n = np.bincount([a for a, _ in links], minlength=len(x))
+    forest = components.Forest()
+    forest.link(links)
+    found = pq.near_duplicates(table, block=block, list_rows=300).collect()
+    assert len(found) == len(x) and len(links) > 800
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in found} == {(i, int(n[i]), forest.root(i)) for i in range(len(x))}
+
+
+@pytest.mark.parametrize("held", [1, 2, 255, 256, 257, 300, 513])
+def test_guests_meet_all_home_rows(spark, held):
+    """A label whose home rows are all in one list and whose copies are guests of it, with any number of home rows."""
+    draw = np.random.default_rng(held)
+    home, away = np.zeros(16), np.zeros(16)
+    home[0], away[:2] = 1.0, (np.cos(0.38), np.sin(0.38))
+    tilt = lambda c, n: c + draw.normal(size=(n, 16)) * 0.01
+    between = np.zeros(16)
+    between[:2] = np.cos(0.19), np.sin(0.19)
+    x = np.concatenate([tilt(home, held), tilt(away, 300), tilt(between, 40)])
+    table = spark.createDataFrame([(i, [float(c) for c in v], 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    n = np.bincount([a for a, _ in links_of(x)], minlength=len(x))
+    found = {r["vec_id"]: r["n_links"] for r in pq.near_duplicates(table, list_rows=(len(x) + 1) // 2).collect()}
+    assert [found[i] for i in range(len(x))] == n.tolist()
+
+
 def test_probes_miss_nothing():
     draw = np.random.default_rng(8)
     x = draw.normal(size=(800, 12))
