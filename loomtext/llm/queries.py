@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, with production parameters over whole tables."""
+"""The registered queries of the thirteen operators, with production parameters over whole tables."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import bpe_codec, fingerprint, jaccard, mixing, pq, quality, sharding, token_count, toxicity, warc
+from loomtext.llm import bpe_codec, conversations, fingerprint, jaccard, language, mixing, negatives, pq, quality, sharding, token_count, toxicity, warc
 from loomtext.session import small_batches, spread
 
 TOKEN_LIMIT = 512
@@ -119,5 +119,64 @@ d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_d
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM d
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprint, op2_shard, op3_mix, op4_token_count, op5_pq_near_dedup, op6_importance, op7_toxicity, op8_jaccard_join, op9_byte_bpe, op10_warc)}
-ORACLES: dict[str, str] = {"op3_mix": OP3_SQL, "op5_pq_near_dedup": OP5_SQL, "op8_jaccard_join": OP8_SQL, "op10_warc": OP10_SQL}
+
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", language.held_out().alias("held_out"))
+    model = language.train(docs.where("doc_id IS NOT NULL AND NOT held_out"), Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes())
+    found = docs.select("doc_id", "held_out", language.predicted(model, F.col("text")).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damaged(_table(spark, sf_dir, "conversations"))
+    found = conversations.summaries(rows, conversations.edits(rows))
+    return found.withColumn("conv_id", F.col("conv_id").cast("long"))
+
+
+#: One recursion step for each row: t holds the cheapest (cost, audit) of each state, the initial of the last turn that stays.
+OP12_SQL = f"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+bits AS (SELECT n, list_reduce(range(0, 8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) AS v FROM (SELECT unnest(range(0, 256))::BIGINT AS n)),
+crc AS (SELECT list(v ORDER BY n) AS table_ FROM bits),
+h AS (SELECT o.*, xor(list_reduce(list_transform(regexp_extract_all(k, '.'), lambda c: ascii(c)::BIGINT), lambda a, b: xor(a >> 8, table_[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % 20 AS kind FROM o, crc),
+d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM h, range(0, CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END) r(copy)),
+e AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i FROM d),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS seen FROM e),
+g AS (SELECT *, substr(role, 1, 1) AS initial, CASE WHEN seen = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(seen, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM f),
+x AS (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM g),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank')::BIGINT AS blank, count(*) FILTER (fault = 'duplicate')::BIGINT AS duplicate, count(*) FILTER (fault = 'truncated')::BIGINT AS truncated,
+  count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal FROM x GROUP BY conv_id),
+t(conv_id, i, state, cost, audit) AS (SELECT conv_id, 0::BIGINT, '', 0::BIGINT, '' FROM counts
+  UNION ALL SELECT conv_id, i, state, min((cost, audit))[1], min((cost, audit))[2] FROM (
+    SELECT t.conv_id, t.i + 1 AS i, e.state, t.cost + e.cost AS cost, t.audit || e.letters AS audit FROM t JOIN g ON g.conv_id IS NOT DISTINCT FROM t.conv_id AND g.i = t.i + 1,
+    LATERAL (SELECT t.state AS state, {conversations.DELETE} AS cost, 'D' AS letters
+      UNION ALL SELECT 's', CASE WHEN g.fault = 'truncated' THEN {conversations.BROKEN} ELSE 0 END, 'K' WHERE g.initial = 's' AND t.state = '' AND coalesce(g.fault, '') NOT IN ('blank', 'duplicate')
+      UNION ALL SELECT w, CASE WHEN g.fault = 'truncated' THEN {conversations.BROKEN} ELSE 0 END + CASE WHEN g.initial = w THEN 0 ELSE {conversations.REROLE} END + {conversations.INSERT} * ((w = 'u') = (t.state = 'u'))::INT, CASE WHEN (w = 'u') = (t.state = 'u') THEN 'I' ELSE '' END || CASE WHEN g.initial = w THEN 'K' ELSE 'R' END
+        FROM (VALUES ('u'), ('a')) v(w) WHERE coalesce(g.fault, '') NOT IN ('blank', 'duplicate')) e) GROUP BY conv_id, i, state),
+n AS (SELECT conv_id, max(i) AS rows FROM g GROUP BY conv_id),
+best AS (SELECT t.conv_id, min((cost + {conversations.INSERT} * CASE state WHEN 's' THEN 2 WHEN 'u' THEN 1 ELSE 0 END, audit || CASE state WHEN 's' THEN 'II' WHEN 'u' THEN 'I' ELSE '' END)) AS b FROM t JOIN n ON n.conv_id IS NOT DISTINCT FROM t.conv_id AND n.rows = t.i GROUP BY t.conv_id),
+letters AS (SELECT conv_id, b[2] AS audit, unnest(range(1, length(b[2]) + 1)) AS p FROM best),
+steps AS (SELECT conv_id, p, substr(audit, p, 1) AS edit, length(replace(audit[1:p], 'I', '')) AS i, length(replace(audit[1:p], 'D', '')) AS place FROM letters),
+turns AS (SELECT s.conv_id, p, place, edit, g.role, g.text, g.initial, max((place = 1 AND edit = 'K' AND initial = 's')::INT) OVER (PARTITION BY s.conv_id) AS system FROM steps s LEFT JOIN g ON s.edit <> 'I' AND g.conv_id IS NOT DISTINCT FROM s.conv_id AND g.i = s.i WHERE edit <> 'D'),
+whole AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS w FROM turns GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b[1], 0)::BIGINT AS cost, coalesce(b[2], '') AS audit, sha256(coalesce(w, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN whole ON whole.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+OP13_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, coalesce(list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])), 0)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id))::INT AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score QUALIFY rank <= 3
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprint, op2_shard, op3_mix, op4_token_count, op5_pq_near_dedup, op6_importance, op7_toxicity, op8_jaccard_join, op9_byte_bpe, op10_warc, op11_language, op12_conversations, op13_hard_negatives)}
+ORACLES: dict[str, str] = {"op3_mix": OP3_SQL, "op5_pq_near_dedup": OP5_SQL, "op8_jaccard_join": OP8_SQL, "op10_warc": OP10_SQL, "op12_conversations": OP12_SQL, "op13_hard_negatives": OP13_SQL}

@@ -37,6 +37,18 @@ def dealt(rows: DataFrame, key: list[str], *then: str) -> DataFrame:
     return rows.repartition(*key).sortWithinPartitions(*key, *then)
 
 
+def framed(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """The batches put together to frames of at least `rows` rows, but for the last."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def runs(batches: Iterator[pd.DataFrame], key: list[str], whole: Callable[[pd.DataFrame, np.ndarray], Iterator[pd.DataFrame]]) -> Iterator[pd.DataFrame]:
     """Calls whole(frame, bounds) with frames of complete groups of sorted rows: group g is rows bounds[g]:bounds[g + 1]."""
     held: list[pd.DataFrame] = []
