@@ -5,7 +5,8 @@ by a hash of the characters around them, so an edit only changes the paragraphs
 where a text begins (RADII), so that short texts have several as well. Each paragraph, with its repeat number in the text, is a 64-bit digest. A sketch of m cells adds every
 digest to one cell of each of three subtables: count, sum of digests and sum of their check hashes, modulo 2^64.
 Two sketches of one size subtract cell by cell; what both texts hold cancels. Peeling then recovers the digests of
-differing paragraphs from cells of one digest. If it gets stuck, both texts are sketched anew in four times the cells.
+differing paragraphs from cells of one digest. If it gets stuck, both texts are sketched anew in more cells, up to RETRIES
+times, and then compared as sets.
 
 The likeness of two texts is shared / (shared + differing) paragraphs, from what peeling recovered and the numbers of
 paragraphs that fingerprints carry. A fingerprint is "n:m:" and the base64 of its m cells.
@@ -32,7 +33,9 @@ from loomtext.llm.tokens import mix
 LONG = 240
 CELLS = 15
 GROW = 4
-BUCKET_BYTES = 16 << 20
+#: Cells for each digest after a failure, and how often a pair is sketched anew.
+LOAD, RETRIES = 1.5, 3
+BUCKET_BYTES, LEAST_BYTES = 16 << 20, 1 << 18
 _BATCH_CHARS = 1 << 20
 #: (up to this many characters from the start, radius): a place is cut if its hash is least among the places around it.
 RADII = ((64, 0), (512, 1), (1 << 62, 3))
@@ -149,14 +152,25 @@ class Sketches:
         return [f"{n}:{self.m}:" + base64.b64encode(b"".join(p[i].tobytes() for p in packed)).decode() for i, n in enumerate(sizes)]
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The digests of a that b doesn't have, as often as a has them more."""
+    keys, n = np.unique(a, return_counts=True)
+    theirs, m = np.unique(b, return_counts=True)
+    at = np.minimum(np.searchsorted(theirs, keys), max(len(theirs) - 1, 0))
+    held = np.where(theirs[at] == keys, m[at], 0) if len(theirs) else np.zeros(len(keys), np.int64)
+    return np.repeat(keys, np.maximum(n - held, 0))
+
+
 def differing(left: Sequence[np.ndarray], right: Sequence[np.ndarray], base: tuple[Sketches, Sketches] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each pair, the digests that only its left and only its right text has; base: sketches that exist already."""
+    """For each pair, the digests that only its left and only its right text has; base: sketches that exist already.
+
+    A pair that doesn't peel is sketched anew in a size for all its digests, which are known, and then in GROW times
+    more. After RETRIES its sets are compared as they are: equal digests in one set never peel.
+    """
     out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64),) * 2] * len(left)
-    todo = np.arange(len(left))
-    m = base[0].m if base else CELLS
-    while len(todo):
-        a, b = base or (Sketches([left[i] for i in todo], m), Sketches([right[i] for i in todo], m))
-        base = None
+
+    def peeled(todo: np.ndarray, a: Sketches, b: Sketches) -> np.ndarray:
+        """Those that are left over."""
         row, key, sign, whole = (a - b).peel()
         order = np.argsort(row, kind="stable")
         row, key, sign = row[order], key[order], sign[order]
@@ -164,8 +178,19 @@ def differing(left: Sequence[np.ndarray], right: Sequence[np.ndarray], base: tup
         for r in np.flatnonzero(whole):
             keys, signs = key[ends[r] : ends[r + 1]], sign[ends[r] : ends[r + 1]]
             out[todo[r]] = keys[signs > 0], keys[signs < 0]
-        todo = todo[~whole]
-        m *= GROW
+        return todo[~whole]
+
+    todo = np.arange(len(left))
+    if len(todo):
+        todo = peeled(todo, *(base or (Sketches(left, CELLS), Sketches(right, CELLS))))
+    wanted = LOAD * np.array([len(left[i]) + len(right[i]) for i in todo])
+    steps = np.maximum(1, np.ceil(np.log(np.maximum(wanted, 1) / CELLS) / np.log(GROW))).astype(int)
+    for _ in range(RETRIES):
+        rest = [(peeled(todo[steps == k], *(Sketches([side[i] for i in todo[steps == k]], CELLS * GROW**k) for side in (left, right))), k) for k in np.unique(steps).tolist()]
+        todo = np.concatenate([np.zeros(0, np.int64), *(some for some, _ in rest)])
+        steps = np.concatenate([np.zeros(0, np.int64), *(np.full(len(some), k + 1) for some, k in rest)])
+    for i in todo.tolist():
+        out[i] = _apart(left[i], right[i]), _apart(right[i], left[i])
     return out
 
 
@@ -207,7 +232,7 @@ def in_descending_order(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(F.col("text")))).first()[0] or 0
-    parts = max(1, min(65_536, size // BUCKET_BYTES))
+    parts = max(1, min(65_536, max(size // BUCKET_BYTES, min(spark.sparkContext.defaultParallelism, size // LEAST_BYTES))))
     cuts = np.zeros(0, np.int64)
     if parts > 1:
         found = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], F.lit(20 * parts))).first()[0]

@@ -118,7 +118,8 @@ def test_language_cases(spark):
     small = language.Scorer(model)
     small.size = 3  # the words kept by a worker give way without changing a result
     texts = [r[1] for r in rows] * 2
-    assert list(small.predict(texts)) == pytest.approx(list(language.Scorer(model).predict(texts)))
+    for (name, score), (wanted, p) in zip(small.predict(texts), language.Scorer(model).predict(texts), strict=True):
+        assert name == wanted and score == pytest.approx(p, abs=1e-9)
 
 
 # Conversations

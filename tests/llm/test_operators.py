@@ -228,6 +228,18 @@ def test_codec_is_tiktokens(spark):
         serialise({b"a": 0, b"b": 2})
 
 
+def test_equal_digests_end(spark):
+    """Sets that can't peel, and some that do at once, after one failure or at once in a large sketch."""
+    draw = np.random.default_rng(3)
+    some = lambda n: draw.integers(0, 1 << 63, n, dtype=np.uint64)
+    both, one = some(300), some(2)
+    left = [np.repeat(one, 2), np.repeat(one, [1, 3]), np.concatenate([both, one]), some(2000), some(0), both]
+    right = [one, np.repeat(one, [2, 1]), both, some(1500), some(5), both]
+    for (a, b), x, y in zip(fingerprint.differing(left, right), left, right, strict=True):
+        ours, theirs = Counter(x.tolist()), Counter(y.tolist())
+        assert Counter(a.tolist()) == ours - theirs and Counter(b.tolist()) == theirs - ours
+
+
 # Embeddings
 
 
