@@ -64,5 +64,6 @@ def top_k(x: Column, k: int) -> Column:
 
 def draw(weights: Column, u: Column) -> Column:
     """Index from 0 of the first weight at which the running sum reaches u times the total."""
-    sums = F.transform(weights, lambda _, i: total(F.slice(weights, F.lit(1), i + 1)))
-    return bind(u * total(weights), lambda goal: F.size(F.filter(sums, lambda s: s < goal)))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("below"))
+    step = lambda goal: lambda s, v: F.struct((s["sum"] + v).alias("sum"), (s["below"] + (s["sum"] + v < goal).cast("int")).alias("below"))
+    return bind(u * total(weights), lambda goal: F.aggregate(weights, start, step(goal), lambda s: s["below"]))

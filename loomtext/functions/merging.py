@@ -122,6 +122,17 @@ class MergeTable:
         return chain.ids[:-1][alive], np.concatenate([[0], np.cumsum(alive)])[bounds]
 
 
+def parts_below(token: bytes, ranks: dict[bytes, int], limit: int) -> list[bytes]:
+    """A token's bytes merged by the ranks under `limit`, lowest first and of equals the leftmost."""
+    parts = [token[i : i + 1] for i in range(len(token))]
+    while len(parts) > 1:
+        rank, at = min((ranks.get(a + b, limit), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+        if rank >= limit:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return parts
+
+
 def sum_pairs(ids: np.ndarray, bounds: np.ndarray, weights: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(code, sum of weights, least place) of every pair; a sequence's weight and first place hold for all its pairs."""
     at = adjacent(bounds)

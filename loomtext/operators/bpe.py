@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import bytes as B
 from loomtext.functions import merging as M
-from loomtext.session import pinned, small_side, unpinned
+from loomtext.session import pinned, small_side, spread, unpinned
 
 #: Bytes or ids that a task's arrays hold at once; a longer text is held whole.
 SLICE = 1 << 21
@@ -22,14 +22,14 @@ MAX_MERGES = 65_536 - 256
 PIECE_SPAN = 1 << 32
 ROWS = "doc long, base long, weight long, ids binary"
 
-#: The widely published split pattern of byte-level pre-tokenisers, and one that keeps Devanagari
-#: (U+0900-097F) and Kannada (U+0C80-0CFF) words with their vowel signs, splits dandas (U+0964-0965) and lone
-#: punctuation off, and ignores case.
+#: The widely published split pattern of byte-level pre-tokenisers, and the one of the tokenizer study
+#: that this engine re-expresses for Devanagari (U+0900-097F) and Kannada (U+0C80-0CFF), whose words keep their vowel
+#: signs. Mended in it: word classes end before the dandas (U+0964-0965), which split off, and the ranges are written
+#: as escapes.
 GPT2_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-INDIC_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\b[\p{L}\u0900-\u0963\u0966-\u097F]+\b| ?\b[\p{L}\u0C80-\u0C9E\u0CA0-\u0CFF]+\b"
-INDIC_SIGNS = r" ?\p{N}+| ?[.,!?;:'\"-]| ?[\u0964-\u0965]| ?[\u0C9E-\u0C9F]| ?[^\s\p{L}\p{N}\u0900-\u097F\u0C80-\u0CFF]+|\s+(?!\S)|\s+"
-#: What the pattern leaves between its matches (letters beside digits, say) are pieces too.
-INDIC_SPLIT = f"(?i)(?:{INDIC_WORDS}|{INDIC_SIGNS})|(?:(?!{INDIC_WORDS}|{INDIC_SIGNS})[\\s\\S])+"
+INDIC_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\b[\p{L}\u0900-\u0963\u0966-\u097F]+\b| ?\b[\p{L}\u0C80-\u0C9E\u0CA0-\u0CFF]+\b| ?\p{N}+| ?[.,!?;:'\"-]| ?[\u0964-\u0965]| ?[\u0C9E-\u0C9F]| ?[^\s\p{L}\p{N}\u0900-\u097F\u0C80-\u0CFF]+|\s+(?!\S)|\s+"
+#: Case is ignored, and what the pattern leaves between its matches (letters beside digits, say) are pieces too.
+INDIC_SPLIT = f"(?i)(?:{INDIC_WORDS})|(?:(?!{INDIC_WORDS})[\\s\\S])+"
 
 
 def pre_tokens(text: Column, pattern: str = GPT2_SPLIT) -> Column:
@@ -70,6 +70,20 @@ def pair_counts(docs: DataFrame, text: str = "text", *, by_document: bool = Fals
     return docs.select(F.col(text).alias("text")).mapInPandas(whole, "a int, b int, cnt long").groupBy("a", "b").agg(F.sum("cnt").alias("cnt"))
 
 
+def byte_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(id, cnt) of the bytes of all texts; a task sums what it reads into 256 cells."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells = np.zeros(256, np.int64)
+        for batch in batches:
+            for _, ids, _ in _byte_slices(batch["text"].tolist()):
+                cells += np.bincount(ids, minlength=256)
+        seen = np.flatnonzero(cells)
+        yield pd.DataFrame({"id": seen, "cnt": cells[seen]})
+
+    return docs.select(F.col(text).alias("text")).mapInPandas(count, "id int, cnt long").groupBy("id").agg(F.sum("cnt").alias("cnt"))
+
+
 def _byte_slices(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, ids, bounds) for stretches of about SLICE bytes."""
     raw = [(t or "").encode("utf-8") for t in texts]
@@ -250,18 +264,25 @@ class Codec:
 
     The table goes to the tasks with the functions, so it is bounded: more than MAX_MERGES merges raise. Merging is
     lowest rank first, over whole texts or within given pieces. Null in, null out; no text is no ids.
+
+    `names`, if given, are the ids that the 256 bytes and then the merges go by outside; a piece that is one of the
+    tokens `whole` is that token, whatever its bytes would merge to.
     """
 
-    def __init__(self, merges: Sequence[M.Merge]):
+    def __init__(self, merges: Sequence[M.Merge], names: Sequence[int] | None = None, whole: Mapping[bytes, int] | None = None):
         if len(merges) > MAX_MERGES:
             raise ValueError(f"a table of {len(merges)} merges is over {MAX_MERGES}")
         self.merges = [tuple(map(int, m)) for m in merges]
-        table, words = M.MergeTable(self.merges), list(words_of(self.merges).values())
+        named = None if names is None else np.array(names, np.int32)
+        single = {} if whole is None else {token.decode("utf-8", "surrogateescape"): np.array([i], np.int32) for token, i in whole.items()}
+        table, own = M.MergeTable(self.merges), words_of(self.merges).values()
+        by_id = dict(zip(range(len(own)) if names is None else names, own)) | {i: token for token, i in (whole or {}).items()}
+        words = [by_id.get(i) for i in range(max(by_id) + 1)]
 
         def encoded(texts: list[str | None]) -> Iterator[np.ndarray]:
             for _, ids, bounds in _byte_slices(texts):
                 ids, bounds = table.encode(ids, bounds)
-                ids, cuts = ids.astype(np.int32), bounds.tolist()
+                ids, cuts = ids.astype(np.int32) if named is None else named[ids], bounds.tolist()
                 yield from (ids[i:j] for i, j in zip(cuts, cuts[1:]))
 
         def joined(ids) -> bytes:
@@ -270,7 +291,7 @@ class Codec:
                     raise IndexError
                 return b"".join([words[i] for i in ids])
             except (IndexError, TypeError):
-                raise ValueError(f"unknown token id {next(i for i in ids if i is None or not 0 <= i < len(words))}") from None
+                raise ValueError(f"unknown token id {next(i for i in ids if i is None or not 0 <= i < len(words) or words[i] is None)}") from None
 
         @F.pandas_udf("array<int>")
         def encode(texts: pd.Series) -> pd.Series:
@@ -282,6 +303,7 @@ class Codec:
             values = [None if p is None else p.tolist() for p in pieces]
             distinct = list({x for v in values for x in v or ()})
             known = dict(zip(distinct, encoded(distinct)))
+            known.update((x, single[x]) for x in distinct if x in single)
             return pd.Series([None if v is None else np.concatenate([np.zeros(0, np.int32), *(known[x] for x in v)]) for v in values], dtype=object)
 
         @F.pandas_udf("binary")
@@ -294,12 +316,60 @@ class Codec:
 
         self.encode, self.encode_pieces, self.decode_bytes, self.decode = encode, encode_pieces, decode_bytes, decode
 
+    def encode_text(self, text: Column | str, pattern: str = GPT2_SPLIT) -> Column:
+        """A text's ids, piece by piece."""
+        return self.encode_pieces(pre_tokens(F.col(text) if isinstance(text, str) else text, pattern))
+
     def register(self, spark: SparkSession, prefix: str = "bpe") -> None:
         """SQL functions <prefix>_encode(text), _encode_pieces(array), _decode(ids), _decode_bytes(ids)."""
         for name in ("encode", "encode_pieces", "decode", "decode_bytes"):
             spark.udf.register(f"{prefix}_{name}", getattr(self, name))
 
 
+def recovered(ranks: DataFrame) -> tuple[DataFrame, dict[bytes, int]]:
+    """(rank, a, b, id) and the tokens by id, of a rank file's table (id, bytes) in which a token's id is its rank.
+
+    Rank files don't say which two tokens a merge joins: they are what a token's own bytes come to by the merges of
+    lower rank. A token that doesn't come to two, so that no merge makes it, has null for both. A vocabulary is
+    bounded: more than MAX_MERGES + 256 tokens raise, as do missing bytes, repeated ids and repeated tokens.
+    """
+    rows = ranks.select("id", "bytes").limit(MAX_MERGES + 257).collect()
+    tokens = {bytes(r["bytes"]): r["id"] for r in rows}
+    if len(rows) > MAX_MERGES + 256:
+        raise ValueError(f"a rank file of over {MAX_MERGES + 256} tokens")
+    if len(tokens) < len(rows) or len(set(tokens.values())) < len(rows):
+        raise ValueError("a rank file with a token or an id twice")
+    if missing := [b for b in range(256) if bytes([b]) not in tokens]:
+        raise ValueError(f"a rank file without the byte {missing[0]}")
+    shared = ranks.sparkSession.sparkContext.broadcast(tokens)
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = shared.value
+        for batch in batches:
+            pairs = [M.parts_below(bytes(token), held, rank) for rank, token in zip(batch["id"], batch["bytes"])]
+            ids = [[held[p] for p in pair] if len(pair) == 2 else [None, None] for pair in pairs]
+            yield pd.DataFrame({"rank": batch["id"], "a": pd.array([x[0] for x in ids], "Int32"), "b": pd.array([x[1] for x in ids], "Int32"), "id": batch["id"]})
+
+    return spread(ranks.where(F.octet_length("bytes") > 1).select("id", "bytes")).mapInPandas(split, "rank int, a int, b int, id int"), tokens
+
+
+def named_encoding(ranks: DataFrame) -> Codec:
+    """The codec of a rank file's table (id, bytes): the ids that the file gives, bytes included. Texts are encoded by
+    `encode_text`, piece by piece."""
+    pairs, tokens = recovered(ranks)
+    rows = sorted(pairs.collect())  # as many as the vocabulary has tokens
+    joined = [r for r in rows if r["a"] is not None]
+    names = [tokens[bytes([b])] for b in range(256)] + [r["id"] for r in joined]
+    inner = {name: i for i, name in enumerate(names)}
+    words = {i: token for token, i in tokens.items()}
+    # A part that no merge makes can't come up, so neither can its merge.
+    possible = [r for r in joined if r["a"] in inner and r["b"] in inner]
+    if len(possible) < len(joined):
+        raise ValueError("a rank file whose merges need tokens that no merge makes")
+    merges = [(inner[r["a"]], inner[r["b"]], inner[r["id"]]) for r in joined]
+    return Codec(merges, names, {words[r["id"]]: r["id"] for r in rows if r["a"] is None})
+
+
 def register_pairs(spark: SparkSession) -> None:
     """SQL function byte_pairs(text): array of (a, b, cnt) of a text's adjacent bytes, by (a, b)."""
 
@@ -342,9 +412,10 @@ def with_rank(pairs: DataFrame, merges: DataFrame) -> DataFrame:
 DECODE_SPAN = 4_096
 
 
-def decode_join(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(doc_id, bytes) from tokens (doc_id, pos, id) by lookup and ordered concatenation; an unknown id raises.
+def decode_join(tokens: DataFrame, vocab: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, bytes) for docs (doc_id, encoded) from tokens (doc_id, pos, id) by lookup and ordered concatenation; an unknown id raises.
 
+    An encoded document without tokens has no bytes; one that wasn't encoded, for want of a text, has null.
     Tokens are gathered in spans of DECODE_SPAN positions, and spans, as bytes, by document: no group holds more
     tokens than a span, nor more rows than a document has spans. A doc_id is one document.
     """
@@ -352,7 +423,8 @@ def decode_join(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     checked = F.when(F.col("bytes").isNull(), F.raise_error(F.concat(F.lit("unknown token id "), F.col("id").cast("string")))).otherwise(F.hex("bytes"))
     ordered = lambda by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, "h"))), lambda e: e["h"]), "")
     spans = known.withColumn("h", checked).groupBy("doc_id", F.floor(F.col("pos") / DECODE_SPAN).alias("span")).agg(ordered("pos").alias("h"))
-    return spans.groupBy("doc_id").agg(F.unhex(ordered("span")).alias("bytes"))
+    whole = spans.groupBy("doc_id").agg(ordered("span").alias("h"))
+    return docs.join(whole, "doc_id", "left").select("doc_id", F.unhex(F.coalesce("h", F.when(F.col("encoded"), F.lit("")))).alias("bytes"))
 
 
 def decode_lookup(docs: DataFrame, ids: Column, vocab: DataFrame) -> DataFrame:

@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.functions import bytes as B
 from loomtext.operators.bpe import pair_counts
 from loomtext.operators.order import with_position
+from loomtext.session import pinned
 
 
 def batches_per_epoch(tokens: int, b: int, t: int) -> int:
@@ -22,43 +23,86 @@ def batches_per_epoch(tokens: int, b: int, t: int) -> int:
 def pack(docs: DataFrame, b: int, t: int, tokens: int | None = None) -> DataFrame:
     """(batch, row, x, y) of whole batches from (offset, ids): y is x shifted by one token.
 
-    A row needs tokens r t .. r t + t. Rows within one document are cut where it is; only the at most two rows in
-    which a document begins or ends go through a shuffle, as slices of at most t + 1 tokens. The tail that fills
-    no batch is dropped. `tokens` is the stream's length, if it is known.
+    A row needs tokens r t .. r t + t. One pass over the ids cuts those rows that lie within a document and slices
+    of the at most two in which it begins or ends; both are written, and only the slices, of at most t + 1 tokens, are
+    shuffled. The tail that fills no batch is dropped. `tokens` is the stream's length, if it is known.
     """
     if tokens is None:
         tokens = docs.agg(F.max(F.col("offset") + F.size("ids"))).first()[0] or 0
     rows = batches_per_epoch(tokens, b, t) * b
 
-    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             starts, lists = batch.column("offset").to_numpy(zero_copy_only=False), batch.column("ids")
             flat, cuts = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            for i in np.flatnonzero(np.diff(cuts) > t).tolist():
+            seams: list[tuple[int, int, np.ndarray]] = []
+            for i in np.flatnonzero(np.diff(cuts) > 0).tolist():
                 o, ids = int(starts[i]), flat[cuts[i] : cuts[i + 1]]
-                first, end = -(-o // t), min((o + len(ids) - 1) // t, rows)
+                last = o + len(ids)
+                first, end = -(-o // t), min((last - 1) // t, rows)
                 if first < end:
-                    x, n = ids[first * t - o : end * t + 1 - o], end - first
-                    bounds = pa.array(np.arange(n + 1) * t, pa.int32())
-                    parts = (pa.ListArray.from_arrays(bounds, pa.array(v, pa.int32())) for v in (x[:-1], x[1:]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, end)), *parts], ["r", "x", "y"])
-
-    size = F.size("ids")
-    last = F.col("offset") + size
-    ends = F.array_distinct(F.array(F.ceil(F.col("offset") / t) - 1, F.floor((last - 1) / t)))
-
-    def part(r):
-        start, end = F.greatest(r * t, F.col("offset")), F.least(r * t + t + 1, last)
-        return F.struct(r.alias("r"), start.alias("start"), F.slice("ids", (start - F.col("offset") + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int")).alias("part"))
-
-    cut = F.filter(ends, lambda r: (r >= 0) & (r < rows) & ((r * t < F.col("offset")) | (r * t + t + 1 > last)))
-    # Slices are cut before the explode: exploded rows must not each carry the whole document.
-    # No filter on ids: it would be pushed below joins and have ids computed twice.
-    parts = docs.select(F.explode(F.when(size > 0, F.transform(cut, part))).alias("e")).select("e.*").where(F.size("part") > 0)
-    joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "part"))), lambda e: e["part"]))
-    seams = parts.groupBy("r").agg(joined.alias("w")).where(F.size("w") == t + 1).select("r", F.slice("w", 1, t).alias("x"), F.slice("w", 2, t).alias("y"))
-    packed = docs.select("offset", "ids").mapInArrow(within, "r long, x array<int>, y array<int>").unionByName(seams)
-    return packed.select(F.floor(F.col("r") / b).cast("long").alias("batch"), (F.col("r") % b).cast("int").alias("row"), "x", "y")
+                    windows = np.lib.stride_tricks.sliding_window_view(ids[first * t - o : end * t + 1 - o], t + 1)[::t]
+                    values = pa.ListArray.from_arrays(pa.array(np.arange(end - first + 1) * (t + 1), pa.int32()), pa.array(windows.ravel(), pa.int32()))
+                    r = np.arange(first, end)
+                    yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(r * t), pa.array(np.zeros(len(r), bool)), values], ["r", "start", "seam", "w"])
+                for r in {first - 1, (last - 1) // t}:
+                    if 0 <= r < rows and (r * t < o or r * t + t + 1 > last):
+                        start = max(r * t, o)
+                        seams.append((r, start, ids[start - o : min(r * t + t + 1, last) - o]))
+            parts = pa.array([w for _, _, w in seams], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in seams], pa.int64()), pa.array([s for _, s, _ in seams], pa.int64()), pa.array([True] * len(seams), pa.bool_()), parts], ["r", "start", "seam", "w"])
+
+    found = pinned(docs.select("offset", "ids").where("ids IS NOT NULL").mapInArrow(cut, "r long, start long, seam boolean, w array<int>"), "rows")
+    joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "w"))), lambda e: e["w"]))
+    seams = found.where("seam").groupBy("r").agg(joined.alias("w")).where(F.size("w") == t + 1)
+    packed = found.where("NOT seam").select("r", "w").unionByName(seams)
+    return packed.select(F.floor(F.col("r") / b).cast("long").alias("batch"), (F.col("r") % b).cast("int").alias("row"), F.slice("w", 1, t).alias("x"), F.slice("w", 2, t).alias("y"))
+
+
+class BatchStore:
+    """Batches under a folder, to be read by step: the cursor over an epoch's batches that wraps to the first.
+
+    Rows lie in folders by `span`, a stretch of batches, so a step's filter leaves one folder, and within it sorted
+    by batch, so that Parquet's statistics leave few row groups. A step is all that a reader must remember to go on.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        about = spark.read.parquet(f"{path}/about").first()
+        self.batches, self.rows, self.span = about["batches"], about["rows"], about["span"]
+
+    @classmethod
+    def write(cls, packed: DataFrame, path: str, batches: int, b: int, t: int, *, span_tokens: int = 1 << 24) -> BatchStore:
+        span = max(1, span_tokens // (b * t))
+        spark = packed.sparkSession
+        placed = packed.withColumn("span", F.floor(F.col("batch") / span)).repartitionByRange("batch").sortWithinPartitions("batch", "row")
+        placed.write.partitionBy("span").parquet(f"{path}/rows")
+        spark.range(1).select(F.lit(batches).cast("long").alias("batches"), F.lit(b).alias("rows"), F.lit(span).cast("long").alias("span")).write.parquet(f"{path}/about")
+        return cls(spark, path)
+
+    def _rows(self) -> DataFrame:
+        return self.spark.read.schema("batch long, row int, x array<int>, y array<int>, span long").parquet(f"{self.path}/rows")
+
+    def at(self, step: int) -> DataFrame:
+        """(row, x, y) of a step's batch; no rows if there are no batches."""
+        batch = step % max(1, self.batches)
+        return self._rows().where((F.col("span") == batch // self.span) & (F.col("batch") == batch)).select("row", "x", "y")
+
+    def between(self, first: int, last: int) -> DataFrame:
+        """(step, row, x, y) for the steps from first until last. No join: a row knows in which of them it is."""
+        n = max(1, self.batches)
+        rows = self._rows()
+        if last - first < n:  # part of an epoch, which may go round its end
+            low, high = first % n, (last - 1) % n
+            inside = lambda c, a, z: F.col(c).between(a, z) if low <= high else (F.col(c) >= a) | (F.col(c) <= z)
+            rows = rows.where(F.lit(last > first) & inside("span", low // self.span, high // self.span) & inside("batch", low, high))
+        round_ = F.ceil((F.lit(first) - F.col("batch")) / n).cast("long")
+        steps = F.filter(F.sequence(F.col("batch") + round_ * n, F.col("batch") + F.greatest(round_, F.floor((F.lit(last - 1) - F.col("batch")) / n).cast("long")) * n, F.lit(n).cast("long")), lambda s: (s >= first) & (s < last))
+        return rows.select(F.explode(steps).alias("step"), "row", "x", "y")
+
+    def after(self, step: int, count: int) -> DataFrame:
+        """(step, row, x, y) of the `count` steps that follow `step`, where a reader stopped; -1 begins."""
+        return self.between(step + 1, step + 1 + count)
 
 
 def epoch_cycle(steps: DataFrame, batches: int) -> DataFrame:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtext.session import pinned, small_side
+
 
 def uniform(seed: int, *parts: Column | str) -> Column:
     """A number in [0, 1) from a hash of the seed and the parts."""
@@ -15,12 +17,25 @@ def uniform(seed: int, *parts: Column | str) -> Column:
 
 
 def sample_per_group(docs: DataFrame, n: int, *, seed: int, group: str = "lang") -> DataFrame:
-    """Exactly n rows of each group, or all of a smaller one, without replacement.
+    """Exactly n rows of each group, or all of a smaller one, without replacement; `sample_rank` is their order.
 
-    Catalyst limits each group within partitions before the shuffle, so at most n rows a group leave a task.
+    Rows are in the order of MD5(seed:doc_id), so its leading digits are uniform. Groups are counted, and only rows
+    below the cut that a sample of n lies under with near certainty are ordered: about n and a few roots of n
+    of each group in all, however many tasks read it, and they are written once. A group of which the cut left too
+    few is ordered whole.
     """
-    order = Window.partitionBy(group).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))), "doc_id")
-    return docs.withColumn("sample_rank", F.row_number().over(order)).where(F.col("sample_rank") <= n)
+    named = F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))
+    sizes = pinned(docs.groupBy(F.col(group).alias("__group")).agg(F.count("*").alias("__size")), "sizes")
+    share = (n + 8 * math.sqrt(n) + 32) / F.col("__size")
+    placed = docs.withColumn("__at", F.md5(named)).join(small_side(sizes), F.col(group).eqNullSafe(F.col("__group")))
+    near = pinned(placed.where(uniform(seed, F.col("doc_id").cast("string")) < share), "near")
+    left = near.groupBy("__group").agg(F.count("*").alias("__left")).withColumnRenamed("__group", "__found")
+    short = pinned(sizes.join(left, F.col("__group").eqNullSafe(F.col("__found")), "left").where(F.coalesce("__left", F.lit(0)) < F.least(F.lit(n), F.col("__size"))).select(F.col("__group").alias("__short")), "short")
+    if not short.isEmpty():
+        same = F.col("__group").eqNullSafe(F.col("__short"))
+        near = near.join(small_side(short), same, "left_anti").unionByName(placed.join(small_side(short), same, "left_semi"))
+    order = Window.partitionBy(group).orderBy("__at", "doc_id")
+    return near.withColumn("sample_rank", F.row_number().over(order)).where(F.col("sample_rank") <= n).drop("__at", "__group", "__size")
 
 
 def repeat(prompts: DataFrame, n: int) -> DataFrame:

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomtext.functions import bytes as B
 from loomtext.functions import kernels as K
-from loomtext.operators import model, sampling
-from loomtext.operators.order import with_position
+from loomtext.operators import bpe, model, sampling
+from loomtext.operators.order import with_offset, with_position
 from loomtext.plans.catalog import Catalog, table
-from loomtext.session import fresh_path, small_side
+from loomtext.session import fresh_path, small_side, spread
 from loomtext.sources import sinks
 from loomtext.sources import text as sources
 
-FILE_DOCS = 100
+FILE_BYTES = 1 << 20
 SAMPLE, SEED = 40, 42
 _C = Catalog()
 QUERIES, ORACLES = _C.queries, _C.oracles
@@ -48,7 +47,7 @@ def corpus_stats(spark, sf):
 
 @_C.add("SELECT ('0x' || h)::INT AS id, count(*)::BIGINT AS cnt FROM (SELECT unnest(regexp_extract_all(hex(encode(text)), '..')) AS h FROM documents) GROUP BY 1")
 def byte_histogram(spark, sf):
-    return table(spark, sf, "documents").select(F.explode(B.utf8_ids(F.col("text"))).alias("id")).groupBy("id").agg(F.count("*").alias("cnt"))
+    return bpe.byte_counts(spread(table(spark, sf, "documents")))
 
 
 @_C.add("SELECT doc_id, url FROM (SELECT page_id AS doc_id, url FROM pages) WHERE NOT (suffix(url, '1') OR suffix(url, '.html'))")
@@ -57,17 +56,22 @@ def suffix_filter(spark, sf):
     return table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), "url").where(~ends)
 
 
-@_C.add(r"SELECT doc_id, md5(regexp_replace(chr(9) || text || ' ' || chr(10), '^\s+|\s+$', '', 'g')) AS digest FROM documents")
+_WHITE = " || ".join(f"chr({ord(c)})" for c in sources.WHITE)
+
+
+@_C.add(f"SELECT doc_id, md5(trim(chr(9) || chr(8195) || text || ' ' || chr(10), {_WHITE})) AS digest FROM documents")
 def strip_text(spark, sf):
-    padded = F.concat(F.lit("\t"), "text", F.lit(" \n"))
+    padded = F.concat(F.lit("\t "), "text", F.lit(" \n"))
     return table(spark, sf, "documents").select("doc_id", F.md5(sources.strip(padded)).alias("digest"))
 
 
-@_C.add(f"SELECT file, count(*)::BIGINT AS docs, sum(strlen(text))::BIGINT AS bytes, md5(string_agg(text, '' ORDER BY doc_id)) AS digest FROM (SELECT doc_id, text, ((row_number() OVER (ORDER BY doc_id) - 1) // {FILE_DOCS})::INT AS file FROM documents) GROUP BY file")
+@_C.add(f"SELECT file, count(*)::BIGINT AS docs, sum(strlen(text))::BIGINT AS bytes, md5(string_agg(text, '' ORDER BY doc_id)) AS digest FROM (SELECT doc_id, text, ((sum(strlen(text)) OVER (ORDER BY doc_id) - strlen(text)) // {FILE_BYTES})::INT AS file FROM documents) GROUP BY file")
 def whole_file(spark, sf):
-    """All texts written as whole files of FILE_DOCS documents each, read back whole, not stripped."""
+    """All texts written as whole files, read back whole, not stripped; a file takes the documents, in order, that
+    begin in a stretch of FILE_BYTES of the corpus."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    places = with_position(docs.select("doc_id"), "doc_id").select("doc_id", F.floor(F.col("position") / FILE_DOCS).cast("int").alias("file"))
+    starts = with_offset(docs.select("doc_id", F.octet_length("text").alias("n")), "doc_id", F.coalesce("n", F.lit(0)).cast("long"))
+    places = starts.select("doc_id", F.floor(F.col("offset") / FILE_BYTES).cast("int").alias("file"))
     ordered = F.array_sort(F.collect_list(F.struct("doc_id", "text")))
     whole = docs.join(small_side(places), "doc_id").groupBy("file").agg(F.count("*").alias("docs"), F.array_join(F.transform(ordered, lambda e: e["text"]), "").alias("value"))
     path = fresh_path(spark, "whole")

@@ -134,7 +134,7 @@ def last_position(spark, sf):
 
 @_C.add("SELECT doc_id, strlen(text)::INT AS n FROM documents WHERE strlen(text) <= 1024")
 def sequence_guard(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.size(utf8_ids(F.col("text"))).alias("n")).where("n BETWEEN 0 AND 1024")
+    return table(spark, sf, "documents").select("doc_id", F.octet_length("text").alias("n")).where("n <= 1024")
 
 
 @_C.add(f"SELECT vec_id, {', '.join(f'round(list_dot_product(x[1:8], {row}::DOUBLE[]) + 0.5, 6) AS y{i}' for i, row in enumerate(_W3))} FROM {_V}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from loomtext.functions import bytes as B
@@ -196,18 +197,41 @@ def encode_pieces(spark, sf):
     return encoded.select("doc_id", F.size("ids").alias("n"), _id_digest(F.col("ids")).alias("digest"))
 
 
+def _named(spark, name: str) -> bpe.Codec:
+    return bpe.named_encoding(sources.read_ranks(spark, f"file://{public_tokenizers.path(name)}"))
+
+
+def _encoded_by_ranks(spark, sf, name):
+    codec = _named(spark, name)
+    encoded = _documents(spark, sf).where("text IS NOT NULL").select("doc_id", "text", codec.encode_text("text").alias("ids"))
+    return encoded.select("doc_id", F.size("ids").alias("n"), _id_digest(F.col("ids")).alias("digest"), codec.decode("ids").eqNullSafe(F.col("text")).alias("whole"))
+
+
+@_C.add()
+def encode_named(spark, sf):
+    """Every document by a ready-made vocabulary, its merges recovered from the rank file, and back."""
+    return _encoded_by_ranks(spark, sf, "byte_bpe_50k.tiktoken")
+
+
+@_C.add()
+def encode_named_multilingual(spark, sf):
+    """The same by the vocabulary for many languages."""
+    return _encoded_by_ranks(spark, sf, "byte_bpe_multi_50k.tiktoken")
+
+
 @_C.add("SELECT doc_id, md5(text) AS digest FROM documents")
 def decode_fold(spark, sf):
     encoded, codec = _encoded(spark, sf)
     return encoded.select("doc_id", F.md5(codec.decode("ids")).alias("digest"))
 
 
-@_C.add("SELECT doc_id, md5(text) AS digest FROM documents WHERE text <> ''")
+@_C.add("SELECT doc_id, md5(text) AS digest FROM documents")
 def decode_by_join(spark, sf):
     """Every document by a join of its tokens with the vocabulary; decode_fold is the way that shuffles none."""
     encoded, codec = _encoded(spark, sf)
     tokens = encoded.select("doc_id", F.posexplode("ids").alias("pos", "id"))
-    return bpe.decode_join(tokens, bpe.vocabulary(spark, codec.merges)).select("doc_id", F.md5("bytes").alias("digest"))
+    docs = _documents(spark, sf).select("doc_id", F.col("text").isNotNull().alias("encoded"))
+    return bpe.decode_join(tokens, bpe.vocabulary(spark, codec.merges), docs).select("doc_id", F.md5("bytes").alias("digest"))
 
 
 @_C.add("SELECT doc_id, md5(text) AS digest FROM documents")
@@ -306,11 +330,29 @@ def next_token_targets(spark, sf):
 @_C.add(f"""SELECT (g // {BATCH * LENGTH})::BIGINT AS batch, ((g % {BATCH * LENGTH}) // {LENGTH})::INT AS row, sum(id * (g % {LENGTH} + 1))::BIGINT AS x_sum, sum(next_id * (g % {LENGTH} + 1))::BIGINT AS y_sum
  FROM (SELECT g, id, lead(id) OVER (ORDER BY g) AS next_id FROM ({_FLAT})) WHERE g // {BATCH * LENGTH} < ({_TOTAL} - 1) // {BATCH * LENGTH} GROUP BY 1, 2""")
 def pack_blocks(spark, sf):
-    weigh = lambda c: F.aggregate(F.transform(c, lambda v, i: v * (i + 1)), F.lit(0).cast("long"), lambda s, v: s + v)
+    return _packed(spark, sf)[0].select("batch", "row", _weigh("x").alias("x_sum"), _weigh("y").alias("y_sum"))
+
+
+def _weigh(ids):
+    return F.aggregate(F.transform(ids, lambda v, i: v * (i + 1)), F.lit(0).cast("long"), lambda s, v: s + v)
+
+
+def _packed(spark, sf):
+    """The packed rows of the bytes of all documents, and the number of batches."""
     places = pinned(_offsets(spark, sf).where("n > 0"), "offsets")
     tokens = places.agg(F.max(F.col("offset") + F.col("n"))).first()[0] or 0
     docs = _documents(spark, sf).join(small_side(places), "doc_id").select("offset", bpe.Codec([]).encode("text").alias("ids"))
-    return packing.pack(docs, BATCH, LENGTH, tokens).select("batch", "row", weigh("x").alias("x_sum"), weigh("y").alias("y_sum"))
+    return packing.pack(docs, BATCH, LENGTH, tokens), packing.batches_per_epoch(tokens, BATCH, LENGTH)
+
+
+@_C.add(f"""WITH f AS (SELECT g, id, lead(id) OVER (ORDER BY g) AS next_id FROM ({_FLAT})), n AS (SELECT (({_TOTAL} - 1) // {BATCH * LENGTH})::BIGINT AS n),
+ r AS (SELECT (g // {BATCH * LENGTH})::BIGINT AS batch, ((g % {BATCH * LENGTH}) // {LENGTH})::INT AS row, sum(id * (g % {LENGTH} + 1))::BIGINT AS x_sum, sum(next_id * (g % {LENGTH} + 1))::BIGINT AS y_sum FROM f, n WHERE g // {BATCH * LENGTH} < n GROUP BY 1, 2)
+ SELECT step::BIGINT AS step, row, x_sum, y_sum FROM n, range(0, 2 * n + 3) t(step) JOIN r ON r.batch = step % n""")
+def batches_by_step(spark, sf):
+    """x and y of every step of two epochs over the documents and three more, read from a batch store."""
+    packed, batches = _packed(spark, sf)
+    store = packing.BatchStore.write(packed, fresh_path(spark, "batches"), batches, BATCH, LENGTH, span_tokens=1 << 20)
+    return store.between(0, 2 * batches + 3 if batches else 0).select("step", "row", _weigh("x").alias("x_sum"), _weigh("y").alias("y_sum"))
 
 
 @_C.add(f"SELECT n::BIGINT AS tokens, ((n - 1) // {BATCH * LENGTH})::BIGINT AS batches, (n - (n - 1) // {BATCH * LENGTH} * {BATCH * LENGTH})::BIGINT AS dropped FROM (SELECT {_TOTAL} AS n)")

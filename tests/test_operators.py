@@ -1,8 +1,12 @@
 """Hand-worked cases and properties."""
 
 import base64
+import hashlib
 import math
 import random
+import time
+from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 
+from loomtext import session
 from loomtext.functions import bytes as B
 from loomtext.operators import attention, bpe, model, order, packing, sampling
 from loomtext.session import matched, small_side
@@ -147,7 +152,7 @@ def test_split_patterns(spark):
     for pattern in (bpe.GPT2_SPLIT, bpe.INDIC_SPLIT):
         for r in _docs(spark, texts).select("text", bpe.pre_tokens(F.col("text"), pattern).alias("p")).collect():
             want, at = [], 0
-            for m in regex.finditer(pattern if pattern == bpe.GPT2_SPLIT else f"(?i){bpe.INDIC_WORDS}|{bpe.INDIC_SIGNS}", r["text"]):
+            for m in regex.finditer(pattern if pattern == bpe.GPT2_SPLIT else f"(?i){bpe.INDIC_WORDS}", r["text"]):
                 want += gap(at, m.start(), r["text"]) + [m.group()]
                 at = m.end()
             assert r["p"] == want + gap(at, len(r["text"]), r["text"])
@@ -165,6 +170,61 @@ def test_packing(spark, n):
         assert r["x"] == ids[4 * k : 4 * k + 4] and r["y"] == ids[4 * k + 1 : 4 * k + 5]
 
 
+def test_batches_by_step(spark, tmp_path):
+    """Any step, the wrap and a resumed reader included; a step's filter leaves its span's folder."""
+    ids = list(range(1, 200))
+    docs = spark.createDataFrame([(0, ids[:3]), (3, ids[3:150]), (150, ids[150:])], "offset long, ids array<int>")
+    b, t = 2, 4
+    n = packing.batches_per_epoch(len(ids), b, t)
+    store = packing.BatchStore.write(packing.pack(docs, b, t), str(tmp_path / "store"), n, b, t, span_tokens=32)
+    wanted = lambda step: [(r, ids[(g := (step % n) * b * t + r * t) : g + t], ids[g + 1 : g + 1 + t]) for r in range(b)]
+    for step in (0, n - 1, n, 7 * n + 5):
+        assert sorted(tuple(r) for r in store.at(step).collect()) == wanted(step)
+    for first, last in ((0, 2 * n + 3), (n - 2, n + 2), (5, 6), (3, 3), (n + 1, 2 * n), (2 * n - 1, 4 * n)):
+        found = sorted(tuple(r) for r in store.between(first, last).collect())
+        assert found == [(s, *row) for s in range(first, last) for row in wanted(s)]
+    stopped = max(r["step"] for r in store.after(-1, 5).collect())
+    again = packing.BatchStore(spark, str(tmp_path / "store"))
+    assert {r["step"] for r in again.after(stopped, n).collect()} == set(range(5, 5 + n))
+    plan = store.at(9)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "PartitionFilters: [isnotnull(span" in plan and f"= {9 // 4}" in plan and "PushedFilters: [IsNotNull(batch), EqualTo(batch,9)]" in plan
+    assert {p.name for p in (tmp_path / "store" / "rows").glob("span=*")} == {f"span={k}" for k in range(-(-n // 4))}
+    empty = packing.BatchStore.write(packing.pack(docs.limit(0), b, t), str(tmp_path / "none"), 0, b, t)
+    assert empty.at(3).count() == empty.between(0, 0).count() == 0
+
+
+def test_strip_is_linear(spark):
+    text = "\u2003\x1f x" + " " * 1_000_000 + "y\x85\n"
+    rows = spark.createDataFrame([(t,) for t in (text, "", " \t", None, "a b", "\u3000a\x00\xa0")], "t string")
+    began = time.perf_counter()
+    found = [r["s"] for r in rows.select(sources.strip(F.col("t")).alias("s")).collect()]
+    assert time.perf_counter() - began < 5
+    assert found == [text.strip(), "", "", None, "a b", "a\x00"]
+
+
+def test_decode_join_keeps_documents_without_tokens(spark):
+    docs = spark.createDataFrame([(1, "ab"), (2, ""), (3, None)], "doc_id long, text string")
+    tokens = docs.select("doc_id", F.posexplode(B.utf8_ids(F.col("text"))).alias("pos", "id"))
+    found = bpe.decode_join(tokens, bpe.vocabulary(spark, []), docs.select("doc_id", F.col("text").isNotNull().alias("encoded"))).collect()
+    assert {r["doc_id"]: r["bytes"] if r["bytes"] is None else bytes(r["bytes"]) for r in found} == {1: b"ab", 2: b"", 3: None}
+
+
+def test_sample_orders_few_rows(spark):
+    """The rows of a plain sort, whatever the groups; of a large group only those under its cut are ordered."""
+    rows = [(i, "ab"[i % 2]) for i in range(40_000)] + [(i, None) for i in range(7)] + [(77, "one id")] * 5_000
+    docs = spark.createDataFrame(rows, "doc_id long, lang string").repartition(40)
+    found = sampling.sample_per_group(docs, 50, seed=3)
+    got = defaultdict(list)
+    for r in found.orderBy("sample_rank").collect():
+        got[r["lang"]].append(r["doc_id"])
+    key = lambda i: (hashlib.md5(f"3:{i}".encode()).hexdigest(), i)
+    for lang in ("a", "b", None, "one id"):
+        assert got[lang] == sorted((i for i, g in rows if g == lang), key=key)[:50]
+    ordered = [f for f in (p.parent for p in Path(session.shared_dir(spark).removeprefix("file:")).glob("near-*/_SUCCESS"))]
+    newest = spark.read.parquet(f"file://{max(ordered, key=lambda f: f.stat().st_mtime)}")
+    assert newest.where("lang IN ('a', 'b')").count() < 2 * 250
+
+
 def test_positions_do_not_depend_on_partitions(spark):
     rows = spark.range(0, 5000, 3)
     for parts in (1, 7):
@@ -175,7 +235,7 @@ def test_positions_do_not_depend_on_partitions(spark):
 def test_unknown_id_raises(spark):
     tokens = spark.createDataFrame([(1, 0, 999)], "doc_id long, pos int, id int")
     with pytest.raises(Exception, match="unknown token id 999"):
-        bpe.decode_join(tokens, bpe.vocabulary(spark, [])).collect()
+        bpe.decode_join(tokens, bpe.vocabulary(spark, []), spark.createDataFrame([(1, True)], "doc_id long, encoded boolean")).collect()
 
 
 def test_lookup_decodes_every_document(spark):
