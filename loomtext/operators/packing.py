@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,40 +19,30 @@ def batches_per_epoch(tokens: int, b: int, t: int) -> int:
 def pack(docs: DataFrame, b: int, t: int, tokens: int | None = None) -> DataFrame:
     """(batch, row, x, y) of whole batches from (offset, ids): y is x shifted by one token.
 
-    A row needs tokens r t .. r t + t. One pass over the ids cuts those rows that lie within a document and slices
-    of the at most two in which it begins or ends; both are written, and only the slices, of at most t + 1 tokens, are
-    shuffled. The tail that fills no batch is dropped. `tokens` is the stream's length, if it is known.
+    A row needs tokens r t .. r t + t. The ids are written once, so what made them ran once. Rows within one document
+    are cut where it is; of the at most two rows in which it begins or ends, slices of at most t + 1 tokens are shuffled.
+    The tail that fills no batch is dropped. `tokens` is the stream's length, if it is known.
     """
+    held = pinned(docs.select("offset", "ids"), "ids")  # no filter on ids: it would be pushed below joins and compute them twice
     if tokens is None:
-        tokens = docs.agg(F.max(F.col("offset") + F.size("ids"))).first()[0] or 0
+        tokens = held.agg(F.max(F.col("offset") + F.size("ids"))).first()[0] or 0
     rows = batches_per_epoch(tokens, b, t) * b
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            starts, lists = batch.column("offset").to_numpy(zero_copy_only=False), batch.column("ids")
-            flat, cuts = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            seams: list[tuple[int, int, np.ndarray]] = []
-            for i in np.flatnonzero(np.diff(cuts) > 0).tolist():
-                o, ids = int(starts[i]), flat[cuts[i] : cuts[i + 1]]
-                last = o + len(ids)
-                first, end = -(-o // t), min((last - 1) // t, rows)
-                if first < end:
-                    windows = np.lib.stride_tricks.sliding_window_view(ids[first * t - o : end * t + 1 - o], t + 1)[::t]
-                    values = pa.ListArray.from_arrays(pa.array(np.arange(end - first + 1) * (t + 1), pa.int32()), pa.array(windows.ravel(), pa.int32()))
-                    r = np.arange(first, end)
-                    yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(r * t), pa.array(np.zeros(len(r), bool)), values], ["r", "start", "seam", "w"])
-                for r in {first - 1, (last - 1) // t}:
-                    if 0 <= r < rows and (r * t < o or r * t + t + 1 > last):
-                        start = max(r * t, o)
-                        seams.append((r, start, ids[start - o : min(r * t + t + 1, last) - o]))
-            parts = pa.array([w for _, _, w in seams], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in seams], pa.int64()), pa.array([s for _, s, _ in seams], pa.int64()), pa.array([True] * len(seams), pa.bool_()), parts], ["r", "start", "seam", "w"])
-
-    found = pinned(docs.select("offset", "ids").where("ids IS NOT NULL").mapInArrow(cut, "r long, start long, seam boolean, w array<int>"), "rows")
-    joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "w"))), lambda e: e["w"]))
-    seams = found.where("seam").groupBy("r").agg(joined.alias("w")).where(F.size("w") == t + 1)
-    packed = found.where("NOT seam").select("r", "w").unionByName(seams)
-    return packed.select(F.floor(F.col("r") / b).cast("long").alias("batch"), (F.col("r") % b).cast("int").alias("row"), F.slice("w", 1, t).alias("x"), F.slice("w", 2, t).alias("y"))
+    offset, last = F.col("offset"), F.col("offset") + F.size("ids")
+    cut = lambda start, end: F.slice("ids", (start - offset + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int"))
+    first, end = F.ceil(offset / t), F.least(F.floor((last - 1) / t), F.lit(rows))
+    within = F.transform(F.sequence(first, end - 1), lambda r: F.struct(r.alias("r"), cut(r * t, r * t + t).alias("x"), cut(r * t + 1, r * t + t + 1).alias("y")))
+    whole = held.where((F.size("ids") > 0) & (first < end)).select(F.explode(within).alias("e")).select("e.*")  # cut before the explode: a row is one slice
+
+    def part(r):
+        start = F.greatest(r * t, offset)
+        return F.struct(r.alias("r"), start.alias("start"), cut(start, F.least(r * t + t + 1, last)).alias("part"))
+
+    ends = F.array_distinct(F.array(first - 1, F.floor((last - 1) / t)))
+    seam = F.filter(ends, lambda r: (r >= 0) & (r < rows) & ((r * t < offset) | (r * t + t + 1 > last)))
+    parts = held.where(F.size("ids") > 0).select(F.explode(F.transform(seam, part)).alias("e")).select("e.*")
+    joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "part"))), lambda e: e["part"]))
+    seams = parts.groupBy("r").agg(joined.alias("w")).where(F.size("w") == t + 1).select("r", F.slice("w", 1, t).alias("x"), F.slice("w", 2, t).alias("y"))
+    return whole.unionByName(seams).select(F.floor(F.col("r") / b).cast("long").alias("batch"), (F.col("r") % b).cast("int").alias("row"), "x", "y")
 
 
 class BatchStore:

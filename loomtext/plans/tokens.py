@@ -310,7 +310,8 @@ def pretoken_ascii(spark, sf):
 
 def _offsets(spark, sf):
     """(doc_id, n, offset): only two numbers of each document are ordered."""
-    return with_offset(_documents(spark, sf).select("doc_id", F.octet_length("text").alias("n")), "doc_id", F.coalesce("n", F.lit(0)).cast("long"))
+    sizes = pinned(table(spark, sf, "documents").select("doc_id", F.octet_length("text").alias("n")), "sizes")  # texts are read once
+    return with_offset(sizes, "doc_id", F.coalesce("n", F.lit(0)).cast("long"))
 
 
 _FLAT = f"SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS g, id FROM (SELECT doc_id, unnest(range(1, len(ids) + 1)) AS i, unnest(ids) AS id FROM (SELECT doc_id, {_BYTES} AS ids FROM documents))"
