@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import dataclasses
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions import kernels as K
 from loomtext.functions.bytes import utf8_ids
 from loomtext.operators import attention, model, sampling
+from loomtext.operators import tiles as T
 from loomtext.operators.bpe import Codec
 from loomtext.operators.order import with_position
 from loomtext.plans.catalog import Catalog, table
@@ -200,6 +203,80 @@ def checkpoint_match(spark, sf):
     return found.select("name", F.array_join(F.col("shape").cast("array<string>"), ",").alias("shape"), F.round(weighted, 4).alias("weighted"), F.size("values").cast("long").alias("n"))
 
 
+def _rows_of(spark, sf):
+    """(name, row, values): all vectors as the rows of one matrix, in the order of vec_id."""
+    placed = with_position(table(spark, sf, "embeddings").select("vec_id"), "vec_id", "row")
+    return _vectors(spark, sf).join(small_side(pinned(placed, "places")), "vec_id").select(F.lit("x").alias("name"), "row", F.col("x").alias("values"))
+
+
+_ROWS = f"(SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, label, x FROM {_V})"
+_GRAM = f"SELECT i, j, sum(x[i + 1] * x[j + 1]) AS v FROM {_ROWS}, range(64) a(i), range(64) b(j) GROUP BY i, j"
+
+
+@_C.add(f"SELECT i::BIGINT AS row, round(sum(v * (j + 1)), 4) AS weighted, round(max(v), 5) AS largest FROM ({_GRAM}) GROUP BY i")
+def tile_product(spark, sf):
+    """The matrix of all vectors, turned, times itself: tiles meet by blocks of vectors, whose partial products are summed."""
+    tiles = pinned(T.from_rows(_rows_of(spark, sf)), "tiles")
+    found = T.entries(T.product(T.transposed(tiles), tiles))
+    return found.select("row", F.round(K.total(F.transform("values", lambda v, i: v * (i + 1))), 4).alias("weighted"), F.round(F.array_max("values"), 5).alias("largest"))
+
+
+_BIG = "transformer.wte.weight", "transformer.h.0.attn.c_proj.weight"
+
+
+@_C.add(f"""SELECT name, rows, columns, round(sum(v * ((r * 31 + c * 7) % 101 + 1)), 4) AS weighted, count(*)::BIGINT AS n FROM (
+ SELECT '{_BIG[0]}' AS name, (SELECT count(*) FROM embeddings)::BIGINT AS rows, 64::BIGINT AS columns, row AS r, d AS c, x[d + 1] AS v FROM {_ROWS}, range(64) t(d)
+ UNION ALL SELECT '{_BIG[1]}', 64, (SELECT count(*) FROM embeddings), d, row, x[d + 1] FROM {_ROWS}, range(64) t(d)) GROUP BY ALL""")
+def checkpoint_tiles(spark, sf):
+    """A checkpoint whose weights are all vectors, one of them stored turned, written as tiles, matched and read."""
+    rows = pinned(_rows_of(spark, sf), "rows")
+    n = rows.count()
+    stored = [rows.withColumn("name", F.lit(name)) for name in _BIG]
+    buffer = spark.range(1).select(F.lit(f"transformer.h.0{model.BUFFERS[0]}").alias("name"), F.lit(0).cast("long").alias("row"), F.array(F.lit(0.0)).alias("values"))
+    path = fresh_path(spark, "checkpoint")
+    T.from_rows(reduce(DataFrame.unionByName, [*stored, buffer])).write.parquet(path)
+    own = spark.createDataFrame([(_BIG[0], [n, 64]), (_BIG[1], [64, n])], "name string, shape array<int>")
+    found = T.entries(T.match_checkpoint(own, spark.read.schema(T.TILES).parquet(path)))
+    weight = lambda v, i: v * ((F.col("row") * 31 + (F.col("j") * T.TILE + i) * 7) % 101 + 1)
+    sums = found.groupBy("name").agg((F.max("row") + 1).alias("rows"), F.max(F.col("j") * T.TILE + F.size("values")).cast("long").alias("columns"), F.round(F.sum(K.total(F.transform("values", weight))), 4).alias("weighted"), F.sum(F.size("values")).alias("n"))
+    return sums.select("name", "rows", "columns", "weighted", "n")
+
+
+_HIDDEN = 256
+_BY_RULE = lambda k, i, j: f"((({i}) * 7 + ({j}) * 3 + {k}) % 11 - 5) / 40.0"
+
+
+def _rule(spark, k, name, rows, columns):
+    values = F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda j: ((F.col("id") * 7 + j * 3 + k) % 11 - 5) / F.lit(40.0))
+    return spark.range(rows).select(F.lit(f"transformer.h.0.{name}").alias("name"), F.col("id").alias("row"), values.alias("values"))
+
+
+@_C.add(f"""WITH n AS (SELECT row, x, list_transform(range(0, 64), lambda i: (x[i + 1] - list_avg(x)) / sqrt(list_var_pop(x) + 1e-5) * {_BY_RULE(1, 0, 'i')} + {_BY_RULE(2, 0, 'i')}) AS n FROM {_ROWS}),
+ fc AS (SELECT list(list_transform(range(0, 64), lambda j: {_BY_RULE(3, 'i', 'j')}) ORDER BY i) AS w FROM range(0, {_HIDDEN}) t(i)),
+ proj AS (SELECT list(list_transform(range(0, {_HIDDEN}), lambda j: {_BY_RULE(5, 'i', 'j')}) ORDER BY i) AS w FROM range(0, 64) t(i)),
+ h AS (SELECT row, x, list_transform(range(0, {_HIDDEN}), lambda i: list_dot_product(n, w[i + 1]) + {_BY_RULE(4, 0, 'i')}) AS h FROM n, fc),
+ g AS (SELECT row, x, list_transform(h, lambda v: 0.5 * v * (1 + tanh(sqrt(2 / pi()) * (v + 0.044715 * v * v * v)))) AS g FROM h)
+ SELECT row, round(list_sum(list_transform(range(0, 64), lambda i: (x[i + 1] + list_dot_product(g, w[i + 1]) + {_BY_RULE(6, 0, 'i')}) * (i + 1))), 4) AS weighted FROM g, proj""")
+def mlp_tiles(spark, sf):
+    """The MLP half of a layer on all vectors at their full width, as products of tiles."""
+    shapes = [(1, "ln_2.weight", 1, 64), (2, "ln_2.bias", 1, 64), (3, "mlp.c_fc.weight", _HIDDEN, 64), (4, "mlp.c_fc.bias", 1, _HIDDEN), (5, "mlp.c_proj.weight", 64, _HIDDEN), (6, "mlp.c_proj.bias", 1, 64)]
+    weights = pinned(T.from_rows(reduce(DataFrame.unionByName, [_rule(spark, *s) for s in shapes])), "weights")
+    out = T.entries(T.mlp(pinned(T.from_rows(_rows_of(spark, sf)), "states"), weights))
+    return out.select("row", F.round(K.total(F.transform("values", lambda v, i: v * (i + 1))), 4).alias("weighted"))
+
+
+@_C.add(f"""WITH l AS (SELECT s.row, s.label, t.row AS token, list_dot_product(s.x, t.x) AS z FROM {_ROWS} s, {_ROWS} t), m AS (SELECT row, max(z) AS top FROM l GROUP BY row),
+ e AS (SELECT row, label, any_value(top) + ln(sum(exp(z - top))) - max(z) FILTER (token = (row + 1) % (SELECT count(*) FROM embeddings)) AS loss FROM l JOIN m USING (row) GROUP BY row, label)
+ SELECT label, round(avg(loss), 6) AS loss, count(*)::BIGINT AS n FROM e GROUP BY label""")
+def vocabulary_loss(spark, sf):
+    """Each vector as a state whose target is the next one, over all vectors as tokens, without a row of logits."""
+    placed = pinned(with_position(table(spark, sf, "embeddings").select("vec_id", "label"), "vec_id", "row"), "places")
+    n = max(1, placed.count())
+    states = _vectors(spark, sf).select("vec_id", "x").join(small_side(placed), "vec_id")
+    losses = T.vocabulary_loss(states.select("row", "x", ((F.col("row") + 1) % n).alias("target")), states.select(F.col("row").alias("token"), "x"))
+    return losses.join(small_side(placed), "row").groupBy("label").agg(F.round(F.avg("loss"), 6).alias("loss"), F.count("*").alias("n"))
+
+
 def tiny_weights(spark):
     return model.load_weights(model.match_checkpoint(model.own_names(spark, TINY), _checkpoint(spark)))
 
