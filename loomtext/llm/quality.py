@@ -4,7 +4,8 @@ The target model counts the unigrams and bigrams of a bounded sample of the docu
 model those of all documents; both count whole texts. A document's log weight is the mean of
 log p_target - log p_raw over its n-grams, shrunk towards 0 for very short texts. A text counts as one of SCALE
 n-grams, however long it is, so that length neither wins nor loses: SCALE times the log weight plus standard Gumbel
-noise, seeded by the row's values, is its key, and the k largest keys are kept.
+noise, seeded by the row's values, is its key, and the k largest keys are kept. Of these, the SHARE with the largest keys
+are also `sampled`: a draw without replacement whose chances follow the weights, and which noise does decide.
 
 Unless k is given, it is the number of documents whose log weight is at least a floor that all labels set: the cut
 that best parts the documents marked good from those marked bad, in the middle of the gap around it. On texts that
@@ -18,6 +19,7 @@ keys. An empty table gives an empty result. Input columns are kept in a struct,
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -34,6 +36,7 @@ TARGET_DOCS = 20_000
 SCALE = 100.0
 BIN = 1e-3
 SHRINK = 30
+SHARE = 0.5
 _TWICE = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -97,9 +100,9 @@ def log_weight(ratio: np.ndarray | None, text: Column | str) -> Column:
     return weigh(text)
 
 
-def gumbel(seed: int, *columns: str) -> Column:
+def gumbel(seed: Column | int, *columns: str) -> Column:
     """Standard Gumbel noise that depends on the seed and the row's values alone."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    u = (F.pmod(F.xxhash64(seed if isinstance(seed, Column) else F.lit(seed), *columns), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     return -F.log(-F.log(u))
 
 
@@ -151,8 +154,8 @@ def label_floor(weighted: DataFrame, labels: DataFrame, *, width: float = BIN) -
     return best_cut(*(bins[c].to_numpy(float) for c in ("lo", "hi", "good", "bad")))
 
 
-def resample(docs: DataFrame, labels: DataFrame, *, keep: Sequence[str] = ("doc_id",), k: int | None = None, scale: float = SCALE, floor: float | None = None, seed: int = 11) -> DataFrame:
-    """(row, log_weight, gumbel_key, kept) for every row of docs, where row is a struct of the columns `keep`.
+def resample(docs: DataFrame, labels: DataFrame, *, keep: Sequence[str] = ("doc_id",), k: int | None = None, scale: float = SCALE, floor: float | None = None, share: float = SHARE, seed: int = 11) -> DataFrame:
+    """(row, log_weight, gumbel_key, kept, sampled) for every row of docs, where row is a struct of the columns `keep`.
 
     Texts are read for the raw counts and once more for the weights, which are written with the kept columns.
     """
@@ -162,5 +165,6 @@ def resample(docs: DataFrame, labels: DataFrame, *, keep: Sequence[str] = ("doc_
     if k is None:
         floor = label_floor(keys.select(F.col("id").alias("doc_id"), "w"), labels) if floor is None else floor
         k = keys.where(F.col("w") >= floor).count()
-    least = kth_largest(keys.select("v"), k) if k else float("inf")
-    return keys.select("row", F.col("w").alias("log_weight"), F.col("v").alias("gumbel_key"), F.coalesce(F.col("v") >= F.lit(least), F.lit(True)).alias("kept"))
+    least, drawn = (kth_largest(keys.select("v"), n) if n else float("inf") for n in (k, math.ceil(share * k)))
+    reaches = lambda cut: F.coalesce(F.col("v") >= F.lit(cut), F.lit(True))
+    return keys.select("row", F.col("w").alias("log_weight"), F.col("v").alias("gumbel_key"), reaches(least).alias("kept"), reaches(drawn).alias("sampled"))

@@ -71,7 +71,7 @@ FROM v
 
 def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return quality.resample(docs, _table(spark, sf_dir, "labels")).select("row.doc_id", "log_weight", "gumbel_key", "kept")
+    return quality.resample(docs, _table(spark, sf_dir, "labels")).select("row.doc_id", "log_weight", "gumbel_key", "kept", "sampled")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,8 @@ theta ascending. x marks which hashed words and word beginnings a text has, howe
 The score is the expected severity, sum_k P(grade >= k), between 0 and K - 1.
 
 The labels know two grades. The graded severity of a toxic text is therefore made here, out of how many marker
-features it holds (`severity_grades`): it orders toxic texts by how densely they are toxic, and no true grade is there
-to test it by. What is tested is the 0/1 decision and that the model fits the grades that it is given.
+features it holds (`severity_grades`), markers being found in other texts than those that they grade. Tests hold the
+0/1 decision against labels, the fit against the grades given, and severities against planted densities.
 
 Defined cases: a null or empty text has no features, so its severity is that of the thresholds alone
 (near 0). Without labelled rows of both kinds (an empty table, say) there is no model, and every severity is 0.
@@ -31,8 +31,9 @@ from loomtext.session import pinned
 
 PREFIXES = (3, 4, 5)
 DIMENSIONS = 1 << 18
+FOLDS = 10
 SAMPLE_PER_CLASS = 4000
-REJECT_FROM = 0.35
+REJECT_FROM = 0.4
 
 
 @dataclass
@@ -111,18 +112,26 @@ def fit_ordinal(slots: np.ndarray, owner: np.ndarray, grades: np.ndarray, *, rou
     return OrdinalModel(weights, theta)
 
 
-def severity_grades(slots: np.ndarray, owner: np.ndarray, toxic: np.ndarray, steps: Sequence[int] = (1, 6, 12)) -> np.ndarray:
-    """Grades 0..3 out of a 0/1 mark: toxic texts are graded by how many marker features they hold.
+def severity_grades(slots: np.ndarray, owner: np.ndarray, toxic: np.ndarray, fold: np.ndarray, steps: Sequence[int] = (6, 12)) -> np.ndarray:
+    """Grades 0..3 out of a 0/1 mark: a toxic text is graded by how many marker features of the other folds it holds.
 
-    A marker is a feature at least e^2 times as frequent among toxic texts, and clearly so.
+    A marker is a feature at least e^2 times as frequent among toxic texts, and clearly so, in the texts of all folds but
+    one; it grades those of that one, so no text has a say in what marks it. Folds whose rest lacks toxic or other
+    texts leave their toxic texts at grade 1.
     """
     high = toxic > 0
-    with_high = np.bincount(slots[high[owner]], minlength=DIMENSIONS).astype(float)
-    with_low = np.bincount(slots[~high[owner]], minlength=DIMENSIONS).astype(float)
-    odds = np.log((with_high + 0.5) / (high.sum() + 1)) - np.log((with_low + 0.5) / ((~high).sum() + 1))
-    marker = (odds > 2) & (likelihood_gain(with_high, with_low, int(high.sum()), int((~high).sum())) >= 12)
-    hits = np.bincount(owner, marker[slots], minlength=len(toxic))
-    return np.where(high, 1 + (hits >= steps[1]) + (hits >= steps[2]), 0)
+    count = lambda rows: np.bincount(slots[rows[owner]], minlength=DIMENSIONS).astype(float)
+    all_high, all_low = count(high), count(~high)
+    hits = np.zeros(len(toxic))
+    for k in np.unique(fold):
+        mine = fold == k
+        n_high, n_low = int((high & ~mine).sum()), int((~high & ~mine).sum())
+        if n_high and n_low:
+            with_high, with_low = all_high - count(high & mine), all_low - count(~high & mine)
+            odds = np.log((with_high + 0.5) / (n_high + 1)) - np.log((with_low + 0.5) / (n_low + 1))
+            marker = (odds > 2) & (likelihood_gain(with_high, with_low, n_high, n_low) >= 12)
+            hits[mine] = np.bincount(owner, marker[slots], minlength=len(toxic))[mine]
+    return np.where(high, 1 + (hits >= steps[0]) + (hits >= steps[1]), 0)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, per_class: int = SAMPLE_PER_CLASS, seed: int = 7) -> OrdinalModel | None:
@@ -147,13 +156,13 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = SAMPLE_PER_CLA
                 yield pd.DataFrame({"h": batch["h"].iloc[i:j], "mark": batch["mark"].iloc[i:j], "slots": [slots[ends[k] : ends[k + 1]].astype(np.int32).tobytes() for k in range(j - i)]})
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([*batches, pd.DataFrame({"mark": [], "slots": []})])
+        rows = pd.concat([*batches, pd.DataFrame({"h": [], "mark": [], "slots": []})])
         toxic = rows["mark"].to_numpy(np.int64)
         if len(set(toxic)) < 2:
             return
         sets = [np.frombuffer(s, np.int32) for s in rows["slots"]]
         slots, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        yield pd.DataFrame({"model": [pickle.dumps(fit_ordinal(slots, owner, severity_grades(slots, owner, toxic)))]})
+        yield pd.DataFrame({"model": [pickle.dumps(fit_ordinal(slots, owner, severity_grades(slots, owner, toxic, np.mod(rows["h"].to_numpy(np.int64), FOLDS))))]})
 
     sample = texts.mapInPandas(marked, "h long, mark int, slots binary")
     found = sample.repartition(1).sortWithinPartitions("h", "slots").mapInPandas(fit, "model binary").collect()

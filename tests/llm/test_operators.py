@@ -376,6 +376,36 @@ def test_quality_by_brute_force(spark):
     assert quality.resample(docs, labels.limit(0)).where("kept").count() == quality.resample(docs, labels.where("quality = 1")).where("kept").count() == len(texts)
 
 
+def test_draws_follow_weights(spark):
+    """Over 2,000 seeds, how often a document is among the k largest keys is what drawing one after the other by weight gives."""
+    weights = np.array([0.0, 0.5, 1.0, 1.5, 2.0, 3.0])
+    p = np.exp(weights) / np.exp(weights).sum()
+    first = p
+    two = np.array([p[i] + sum(p[j] * p[i] / (1 - p[j]) for j in range(6) if j != i) for i in range(6)])
+    rows = spark.range(2000).withColumnRenamed("id", "seed").crossJoin(spark.createDataFrame(list(enumerate(weights.tolist())), "doc_id int, w double"))
+    keyed = rows.withColumn("v", F.col("w") + quality.gumbel(F.col("seed"), "doc_id"))
+    best = keyed.groupBy("seed").agg(F.slice(F.sort_array(F.collect_list(F.struct("v", "doc_id")), asc=False), 1, 2).alias("best")).collect()
+    for k, wanted in ((1, first), (2, two)):
+        seen = np.bincount([e["doc_id"] for r in best for e in r["best"][:k]], minlength=6) / 2000
+        assert np.abs(seen - wanted).max() < 4 * np.sqrt(0.25 / 2000)
+
+
+def test_noise_decides_a_draw(spark):
+    """Of a half of equally good documents most are drawn by noise, other ones with another seed; none of the bad."""
+    draw = random.Random(8)
+    words = [f"sun{i}" for i in range(40)]
+    texts = [" ".join(draw.choices(words, k=80)) for _ in range(200)] + [" ".join(draw.choices(["$$$", "WIN!!", "%%"], k=80)) for _ in range(60)]
+    docs, labels = make(spark, texts), spark.createDataFrame([(i, int(i < 200)) for i in range(0, 260, 3)], "doc_id long, quality int")
+    drawn = []
+    for seed in (1, 2):
+        found = {r["doc_id"]: r for r in quality.resample(docs, labels, seed=seed).select("row.doc_id", "log_weight", "kept", "sampled").collect()}
+        assert {i for i, r in found.items() if r["kept"]} == set(range(200))
+        drawn.append({i for i, r in found.items() if r["sampled"]})
+        heaviest = sorted(range(200), key=lambda i: -found[i]["log_weight"])[:100]
+        assert len(drawn[-1]) == 100 and len(drawn[-1] - set(heaviest)) > 5
+    assert len(drawn[0] - drawn[1]) > 5
+
+
 def binned(good, bad):
     values = sorted({*good, *bad})
     return [np.array(x, float) for x in (values, values, [good.count(v) for v in values], [bad.count(v) for v in values])]
@@ -420,6 +450,24 @@ def test_toxicity_on_held_out_texts(spark):
     assert docs.limit(0).where(toxicity.severity(None, F.col("text")) < 1).count() == 0
 
 
+def test_severity_follows_planted_density(spark):
+    """Held-out texts with more of the toxic vocabulary are the more severe; how much of it stands in a text is planted."""
+    draw = random.Random(21)
+    ordinary, vile = [f"w{i}" for i in range(500)], [f"v{i}" for i in range(30)]
+    planted = [0] * 500 + [draw.randrange(1, 25) for _ in range(300)]
+    texts = [" ".join(draw.sample([*draw.choices(ordinary, k=60), *draw.sample(vile, n)], 60 + n)) for n in planted]
+    labels = spark.createDataFrame([(i, int(n > 0)) for i, n in enumerate(planted) if i % 2], "doc_id long, toxic int")
+    docs = make(spark, texts)
+    model = toxicity.train(docs, labels)
+    found = {r["doc_id"]: r["s"] for r in docs.select("doc_id", toxicity.severity(model, F.col("text")).alias("s")).collect()}
+    away = [(planted[i], found[i]) for i in range(0, 800, 2)]
+    mean = lambda lo, hi: np.mean([s for n, s in away if lo <= n < hi])
+    assert mean(0, 1) < 0.1 < mean(1, 6) < mean(6, 12) < mean(12, 18) <= mean(18, 25)
+    toxic = [(n, s) for n, s in away if n]
+    rank = lambda values: np.argsort(np.argsort(values, kind="stable"), kind="stable")
+    assert np.corrcoef(rank([n for n, _ in toxic]), rank([s for _, s in toxic]))[0, 1] > 0.85
+
+
 def test_severity_by_loops():
     """Grades, likelihood and expected severity recomputed text by text; no step of the fit makes the likelihood better."""
     draw = random.Random(12)
@@ -430,10 +478,14 @@ def test_severity_by_loops():
     slots, owner = toxicity.features(texts)
     have = [set(slots[owner == i].tolist()) for i in range(len(texts))]
     gain = lambda k, n, big_k, big_n: sum(x * math.log(x / e) for x, e in ((k, (k + n) * big_k / (big_k + big_n)), (n, (k + n) * big_n / (big_k + big_n)), (big_k - k, (big_k + big_n - k - n) * big_k / (big_k + big_n)), (big_n - n, (big_k + big_n - k - n) * big_n / (big_k + big_n))) if x > 0) * 2
-    high, low = Counter(f for h in have[300:] for f in h), Counter(f for h in have[:300] for f in h)
-    markers = {f for f in high if math.log((high[f] + 0.5) / 151) - math.log((low[f] + 0.5) / 301) > 2 and gain(high[f], low[f], 150, 300) >= 12 and high[f] * 300 > low[f] * 150}
-    grades = [0 if not t else 1 + (len(h & markers) >= 6) + (len(h & markers) >= 12) for h, t in zip(have, toxic)]
-    assert toxicity.severity_grades(slots, owner, toxic).tolist() == grades and set(grades) == {0, 1, 2, 3}
+    fold = np.arange(len(texts)) % 3
+    grades = []
+    for h, t, k in zip(have, toxic, fold):
+        high, low = (Counter(f for i, o in enumerate(have) if toxic[i] == mark and fold[i] != k for f in o) for mark in (1, 0))
+        markers = {f for f in high if math.log((high[f] + 0.5) / 101) - math.log((low[f] + 0.5) / 201) > 2 and gain(high[f], low[f], 100, 200) >= 12 and high[f] * 200 > low[f] * 100} if t else set()
+        grades.append(0 if not t else 1 + (len(h & markers) >= 6) + (len(h & markers) >= 12))
+    assert toxicity.severity_grades(slots, owner, toxic, fold).tolist() == grades and set(grades) == {0, 1, 2, 3}
+    assert set(toxicity.severity_grades(slots, owner, toxic, np.zeros(len(texts), int)).tolist()) == {0, 1}  # no other fold
     model = toxicity.fit_ordinal(slots, owner, np.array(grades), l1=0.0)
     sigmoid = lambda x: 1 / (1 + math.exp(-x))
 
