@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from loomtext.functions import bytes as B
-from loomtext.operators import bpe, packing
+from loomtext.operators import bpe, packing, tables
 from loomtext.operators.order import with_offset
 from loomtext.plans.catalog import Catalog, table
 from loomtext.session import fresh_path, pinned, small_side, spread
@@ -184,11 +184,14 @@ def encode_fold(spark, sf):
     return encoded.select("doc_id", F.size("ids").alias("n"), _id_digest(F.col("ids")).alias("digest"))
 
 
-@_C.add(f"""{_TRAINED}, ps AS (SELECT doc_id, regexp_extract_all(text, '{_WORDS}') AS ps FROM documents),
+_BY_PIECE = f"""{_TRAINED}, ps AS (SELECT doc_id, regexp_extract_all(text, '{_WORDS}') AS ps FROM documents),
  flat AS (SELECT doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS nth FROM ps),
  known AS MATERIALIZED (SELECT piece, {_FOLD.format(s=_STRING.replace('text', 'piece'))} AS s FROM (SELECT DISTINCT piece FROM flat), l),
  whole AS (SELECT doc_id, string_agg(s, '' ORDER BY nth) AS s FROM flat JOIN known USING (piece) GROUP BY doc_id)
- SELECT doc_id, coalesce(length(s), 0)::INT AS n, md5(array_to_string({_IDS.format(s="coalesce(s, '')")}, ',')) AS digest FROM documents LEFT JOIN whole USING (doc_id) WHERE text IS NOT NULL""")
+ SELECT doc_id, coalesce(length(s), 0)::INT AS n, md5(array_to_string({_IDS.format(s="coalesce(s, '')")}, ',')) AS digest FROM documents LEFT JOIN whole USING (doc_id) WHERE text IS NOT NULL"""
+
+
+@_C.add(_BY_PIECE)
 def encode_pieces(spark, sf):
     """Encoding by pre-token: no token crosses the end of one."""
     codec = bpe.Codec(_merges(spark, sf))
@@ -219,6 +222,35 @@ def encode_named_multilingual(spark, sf):
     return _encoded_by_ranks(spark, sf, "byte_bpe_multi_50k.tiktoken")
 
 
+@_C.add(_BY_PIECE)
+def bundle_reload(spark, sf):
+    """The learned merges saved as a tokenizer file, opened again, and all documents encoded by what was read."""
+    folder = fresh_path(spark, "tokenizer")
+    sinks.save_bundle(spark, _merges(spark, sf), folder, special=SPECIAL)
+    merges, names, _ = sources.read_tokenizer(spark, folder)
+    ids = bpe.Codec(merges, names).encode_text("text", WORD_SPLIT)
+    encoded = _documents(spark, sf).where("text IS NOT NULL").select("doc_id", ids.alias("ids"))
+    return encoded.select("doc_id", F.size("ids").alias("n"), _id_digest(F.col("ids")).alias("digest"))
+
+
+@_C.add(f"SELECT lang, a, b, count(*)::BIGINT AS cnt FROM ({_PAIRS}) JOIN documents USING (doc_id) GROUP BY lang, a, b")
+def pair_stats_sql(spark, sf):
+    """Byte pairs by language from the table function: tasks count, SQL sums what they return."""
+    tables.register(spark)
+    _documents(spark, sf).createOrReplaceTempView("stats_documents")
+    return spark.sql("SELECT key AS lang, a, b, sum(cnt) AS cnt FROM pair_stats(TABLE(SELECT lang AS key, text FROM stats_documents)) GROUP BY key, a, b")
+
+
+@_C.add(f"SELECT lang, row::BIGINT AS row, n::INT AS n, x_sum::BIGINT AS x_sum FROM (SELECT lang, doc_id, i // {LENGTH} AS row, count(*) AS n, sum(id * (i % {LENGTH} + 1)) AS x_sum FROM (SELECT doc_id, lang, unnest(range(0, len(ids))) AS i, unnest(ids) AS id FROM (SELECT doc_id, lang, {_BYTES} AS ids FROM documents)) GROUP BY ALL) WHERE n = {LENGTH}")
+def pack_rows_sql(spark, sf):
+    """Each document's bytes as rows of ids from the table function, a partition for each document."""
+    tables.register(spark)
+    bpe.Codec([]).register(spark, "byte")
+    _documents(spark, sf).createOrReplaceTempView("rows_documents")
+    rows = spark.sql(f"SELECT * FROM pack_rows(TABLE(SELECT struct(lang, doc_id) AS key, byte_encode(text) AS ids FROM rows_documents) PARTITION BY (key), {LENGTH})")
+    return rows.select("key.lang", "row", F.size("x").alias("n"), _weigh("x").alias("x_sum"))
+
+
 @_C.add("SELECT doc_id, md5(text) AS digest FROM documents")
 def decode_fold(spark, sf):
     encoded, codec = _encoded(spark, sf)
