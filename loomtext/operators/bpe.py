@@ -42,8 +42,9 @@ def positioned_pairs(docs: DataFrame, ids: Column) -> DataFrame:
     return docs.select("doc_id", F.posexplode(B.pairs_of(ids)).alias("pos", "p")).select("doc_id", "pos", "p.a", "p.b")
 
 
-def pair_counts(docs: DataFrame, text: str = "text", *, by_document: bool = False) -> DataFrame:
-    """(a, b, cnt) of adjacent UTF-8 bytes, overlapping occurrences counted; with doc_id if `by_document`.
+def pair_counts(docs: DataFrame, text: str = "text", *, by_document: bool = False, weight: str | None = None) -> DataFrame:
+    """(a, b, cnt) of adjacent UTF-8 bytes, overlapping occurrences counted; with doc_id if `by_document`. A text counts
+    as often as the whole number in the column `weight` says, below 0 too.
 
     A task sums what it reads into a table of 65,536 cells (or a document's own pairs); only sums are shuffled.
     """
@@ -51,9 +52,10 @@ def pair_counts(docs: DataFrame, text: str = "text", *, by_document: bool = Fals
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cells = np.zeros(65_536, np.int64)
         for batch in batches:
-            for _, ids, bounds in _byte_slices(batch["text"].tolist()):
+            for i, ids, bounds in _byte_slices(batch["text"].tolist()):
                 at = M.adjacent(bounds)
-                cells += np.bincount(ids[at] * 256 + ids[at + 1], minlength=65_536)
+                times = None if weight is None else batch["weight"].to_numpy()[i + np.searchsorted(bounds, at, side="right") - 1]
+                cells += np.bincount(ids[at] * 256 + ids[at + 1], times, minlength=65_536).astype(np.int64)
         seen = np.flatnonzero(cells)
         yield pd.DataFrame({"a": seen >> 8, "b": seen & 255, "cnt": cells[seen]})
 
@@ -67,7 +69,8 @@ def pair_counts(docs: DataFrame, text: str = "text", *, by_document: bool = Fals
 
     if by_document:
         return docs.select("doc_id", F.col(text).alias("text")).mapInPandas(apart, "doc_id long, a int, b int, cnt long")
-    return docs.select(F.col(text).alias("text")).mapInPandas(whole, "a int, b int, cnt long").groupBy("a", "b").agg(F.sum("cnt").alias("cnt"))
+    columns = [F.col(text).alias("text")] + ([] if weight is None else [F.col(weight).cast("long").alias("weight")])
+    return docs.select(*columns).mapInPandas(whole, "a int, b int, cnt long").groupBy("a", "b").agg(F.sum("cnt").alias("cnt"))
 
 
 def byte_counts(docs: DataFrame, text: str = "text") -> DataFrame:

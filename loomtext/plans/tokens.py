@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from loomtext.functions import bytes as B
 from loomtext.operators import bpe, packing, tables
 from loomtext.operators.order import with_offset
+from loomtext.operators.pair_store import PairStore, changes
 from loomtext.plans.catalog import Catalog, table
 from loomtext.session import fresh_path, pinned, small_side, spread
-from loomtext.sources import sinks
+from loomtext.sources import formats, sinks
 from loomtext.sources import text as sources
+from loomtext.streaming import encode, pack
 
 #: How many merges the codec queries learn from the benchmark texts, and the reference sizes of the two trainers.
 MERGES, STREAM_MERGES, VOCABULARY = 1_000, 7_936, 30_257
@@ -54,6 +56,23 @@ def byte_pair_counts(spark, sf):
     return bpe.pair_counts(_documents(spark, sf))
 
 
+@_C.add(f"""SELECT a, b, count(*)::BIGINT AS cnt FROM (SELECT ids[i] AS a, ids[i + 1] AS b FROM (SELECT ids, unnest(range(1, len(ids))) AS i FROM (SELECT {_BYTES} AS ids FROM
+ (SELECT text FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text) UNION ALL SELECT text FROM benchmark)))) GROUP BY a, b""")
+def pair_counts_followed(spark, sf):
+    """Pair counts of all documents that then follow the corpus: its repeated texts go, the benchmark's come, and each
+    change reads its own texts only. One change is delivered twice."""
+    docs, store = _documents(spark, sf).select("doc_id", "text"), PairStore(spark, fresh_path(spark, "pairs"))
+    store.apply(0, docs.withColumn("sign", F.lit(1)))
+    firsts = docs.groupBy(F.sha2("text", 256)).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    once = docs.join(small_side(pinned(firsts, "firsts")), "doc_id", "left_semi")
+    changed = pinned(changes(docs, once), "changed")
+    store.apply(1, changed)
+    store.fold()
+    store.apply(1, changed)
+    store.apply(2, table(spark, sf, "benchmark").select("text", F.lit(1).alias("sign")))
+    return store.counts()
+
+
 @_C.add(f"SELECT doc_id, len(ids)::INT AS n, md5(array_to_string(ids, ',')) AS digest FROM (SELECT doc_id, {_BYTES} AS ids FROM documents)")
 def utf8_bytes(spark, sf):
     ids = B.utf8_ids(F.col("text"))
@@ -291,6 +310,25 @@ def merges_reload(spark, sf):
     return sources.read_merges_json(spark, path)
 
 
+@_C.add(f"{_TRAINED} SELECT rank, a, b, id FROM m")
+def merges_by_format(spark, sf):
+    """The learned merges written and read by format name."""
+    formats.register(spark)
+    path = fresh_path(spark, "merges")
+    bpe.merge_table(spark, _merges(spark, sf)).write.format("merge_json").mode("append").save(path)
+    return spark.read.format("merge_json").load(path)
+
+
+@_C.add(f"""{_TRAINED}, v AS (SELECT i AS id, chr(i::INT) AS s FROM range(256) t(i) UNION ALL SELECT 256 + rank, list_reduce(list_prepend(chr(id), list_reverse(ms)), lambda s, m: replace(s, substr(m, 3, 1), substr(m, 1, 2))) FROM m, l)
+ SELECT id::INT AS id, array_to_string(list_transform(regexp_extract_all(s, '(?s).'), lambda c: upper(right('0' || to_hex(unicode(c)), 2))), '') AS hex FROM v""")
+def ranks_by_format(spark, sf):
+    """The learned vocabulary as a rank file, written and read in spans of a kilobyte by format name."""
+    formats.register(spark)
+    path = fresh_path(spark, "ranks")
+    bpe.vocabulary(spark, _merges(spark, sf)).write.format("token_ranks").mode("append").save(path)
+    return spark.read.format("token_ranks").option("split", 1_024).load(path).select("id", F.hex("bytes").alias("hex"))
+
+
 @_C.add(f"{_TRAINED} SELECT lang, sum(strlen(text))::BIGINT AS bytes, sum(length(s))::BIGINT AS tokens, round(sum(strlen(text)) / sum(length(s)), 6) AS ratio FROM {_ENCODED} GROUP BY lang")
 def compression_ratio(spark, sf):
     encoded, _ = _encoded(spark, sf)
@@ -407,3 +445,18 @@ def epoch_cycle(spark, sf):
     tokens = _documents(spark, sf).agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches = packing.batches_per_epoch(tokens, BATCH, LENGTH)
     return packing.epoch_cycle(spark.range(2 * batches + 3).withColumnRenamed("id", "step"), batches)
+
+
+#: Consecutive doc_ids that make a token stream in each language: streams grow in number with the corpus, not in length.
+LANE = 256
+
+
+@_C.add(f"""WITH t AS (SELECT lang, doc_id // {LANE} AS lane, doc_id, {_BYTES} AS ids FROM documents WHERE text <> ''),
+ f AS (SELECT lang, lane, id, row_number() OVER w - 1 AS g, lead(id) OVER w AS next_id, count(*) OVER (PARTITION BY lang, lane) AS n FROM (SELECT lang, lane, doc_id, unnest(range(1, len(ids) + 1)) AS i, unnest(ids) AS id FROM t) WINDOW w AS (PARTITION BY lang, lane ORDER BY doc_id, i))
+ SELECT lang, lane::BIGINT AS lane, (g // {LENGTH})::BIGINT AS row, sum(id * (g % {LENGTH} + 1))::BIGINT AS x_sum, sum(next_id * (g % {LENGTH} + 1))::BIGINT AS y_sum FROM f WHERE g // {LENGTH} < (n - 1) // {LENGTH} GROUP BY ALL""")
+def pack_stream(spark, sf):
+    """All documents as a stream, packed by keyed state; the rows that it wrote."""
+    docs = encode.read_documents(spark, f"{sf}/documents.parquet*").select("lang", F.expr(f"doc_id div {LANE}").alias("lane"), "doc_id", bpe.Codec([]).encode("text").alias("ids"))
+    packed, path = pack.pack_stream(docs, ["lang", "lane"], LENGTH), fresh_path(spark, "packed")
+    pack.write_rows(packed, path, fresh_path(spark, "progress")).awaitTermination()
+    return spark.read.schema(packed.schema).parquet(path).select("lang", "lane", "row", _weigh("x").alias("x_sum"), _weigh("y").alias("y_sum"))
