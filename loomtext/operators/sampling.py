@@ -43,13 +43,13 @@ def repeat(prompts: DataFrame, n: int) -> DataFrame:
     return prompts.withColumn("seq", F.explode(F.sequence(F.lit(1), F.lit(n))))
 
 
-def normal_weights(spark, name: str, shape: tuple[int, int], *, std: float = 0.02, layers: int | None = None, seed: int = 42) -> DataFrame:
-    """(name, row, values) of normal draws, a row of the matrix each; residual projections are scaled by (2 layers) ** -0.5.
+def normal_weights(rows: DataFrame, name: str, columns: int, *, std: float = 0.02, layers: int | None = None, seed: int = 42) -> DataFrame:
+    """(name, row, values) of normal draws, a row of the matrix for each row of `rows` (row); residual projections are
+    scaled by (2 layers) ** -0.5.
 
     A draw depends on (seed, name, row, column) alone: two uniform hashes become a normal number (Box-Muller).
     """
     scale = std * ((2 * layers) ** -0.5 if layers else 1.0)
     u = lambda k, i: uniform(seed, F.lit(f"{name}:{k}"), F.col("row").cast("string"), i.cast("string"))
     normal = lambda i: F.sqrt(-2 * F.log(1 - u(0, i))) * F.cos(2 * math.pi * u(1, i)) * scale
-    rows = spark.range(shape[0]).withColumnRenamed("id", "row")
-    return rows.select(F.lit(name).alias("name"), "row", F.transform(F.sequence(F.lit(0), F.lit(shape[1] - 1)), normal).alias("values"))
+    return rows.select(F.lit(name).alias("name"), "row", F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), normal).alias("values"))

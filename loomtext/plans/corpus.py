@@ -8,7 +8,7 @@ from loomtext.functions import kernels as K
 from loomtext.operators import bpe, model, sampling
 from loomtext.operators.order import with_offset, with_position
 from loomtext.plans.catalog import Catalog, table
-from loomtext.session import fresh_path, small_side, spread
+from loomtext.session import fresh_path, pinned, small_side, spread
 from loomtext.sources import sinks
 from loomtext.sources import text as sources
 
@@ -112,10 +112,17 @@ def weighted_draw(spark, sf):
     return rows.select("vec_id", K.draw(F.col("p"), F.col("u")).alias("drawn"))
 
 
-@_C.add("""SELECT model, n_layer, n_head, n_embd, (50257 * c + 1024 * c + n_layer * (12 * c * c + 13 * c) + 2 * c)::BIGINT AS parameters
- FROM (SELECT model, n_layer, n_head, n_embd, n_embd AS c FROM (VALUES ('gpt2', 12::BIGINT, 12::BIGINT, 768::BIGINT), ('gpt2-medium', 24, 16, 1024), ('gpt2-large', 36, 20, 1280), ('gpt2-xl', 48, 25, 1600)) t(model, n_layer, n_head, n_embd))""")
+@_C.add("""SELECT lang, vocab_size, model, n_layer, n_head, c AS n_embd, (vocab_size * c + 1024 * c + n_layer * (12 * c * c + 13 * c) + 2 * c)::BIGINT AS parameters
+ FROM (VALUES ('gpt2', 12::BIGINT, 12::BIGINT, 768::BIGINT), ('gpt2-medium', 24, 16, 1024), ('gpt2-large', 36, 20, 1280), ('gpt2-xl', 48, 25, 1600)) t(model, n_layer, n_head, c),
+ (SELECT lang, count(DISTINCT w)::BIGINT AS vocab_size FROM (SELECT lang, unnest(string_split(text, ' ')) AS w FROM documents) GROUP BY lang UNION ALL SELECT 'published', 50257)""")
 def param_counts(spark, sf):
-    return model.parameter_counts(spark)
+    """Parameters of the four sizes with the published vocabulary, and with one of all words of each language."""
+    words = table(spark, sf, "documents").select("lang", F.explode(F.split("text", " ")).alias("w")).distinct()
+    found = words.groupBy("lang").agg(F.count("*").alias("vocab_size"))
+    published = spark.range(1).select(F.lit("published").alias("lang"), F.lit(50_257).cast("long").alias("vocab_size"))
+    both = pinned(found.unionByName(published), "vocabularies")
+    counts = model.parameter_counts(both.select("vocab_size").distinct())
+    return both.join(small_side(counts), "vocab_size").select("lang", *counts.columns)
 
 
 @_C.add("""SELECT p_partkey, p_size, 1024 AS block_size FROM (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 768 WHEN 1 THEN 1024 WHEN 2 THEN 1280 ELSE 1600 END::INT AS p_size FROM part) WHERE p_size IN (768, 1600)""")

@@ -175,10 +175,8 @@ def tied_head(spark, sf):
     return attention.likeliest(states, states.select(F.col("vec_id").alias("token"), "x")).select("vec_id", "token", F.round("logit", 6).alias("logit"))
 
 
-#: Stored values by rule: the i-th value of the k-th weight, in the stored order.
+#: Names and shapes of the tiny model, whose stored values follow a rule: the i-th value of the k-th weight.
 _SHAPES = model.shapes(TINY)
-_VALUE = "((k * 31 + i * 7) % 101 - 50) / 1000.0"
-_STORED = ", ".join(f"({k}, '{n}', {s[0]}, {s[1] if len(s) > 1 else 0}, {str(n.endswith(model.TRANSPOSED)).lower()})" for k, (n, s) in enumerate(_SHAPES.items()))
 
 
 def _checkpoint(spark):
@@ -192,17 +190,6 @@ def _checkpoint(spark):
     return sources.read_weights(spark, path)
 
 
-@_C.add(f"""WITH w(k, name, rows, columns, turned) AS (VALUES {_STORED}),
- v AS (SELECT k, name, rows, columns, turned, unnest(range(0, CASE columns WHEN 0 THEN rows ELSE rows * columns END)) AS j FROM w),
- s AS (SELECT k, name, rows, columns, j, CASE WHEN turned THEN (j % columns) * rows + j // columns ELSE j END AS i FROM v)
- SELECT name, CASE columns WHEN 0 THEN rows::VARCHAR ELSE rows || ',' || columns END AS shape, round(sum({_VALUE} * (j + 1)), 4) AS weighted, count(*)::BIGINT AS n FROM s GROUP BY name, rows, columns""")
-def checkpoint_match(spark, sf):
-    """All weights of the tiny model filled from a stored checkpoint: by name, four kinds turned, buffers left out."""
-    found = model.match_checkpoint(model.own_names(spark, TINY), _checkpoint(spark))
-    weighted = K.total(F.transform("values", lambda v, i: v * (i + 1)))
-    return found.select("name", F.array_join(F.col("shape").cast("array<string>"), ",").alias("shape"), F.round(weighted, 4).alias("weighted"), F.size("values").cast("long").alias("n"))
-
-
 def _rows_of(spark, sf):
     """(name, row, values): all vectors as the rows of one matrix, in the order of vec_id."""
     placed = with_position(table(spark, sf, "embeddings").select("vec_id"), "vec_id", "row")
@@ -213,6 +200,28 @@ _ROWS = f"(SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, label, x FROM
 _GRAM = f"SELECT i, j, sum(x[i + 1] * x[j + 1]) AS v FROM {_ROWS}, range(64) a(i), range(64) b(j) GROUP BY i, j"
 
 
+@_C.add(f"""SELECT 'transformer.h.' || layer || '.mlp.c_fc.weight' AS name, '64,' || max(n) AS shape, round(sum(x[d + 1] * (d * n + k + 1)), 4) AS weighted, count(*)::BIGINT AS n
+ FROM (SELECT row // 64 AS layer, row % 64 AS k, x, count(*) OVER (PARTITION BY row // 64) AS n FROM {_ROWS}), range(64) t(d) GROUP BY layer
+ UNION ALL SELECT 'transformer.h.' || row // 64 || '.mlp.c_fc.bias', '64', round(sum(x[d + 1] * (d + 1)), 4), 64::BIGINT FROM {_ROWS}, range(64) t(d) WHERE row % 64 = 0 GROUP BY row""")
+def checkpoint_match(spark, sf):
+    """A checkpoint of a layer for each 64 vectors, stored turned, and a bias, its first vector: matched by name, turned
+    back, a buffer left out. A matrix is a row's array here, so only small ones; checkpoint_tiles has any size."""
+    placed = _rows_of(spark, sf).select(F.floor(F.col("row") / 64).alias("layer"), "row", "values")
+    named = lambda kind: F.format_string("transformer.h.%d.mlp.c_fc." + kind, "layer").alias("name")
+    whole = placed.groupBy("layer").agg(F.array_sort(F.collect_list(F.struct("row", "values"))).alias("rows"))
+    values = F.col("rows.values")
+    weights = whole.select(named("weight"), F.array(F.size("rows"), F.lit(64)).alias("shape"), F.flatten(values).alias("values"))
+    biases = whole.select(named("bias"), F.array(F.lit(64)).alias("shape"), values[0].alias("values"))
+    buffers = spark.createDataFrame([(f"transformer.h.0{b}", [1], [0.0]) for b in model.BUFFERS], "name string, shape array<int>, values array<double>")
+    path = fresh_path(spark, "checkpoint")
+    weights.unionByName(biases).unionByName(buffers).write.parquet(path)
+    sizes = placed.groupBy("layer").agg(F.count("*").cast("int").alias("n"))
+    own = sizes.select(named("weight"), F.array(F.lit(64), F.col("n")).alias("shape")).unionByName(sizes.select(named("bias"), F.array(F.lit(64)).alias("shape")))
+    found = model.match_checkpoint(own, sources.read_weights(spark, path))
+    weighted = K.total(F.transform("values", lambda v, i: v * (i + 1)))
+    return found.select("name", F.array_join(F.col("shape").cast("array<string>"), ",").alias("shape"), F.round(weighted, 4).alias("weighted"), F.size("values").cast("long").alias("n"))
+
+
 @_C.add(f"SELECT i::BIGINT AS row, round(sum(v * (j + 1)), 4) AS weighted, round(max(v), 5) AS largest FROM ({_GRAM}) GROUP BY i")
 def tile_product(spark, sf):
     """The matrix of all vectors, turned, times itself: tiles meet by blocks of vectors, whose partial products are summed."""
@@ -285,10 +294,12 @@ _U = f"('0x' || substr(md5('{42}:' || name || ':' || {{k}} || ':' || row || ':'
 
 
 @_C.add(f"""WITH d AS (SELECT name, row, scale * sqrt(-2 * ln(1 - {_U.format(k=0)})) * cos(2 * pi() * {_U.format(k=1)}) AS v
- FROM (VALUES ('wte', 0.02::DOUBLE), ('c_proj', 0.02 / sqrt(24))) n(name, scale), range(64) r(row), range(16) c(j))
+ FROM (VALUES ('wte', 0.02::DOUBLE), ('c_proj', 0.02 / sqrt(24))) n(name, scale), (SELECT vec_id AS row FROM embeddings), range(16) c(j))
  SELECT name, row, round(sum(v), 6) AS total, round(sqrt(sum(v * v) / 16), 6) AS spread FROM d GROUP BY name, row""")
 def normal_init(spark, sf):
-    rows = sampling.normal_weights(spark, "wte", (64, 16)).unionByName(sampling.normal_weights(spark, "c_proj", (64, 16), layers=12))
+    """First weights of width 16 for every vector's token, as an embedding and as a residual projection."""
+    tokens = table(spark, sf, "embeddings").select(F.col("vec_id").alias("row"))
+    rows = sampling.normal_weights(tokens, "wte", 16).unionByName(sampling.normal_weights(tokens, "c_proj", 16, layers=12))
     square = F.transform("values", lambda v: v * v)
     return rows.select("name", "row", F.round(K.total(F.col("values")), 6).alias("total"), F.round(F.sqrt(K.total(square) / F.size("values")), 6).alias("spread"))
 
