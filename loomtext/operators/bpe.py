@@ -318,6 +318,7 @@ class Codec:
             return pd.Series([None if x is None else joined(x.tolist()).decode("utf-8", "replace") for x in ids], dtype=object)
 
         self.encode, self.encode_pieces, self.decode_bytes, self.decode = encode, encode_pieces, decode_bytes, decode
+        self.encoded = encoded  # for the tasks of other operators
 
     def encode_text(self, text: Column | str, pattern: str = GPT2_SPLIT) -> Column:
         """A text's ids, piece by piece."""

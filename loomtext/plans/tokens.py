@@ -10,7 +10,7 @@ from loomtext.operators import bpe, packing, tables
 from loomtext.operators.order import with_offset
 from loomtext.operators.pair_store import PairStore, changes
 from loomtext.plans.catalog import Catalog, table
-from loomtext.session import fresh_path, pinned, small_side, spread
+from loomtext.session import fresh_path, pinned, small_batches, small_side, spread
 from loomtext.sources import formats, sinks
 from loomtext.sources import text as sources
 from loomtext.streaming import encode, pack
@@ -456,7 +456,7 @@ LANE = 256
  SELECT lang, lane::BIGINT AS lane, (g // {LENGTH})::BIGINT AS row, sum(id * (g % {LENGTH} + 1))::BIGINT AS x_sum, sum(next_id * (g % {LENGTH} + 1))::BIGINT AS y_sum FROM f WHERE g // {LENGTH} < (n - 1) // {LENGTH} GROUP BY ALL""")
 def pack_stream(spark, sf):
     """All documents as a stream, packed by keyed state; the rows that it wrote."""
-    docs = encode.read_documents(spark, f"{sf}/documents.parquet*").select("lang", F.expr(f"doc_id div {LANE}").alias("lane"), "doc_id", bpe.Codec([]).encode("text").alias("ids"))
-    packed, path = pack.pack_stream(docs, ["lang", "lane"], LENGTH), fresh_path(spark, "packed")
+    docs = encode.read_documents(small_batches(spark), f"{sf}/documents.parquet*").select("lang", F.expr(f"doc_id div {LANE}").alias("lane"), "doc_id", "text")
+    packed, path = pack.pack_stream(docs, ["lang", "lane"], LENGTH, bpe.Codec([])), fresh_path(spark, "packed")
     pack.write_rows(packed, path, fresh_path(spark, "progress")).awaitTermination()
     return spark.read.schema(packed.schema).parquet(path).select("lang", "lane", "row", _weigh("x").alias("x_sum"), _weigh("y").alias("y_sum"))

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from loomtext.operators import bpe
 from loomtext.operators.pair_store import PairStore, changes
 from loomtext.sources import formats
 from loomtext.sources import text as sources
@@ -101,6 +102,16 @@ def test_packing_goes_on_after_a_restart(spark, tmp_path):
     assert len(rows) == len(expected) and {(r["lang"], r["row"]): (r["x"], r["y"]) for r in rows} == expected
 
 
+def test_texts_are_packed_as_their_ids(spark, tmp_path):
+    feed, codec = str(tmp_path / "feed"), bpe.Codec([(97, 97, 256)])
+    rows = [("en", 2, "aaab"), ("en", 1, "é"), ("en", 1, None), (None, None, "xyz"), ("en", 3, "")]
+    spark.createDataFrame(rows, "lang string, doc_id long, text string").coalesce(1).write.parquet(feed)
+    packed = pack.pack_stream(spark.readStream.schema("lang string, doc_id long, text string").parquet(feed), ["lang"], 2, codec)
+    pack.write_rows(packed, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    found = {tuple(r) for r in spark.read.schema(packed.schema).parquet(str(tmp_path / "out")).selectExpr("lang", "row", "string(x)", "string(y)").collect()}
+    assert found == {("en", 0, "[195, 169]", "[169, 256]"), ("en", 1, "[256, 97]", "[97, 98]"), (None, 0, "[120, 121]", "[121, 122]")}
+
+
 def test_rank_files_by_format(spark, tmp_path):
     formats.register(spark)
     words = [(i, bytearray(f"word {i} é".encode() * (i % 5 + 1))) for i in range(500)] + [(500, bytearray(b"\x00\xff"))]
