@@ -15,8 +15,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from loomtext.operators.bpe import Codec
 from loomtext.operators.pair_store import PairStore
 
-#: Rows of a block that a task hands on.
-ROWS = 1_024
+#: About the tokens of a block that a task hands on: an Arrow batch holds a session's number of them at once.
+BLOCK = 1 << 12
 
 
 def pack_stream(docs: DataFrame, keys: list[str], t: int, codec: Codec | None = None) -> DataFrame:
@@ -45,8 +45,9 @@ def pack_stream(docs: DataFrame, keys: list[str], t: int, codec: Codec | None =
         ids = np.concatenate([np.frombuffer(rest, "<i4"), *(d[3] for d in arrived)])
         n = max(0, len(ids) - 1) // t
         state.update((row + n, ids[n * t :].astype("<i4").tobytes()))
-        starts = range(0, n, ROWS)
-        found = pd.DataFrame({"first": [row + i for i in starts], "ids": pd.Series([ids[i * t : min(n, i + ROWS) * t + 1] for i in starts], dtype=object)})
+        size = max(1, BLOCK // t)
+        starts = range(0, n, size)
+        found = pd.DataFrame({"first": [row + i for i in starts], "ids": pd.Series([ids[i * t : min(n, i + size) * t + 1] for i in starts], dtype=object)})
         for name, value in zip(reversed(keys), reversed(key)):
             found.insert(0, name, pd.Series([value] * len(found), dtype=object))
         yield found
@@ -54,7 +55,7 @@ def pack_stream(docs: DataFrame, keys: list[str], t: int, codec: Codec | None =
     out = T.StructType([docs.schema[k] for k in keys]).add("first", T.LongType()).add("ids", T.ArrayType(T.IntegerType()))
     rows = docs.select(*keys, F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col(given).cast("array<int>" if codec is None else "string").alias(given))
     blocks = rows.groupBy(*keys).applyInPandasWithState(grow, out, "row long, rest binary", "append", GroupStateTimeout.NoTimeout)
-    # A block is up to ROWS rows and the token after them; the rows are cut here, not in Python.
+    # A block is some rows and the token after them; the rows are cut here, not in Python.
     at = lambda i, shift: F.slice("ids", i * t + 1 + shift, t)
     cut = F.transform(F.sequence(F.lit(0), F.expr(f"int((size(ids) - 1) div {t}) - 1")), lambda i: F.struct((F.col("first") + i).alias("row"), at(i, 0).alias("x"), at(i, 1).alias("y")))
     return blocks.select(*keys, F.explode(cut).alias("r")).select(*keys, "r.*")
