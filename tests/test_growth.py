@@ -77,3 +77,24 @@ def test_workers_get_small_batches(spark, tmp_path):
     finally:
         for key, value in zip(keys, held):
             spark.conf.set(key, value)
+
+
+def test_windows_are_cut_in_the_tasks(spark):
+    """Windows of a document never become rows, and scores too large for a bare exponential are shifted."""
+    from loomtext.operators import model
+    from loomtext.plans.kernels import TINY, score_windows
+
+    draw = random.Random(3)
+    texts = {n: [draw.randrange(256) for _ in range(n)] for n in (0, 1, 2, 65, 200, 1_000)}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, ids array<int>")
+    for scale in (1, 30):
+        weights = {k: v * np.float32(scale) if k.endswith("wte.weight") else v for k, v in model.random_weights(TINY).items()}
+        scored = score_windows(rows, weights)
+        assert "Generate" not in scored._jdf.queryExecution().toString()
+        for r in scored.collect():
+            ids, found = texts[r["doc_id"]], []
+            for start in range(0, len(ids) - 1, TINY.block_size):
+                x, y = ids[start : start + TINY.block_size], ids[start + 1 : start + TINY.block_size + 1]
+                z = model.logits(TINY, weights, np.array([x[: len(y)]]))[0].astype(float)
+                found += [z[i].max() + np.log(np.exp(z[i] - z[i].max()).sum()) - z[i][t] for i, t in enumerate(y)]
+            assert r["tokens"] == len(ids) and r["loss"] == (pytest.approx(np.mean(found), rel=1e-5) if found else None)
