@@ -98,3 +98,36 @@ def test_windows_are_cut_in_the_tasks(spark):
                 z = model.logits(TINY, weights, np.array([x[: len(y)]]))[0].astype(float)
                 found += [z[i].max() + np.log(np.exp(z[i] - z[i].max()).sum()) - z[i][t] for i, t in enumerate(y)]
             assert r["tokens"] == len(ids) and r["loss"] == (pytest.approx(np.mean(found), rel=1e-5) if found else None)
+
+
+def test_training_guesses_its_pairs(spark, monkeypatch):
+    """No round starts with far more pairs than the merges wanted or the run ids allow, so none is thrown away."""
+    from loomtext.operators import bpe
+
+    draw, asked = random.Random(8), []
+    docs = spark.createDataFrame([(i, "".join(draw.choice("abcdefghijklmnop ") for _ in range(400))) for i in range(50)], "doc_id long, text string")
+    plain = bpe.train_stream(docs, 40)
+    runs_of = bpe.runs_of
+    monkeypatch.setattr(bpe, "runs_of", lambda rows, pairs: asked.append(len(pairs)) or runs_of(rows, pairs))
+    assert bpe.train_stream(docs, 3) == plain[:3] and max(asked) <= 24
+    asked.clear()
+    assert bpe.train_stream(docs, 40, run_ids=3_000) == plain
+    assert asked[0] <= 64
+
+
+def test_pairs_are_summed_with_their_first_places():
+    draw = np.random.default_rng(2)
+    for ordered in (True, False):
+        for weighted in (True, False):
+            lengths = draw.integers(0, 9, 40)
+            ids, bounds = draw.integers(0, 5, lengths.sum()), M.bounds_of(lengths)
+            weights = draw.integers(1, 4, 40) if weighted else np.ones(40, np.int64)
+            places = np.arange(40) << 32 if ordered else draw.permutation(40).astype(np.int64) << 32
+            sums, firsts = {}, {}
+            for i in range(40):
+                text = ids[bounds[i] : bounds[i + 1]].tolist()
+                for pos, (a, b) in enumerate(zip(text, text[1:])):
+                    sums[a << 32 | b] = sums.get(a << 32 | b, 0) + int(weights[i])
+                    firsts[a << 32 | b] = min(firsts.get(a << 32 | b, 1 << 62), int(places[i]) + pos)
+            code, n, least = M.sum_pairs(ids, bounds, weights, places)
+            assert dict(zip(code.tolist(), n.tolist())) == sums and dict(zip(code.tolist(), least.tolist())) == firsts
