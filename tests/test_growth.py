@@ -131,3 +131,20 @@ def test_pairs_are_summed_with_their_first_places():
                     firsts[a << 32 | b] = min(firsts.get(a << 32 | b, 1 << 62), int(places[i]) + pos)
             code, n, least = M.sum_pairs(ids, bounds, weights, places)
             assert dict(zip(code.tolist(), n.tolist())) == sums and dict(zip(code.tolist(), least.tolist())) == firsts
+
+
+def test_tokens_in_order_are_shuffled_as_stretches(spark):
+    """What is shuffled for a document follows its batches, not its tokens; tokens in any order come out in theirs."""
+    from pyspark.sql import functions as F
+
+    from loomtext.operators import bpe
+
+    texts = {1: b"a long text " * 500, 2: b"", 3: bytes(range(256)), None: b"x"}
+    rows = [(k, i, b) for k, t in texts.items() for i, b in enumerate(t)]
+    tokens = spark.createDataFrame(rows, "doc_id long, pos int, id int").coalesce(1)
+    packed = tokens.select("doc_id", "pos", F.unhex(F.lpad(F.hex("id"), 2, "0")).alias("bytes")).mapInArrow(bpe._laid_end_to_end, "doc_id long, pos int, bytes binary")
+    assert sorted((r["doc_id"] or 0, r["pos"], bytes(r["bytes"])) for r in packed.collect()) == [(0, 0, b"x"), (1, 0, texts[1]), (3, 0, texts[3])]
+    docs = spark.createDataFrame([(1, True), (2, True), (3, True)], "doc_id long, encoded boolean")
+    for some in (tokens, tokens.orderBy(F.rand(1)), tokens.repartition(5, "pos")):
+        found = {r["doc_id"]: bytes(r["bytes"]) for r in bpe.decode_join(some, bpe.vocabulary(spark, []), docs).collect()}
+        assert found == {k: texts[k] for k in (1, 2, 3)}
