@@ -148,3 +148,19 @@ def test_tokens_in_order_are_shuffled_as_stretches(spark):
     for some in (tokens, tokens.orderBy(F.rand(1)), tokens.repartition(5, "pos")):
         found = {r["doc_id"]: bytes(r["bytes"]) for r in bpe.decode_join(some, bpe.vocabulary(spark, []), docs).collect()}
         assert found == {k: texts[k] for k in (1, 2, 3)}
+
+
+def test_pieces_are_encoded_once(spark):
+    """Ids and what they decode to come from one encoding; null and empty texts, pieces and arrays stay apart."""
+    from pyspark.sql import functions as F
+
+    from loomtext.operators import bpe
+
+    codec = bpe.Codec([(97, 98, 256), (256, 99, 257)], whole={b"xyz": 300})
+    rows = [(1, ["abc", "ab", "abc"]), (2, []), (3, None), (4, ["xyz", None, "", "zü"]), (5, ["c"])]
+    docs = spark.createDataFrame(rows, "id int, pieces array<string>").coalesce(1)
+    ids = docs.select("id", codec.encode_pieces("pieces").alias("ids"))
+    found = {r["id"]: (r["ids"], r["back"]) for r in ids.select("id", "ids", codec.decode("ids").alias("back")).collect()}
+    assert found == {1: ([257, 256, 257], "abcababc"), 2: ([], ""), 3: (None, None), 4: ([300, 122, 195, 188], "xyzzü"), 5: ([99], "c")}
+    plan = ids.select("id", F.size("ids"), codec.decode("ids"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("encode_pieces(") == 1
