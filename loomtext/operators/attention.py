@@ -58,9 +58,13 @@ def likeliest(states: DataFrame, tokens: DataFrame, *, state_block: int = 4_096,
         if not len(states) or not len(tokens):
             return pd.DataFrame({"vec_id": [], "token": [], "logit": []})
         tokens = tokens.sort_values("token", ignore_index=True)
-        score = np.stack(states["x"].to_list()) @ np.stack(tokens["x"].to_list()).T
-        at = score.argmax(axis=1)
-        return pd.DataFrame({"vec_id": states["vec_id"], "token": tokens["token"].to_numpy()[at], "logit": score[np.arange(len(at)), at]})
+        x, y = np.stack(states["x"].to_list()), np.stack(tokens["x"].to_list()).T
+        at, logit = np.zeros(len(x), np.int64), np.zeros(len(x))
+        for start in range(0, len(x), BLOCK):  # a task holds the scores of a stretch of its states
+            score = x[start : start + BLOCK] @ y
+            at[start : start + BLOCK] = top = score.argmax(axis=1)
+            logit[start : start + BLOCK] = score[np.arange(len(top)), top]
+        return pd.DataFrame({"vec_id": states["vec_id"], "token": tokens["token"].to_numpy()[at], "logit": logit})
 
     found = left.groupBy("s", "t").cogroup(right.groupBy("s", "t")).applyInPandas(best, "vec_id long, token long, logit double")
     top = F.max(F.struct("logit", (-F.col("token")).alias("token"))).alias("top")

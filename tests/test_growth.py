@@ -164,3 +164,13 @@ def test_pieces_are_encoded_once(spark):
     assert found == {1: ([257, 256, 257], "abcababc"), 2: ([], ""), 3: (None, None), 4: ([300, 122, 195, 188], "xyzzü"), 5: ([99], "c")}
     plan = ids.select("id", F.size("ids"), codec.decode("ids"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("encode_pieces(") == 1
+
+
+def test_states_are_scored_in_stretches(spark, monkeypatch):
+    from loomtext.operators import attention
+
+    monkeypatch.setattr(attention, "BLOCK", 3)  # no block of states is a multiple of it
+    x = np.random.default_rng(5).normal(size=(40, 4))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, x array<double>")
+    found = attention.likeliest(rows, rows.withColumnRenamed("vec_id", "token"), state_block=20, token_block=17).collect()
+    assert {r["vec_id"]: r["token"] for r in found} == dict(enumerate((x @ x.T).argmax(axis=1).tolist())) and len(found) == 40
