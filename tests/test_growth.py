@@ -174,3 +174,19 @@ def test_states_are_scored_in_stretches(spark, monkeypatch):
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, x array<double>")
     found = attention.likeliest(rows, rows.withColumnRenamed("vec_id", "token"), state_block=20, token_block=17).collect()
     assert {r["vec_id"]: r["token"] for r in found} == dict(enumerate((x @ x.T).argmax(axis=1).tolist())) and len(found) == 40
+
+
+def test_streamed_rows_are_cut_outside_lambdas(spark, tmp_path):
+    """A slice in a lambda copies the whole block for every row; blocks are numbered out instead, and cut once a row."""
+    from loomtext.operators import bpe
+    from loomtext.streaming import pack
+
+    feed, schema = str(tmp_path / "feed"), "lang string, doc_id long, text string"
+    text = "".join(chr(97 + i % 26) for i in range(3 * pack.BLOCK + 5))
+    spark.createDataFrame([("en", 1, text)], schema).write.parquet(feed)
+    packed = pack.pack_stream(spark.readStream.schema(schema).parquet(feed), ["lang"], 8, bpe.Codec([]))
+    assert "lambdafunction" not in packed._jdf.queryExecution().analyzed().toString()
+    pack.write_rows(packed, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    found = {r["row"]: (bytes(r["x"]), bytes(r["y"])) for r in spark.read.schema(packed.schema).parquet(str(tmp_path / "out")).collect()}
+    raw = text.encode()
+    assert found == {i: (raw[8 * i : 8 * i + 8], raw[8 * i + 1 : 8 * i + 9]) for i in range((len(raw) - 1) // 8)}
