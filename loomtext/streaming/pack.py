@@ -56,7 +56,7 @@ def pack_stream(docs: DataFrame, keys: list[str], t: int, codec: Codec | None =
     rows = docs.select(*keys, F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col(given).cast("array<int>" if codec is None else "string").alias(given))
     blocks = rows.groupBy(*keys).applyInPandasWithState(grow, out, "row long, rest binary", "append", GroupStateTimeout.NoTimeout)
     # A block is some rows and the token after them; the rows are cut here, not in Python.
-    # Its rows' numbers are exploded, not the rows: in a lambda a slice would copy the whole block for every row.
+    # Its rows' numbers are exploded, not the rows: what is in a lambda is interpreted, a slice outside is compiled.
     numbered = blocks.select(*keys, "first", "ids", F.explode(F.sequence(F.lit(0), F.expr(f"int((size(ids) - 1) div {t}) - 1"))).alias("i"))
     at = lambda shift: F.slice("ids", F.col("i") * t + 1 + shift, t)
     return numbered.select(*keys, (F.col("first") + F.col("i")).alias("row"), at(0).alias("x"), at(1).alias("y"))

@@ -177,7 +177,7 @@ def test_states_are_scored_in_stretches(spark, monkeypatch):
 
 
 def test_streamed_rows_are_cut_outside_lambdas(spark, tmp_path):
-    """A slice in a lambda copies the whole block for every row; blocks are numbered out instead, and cut once a row."""
+    """Blocks are numbered out and cut in compiled code, not sliced row by row in a lambda."""
     from loomtext.operators import bpe
     from loomtext.streaming import pack
 
