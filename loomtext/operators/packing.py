@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.functions import bytes as B
@@ -21,6 +21,7 @@ def pack(docs: DataFrame, b: int, t: int, tokens: int | None = None) -> DataFram
 
     A row needs tokens r t .. r t + t. The ids are written once, so what made them ran once. Rows within one document
     are cut where it is; of the at most two rows in which it begins or ends, slices of at most t + 1 tokens are shuffled.
+    A row's tokens are cut out once, and x and y from these.
     The tail that fills no batch is dropped. `tokens` is the stream's length, if it is known.
     """
     held = pinned(docs.select("offset", "ids"), "ids")  # no filter on ids: it would be pushed below joins and compute them twice
@@ -30,7 +31,7 @@ def pack(docs: DataFrame, b: int, t: int, tokens: int | None = None) -> DataFram
     offset, last = F.col("offset"), F.col("offset") + F.size("ids")
     cut = lambda start, end: F.slice("ids", (start - offset + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int"))
     first, end = F.ceil(offset / t), F.least(F.floor((last - 1) / t), F.lit(rows))
-    within = F.transform(F.sequence(first, end - 1), lambda r: F.struct(r.alias("r"), cut(r * t, r * t + t).alias("x"), cut(r * t + 1, r * t + t + 1).alias("y")))
+    within = F.transform(F.sequence(first, end - 1), lambda r: F.struct(r.alias("r"), cut(r * t, r * t + t + 1).alias("w")))
     whole = held.where((F.size("ids") > 0) & (first < end)).select(F.explode(within).alias("e")).select("e.*")  # cut before the explode: a row is one slice
 
     def part(r):
@@ -41,8 +42,12 @@ def pack(docs: DataFrame, b: int, t: int, tokens: int | None = None) -> DataFram
     seam = F.filter(ends, lambda r: (r >= 0) & (r < rows) & ((r * t < offset) | (r * t + t + 1 > last)))
     parts = held.where(F.size("ids") > 0).select(F.explode(F.transform(seam, part)).alias("e")).select("e.*")
     joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "part"))), lambda e: e["part"]))
-    seams = parts.groupBy("r").agg(joined.alias("w")).where(F.size("w") == t + 1).select("r", F.slice("w", 1, t).alias("x"), F.slice("w", 2, t).alias("y"))
-    return whole.unionByName(seams).select(F.floor(F.col("r") / b).cast("long").alias("batch"), (F.col("r") % b).cast("int").alias("row"), "x", "y")
+    seams = parts.groupBy("r").agg(joined.alias("w")).where(F.size("w") == t + 1)
+    return whole.unionByName(seams).select(F.floor(F.col("r") / b).cast("long").alias("batch"), (F.col("r") % b).cast("int").alias("row"), F.slice("w", 1, t).alias("x"), F.slice("w", 2, t).alias("y"))
+
+
+#: Tokens that a task of BatchStore.write sorts and writes.
+TASK_TOKENS = 1 << 22
 
 
 class BatchStore:
@@ -50,6 +55,8 @@ class BatchStore:
 
     Rows lie in folders by `span`, a stretch of batches, so a step's filter leaves one folder, and within it sorted
     by batch, so that Parquet's statistics leave few row groups. A step is all that a reader must remember to go on.
+    A row is kept as x and the last of y, as y is x shifted by one token. Batches are numbered without gaps, so rows
+    are dealt to tasks by number: what packs them runs once, without a look at their distribution.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -59,32 +66,37 @@ class BatchStore:
 
     @classmethod
     def write(cls, packed: DataFrame, path: str, batches: int, b: int, t: int, *, span_tokens: int = 1 << 24) -> BatchStore:
-        span = max(1, span_tokens // (b * t))
+        span, stretch = max(1, span_tokens // (b * t)), max(1, TASK_TOKENS // (b * t))
         spark = packed.sparkSession
-        placed = packed.withColumn("span", F.floor(F.col("batch") / span)).repartitionByRange("batch").sortWithinPartitions("batch", "row")
-        placed.write.partitionBy("span").parquet(f"{path}/rows")
+        kept = packed.select("batch", "row", "x", F.element_at("y", -1).alias("next"), F.floor(F.col("batch") / span).alias("span"))
+        dealt = kept.repartitionById(max(1, -(-batches // stretch)), F.floor(F.col("batch") / stretch).cast("int"))
+        dealt.sortWithinPartitions("span", "batch", "row").write.partitionBy("span").parquet(f"{path}/rows")  # by span first: else the writer sorts by it alone
         spark.range(1).select(F.lit(batches).cast("long").alias("batches"), F.lit(b).alias("rows"), F.lit(span).cast("long").alias("span")).write.parquet(f"{path}/about")
         return cls(spark, path)
 
     def _rows(self) -> DataFrame:
-        return self.spark.read.schema("batch long, row int, x array<int>, y array<int>, span long").parquet(f"{self.path}/rows")
+        kept = self.spark.read.schema("batch long, row int, x array<int>, next int, span long").parquet(f"{self.path}/rows")
+        return kept.withColumn("y", F.concat(F.slice("x", F.lit(2), F.size("x") - 1), F.array("next")))
 
     def at(self, step: int) -> DataFrame:
         """(row, x, y) of a step's batch; no rows if there are no batches."""
         batch = step % max(1, self.batches)
         return self._rows().where((F.col("span") == batch // self.span) & (F.col("batch") == batch)).select("row", "x", "y")
 
-    def between(self, first: int, last: int) -> DataFrame:
-        """(step, row, x, y) for the steps from first until last. No join: a row knows in which of them it is."""
+    def between(self, first: int, last: int, *columns: Column) -> DataFrame:
+        """(step, row, x, y) for the steps from first until last. No join: a row knows in which of them it is.
+
+        `columns`, if given, come in place of x and y; they are computed once for a row, however many its steps are.
+        """
         n = max(1, self.batches)
         rows = self._rows()
         if last - first < n:  # part of an epoch, which may go round its end
             low, high = first % n, (last - 1) % n
             inside = lambda c, a, z: F.col(c).between(a, z) if low <= high else (F.col(c) >= a) | (F.col(c) <= z)
             rows = rows.where(F.lit(last > first) & inside("span", low // self.span, high // self.span) & inside("batch", low, high))
-        round_ = F.ceil((F.lit(first) - F.col("batch")) / n).cast("long")
-        steps = F.filter(F.sequence(F.col("batch") + round_ * n, F.col("batch") + F.greatest(round_, F.floor((F.lit(last - 1) - F.col("batch")) / n).cast("long")) * n, F.lit(n).cast("long")), lambda s: (s >= first) & (s < last))
-        return rows.select(F.explode(steps).alias("step"), "row", "x", "y")
+        begin = F.lit(first) + F.pmod(F.col("batch") - first, F.lit(n))  # the first of the row's steps
+        steps = F.when(begin < last, F.sequence(begin, F.lit(last - 1).cast("long"), F.lit(n).cast("long")))
+        return rows.select("row", *(columns or ("x", "y")), steps.alias("steps")).select(F.explode("steps").alias("step"), F.col("*")).drop("steps")
 
     def after(self, step: int, count: int) -> DataFrame:
         """(step, row, x, y) of the `count` steps that follow `step`, where a reader stopped; -1 begins."""

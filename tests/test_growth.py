@@ -190,3 +190,35 @@ def test_streamed_rows_are_cut_outside_lambdas(spark, tmp_path):
     found = {r["row"]: (bytes(r["x"]), bytes(r["y"])) for r in spark.read.schema(packed.schema).parquet(str(tmp_path / "out")).collect()}
     raw = text.encode()
     assert found == {i: (raw[8 * i : 8 * i + 8], raw[8 * i + 1 : 8 * i + 9]) for i in range((len(raw) - 1) // 8)}
+
+
+def test_a_batch_store_computes_each_row_once(spark, tmp_path):
+    """Rows are packed once for the store, kept once in the order of batches, and weighed once however many steps they are in."""
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from loomtext.operators import packing
+
+    packed_rows, weighed_rows = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counted(rows):
+        def passed(v):
+            rows.add(1)
+            return v
+
+        return F.udf(passed, "int").asNondeterministic()
+
+    b, t, n = 2, 4, 60
+    ids = list(range(n * b * t + 1))
+    rows = [(i // b, i % b, ids[i * t : i * t + t], ids[i * t + 1 : i * t + t + 1]) for i in range(n * b)]
+    random.Random(4).shuffle(rows)
+    packed = spark.createDataFrame(rows, "batch long, row int, x array<int>, y array<int>").repartition(3)
+    store = packing.BatchStore.write(packed.withColumn("row", counted(packed_rows)("row")), str(tmp_path / "store"), n, b, t, span_tokens=b * t * 20)
+    assert packed_rows.value == len(rows)
+    files = list((tmp_path / "store" / "rows").glob("span=*/*.parquet"))
+    places = [[(r["batch"], r["row"]) for r in pq.ParquetFile(f).read(columns=["batch", "row"]).to_pylist()] for f in files]
+    assert all(p == sorted(p) for p in places) and sorted(sum(places, [])) == [(i // b, i % b) for i in range(n * b)]
+    assert {c for f in files for c in pq.ParquetFile(f).schema_arrow.names} == {"batch", "row", "x", "next"}
+    found = store.between(3, 3 + 4 * n, counted(weighed_rows)(F.element_at("y", -1)).alias("end")).collect()
+    assert weighed_rows.value == len(rows)
+    assert sorted(tuple(r) for r in found) == [(s, r, ids[(s % n) * b * t + r * t + t]) for s in range(3, 3 + 4 * n) for r in range(b)]
