@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions import kernels as K
+from loomtext.session import ARROW_BYTES, pinned, small_batches
 
-BLOCK = 512
+BLOCK, TOKENS = 512, 1_024
 
 
 def causal(rows: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -45,27 +48,60 @@ def causal(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     return sums.select("vec_id", "keys", K.bind(weight, lambda w: F.transform(value, lambda v: v / w)).alias("mixed"))
 
 
-def likeliest(states: DataFrame, tokens: DataFrame, *, state_block: int = 4_096, token_block: int = 4_096) -> DataFrame:
+def _packed(rows: DataFrame, size: int) -> DataFrame:
+    """(ids, vectors) of rows (id, x): blocks of at most `size` rows of a task, each one row of two byte strings."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def block() -> pd.DataFrame:
+            some = pd.concat(held, ignore_index=True).sort_values("id", ignore_index=True)
+            held.clear()
+            return pd.DataFrame({"ids": [some["id"].to_numpy(np.int64).tobytes()], "vectors": [np.stack(some["x"].to_list()).astype(np.float64).tobytes()]})
+
+        for batch in batches:
+            while len(batch):
+                room = size - sum(map(len, held))
+                held.append(batch[:room])
+                batch = batch[room:]
+                if len(held[-1]) == room:
+                    yield block()
+        if held:
+            yield block()
+
+    return rows.mapInPandas(pack, "ids binary, vectors binary")
+
+
+def likeliest(states: DataFrame, tokens: DataFrame, *, state_block: int = 4_096, token_block: int = 32_768) -> DataFrame:
     """(vec_id, token, logit): for each state (vec_id, x) the token (token, x) of the largest dot product; of equals in a block the least.
 
-    States and tokens are dealt into blocks by hash; a task multiplies one block of each and keeps a state's best.
+    Rows are dealt into blocks, and a block is one row. Tasks read a block of states and some of tokens where they
+    were written, so each vector is shuffled once, however many blocks there are; a state's best of each block of
+    tokens is shuffled too. Products are made in stretches of BLOCK states and TOKENS tokens.
     """
+    small_batches(states.sparkSession, size=ARROW_BYTES)
+    rows, columns = BLOCK, TOKENS
     s, t = (max(1, -(-df.count() // n)) for df, n in ((states, state_block), (tokens, token_block)))
-    left = states.select("vec_id", "x", F.pmod(F.xxhash64("vec_id"), F.lit(s)).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(t - 1))).alias("t"))
-    right = tokens.select("token", "x", F.pmod(F.xxhash64("token"), F.lit(t)).cast("int").alias("t"), F.explode(F.expr(f"sequence(0L, {s - 1}L)")).alias("s"))
-
-    def best(states: pd.DataFrame, tokens: pd.DataFrame) -> pd.DataFrame:
-        if not len(states) or not len(tokens):
-            return pd.DataFrame({"vec_id": [], "token": [], "logit": []})
-        tokens = tokens.sort_values("token", ignore_index=True)
-        x, y = np.stack(states["x"].to_list()), np.stack(tokens["x"].to_list()).T
-        at, logit = np.zeros(len(x), np.int64), np.zeros(len(x))
-        for start in range(0, len(x), BLOCK):  # a task holds the scores of a stretch of its states
-            score = x[start : start + BLOCK] @ y
-            at[start : start + BLOCK] = top = score.argmax(axis=1)
-            logit[start : start + BLOCK] = score[np.arange(len(top)), top]
-        return pd.DataFrame({"vec_id": states["vec_id"], "token": tokens["token"].to_numpy()[at], "logit": logit})
-
-    found = left.groupBy("s", "t").cogroup(right.groupBy("s", "t")).applyInPandas(best, "vec_id long, token long, logit double")
+    asks = _packed(states.select(F.col("vec_id").cast("long").alias("id"), "x").repartition(s), state_block)
+    table = pinned(_packed(tokens.select(F.col("token").cast("long").alias("id"), "x").repartition(t), token_block), "tokens")
+    pairs = asks.crossJoin(table.select(F.col("ids").alias("tokens"), F.col("vectors").alias("weights")))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for ids, vectors, tokens, weights in batch.itertuples(index=False):
+                ids, tokens = np.frombuffer(ids, np.int64), np.frombuffer(tokens, np.int64)
+                x, y = np.frombuffer(vectors).reshape(len(ids), -1), np.frombuffer(weights).reshape(len(tokens), -1)
+                at, logit = np.zeros(len(x), np.int64), np.zeros(len(x))
+                for i in range(0, len(x), rows):
+                    for j in range(0, len(y), columns):
+                        score = x[i : i + rows] @ y[j : j + columns].T
+                        top = score.argmax(axis=1)
+                        found, own = score[np.arange(len(top)), top], slice(i, i + len(top))
+                        # NaN is above all, as in Spark's order; of equals the first stays.
+                        over = ~(found <= logit[own]) & ~np.isnan(logit[own]) if j else np.ones(len(top), bool)
+                        at[own], logit[own] = np.where(over, top + j, at[own]), np.where(over, found, logit[own])
+                yield pd.DataFrame({"vec_id": ids, "token": tokens[at], "logit": logit})
+
+    found = pairs.mapInPandas(best, "vec_id long, token long, logit double")
     top = F.max(F.struct("logit", (-F.col("token")).alias("token"))).alias("top")
     return found.groupBy("vec_id").agg(top).select("vec_id", (-F.col("top.token")).alias("token"), F.col("top.logit").alias("logit"))

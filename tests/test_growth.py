@@ -176,6 +176,22 @@ def test_states_are_scored_in_stretches(spark, monkeypatch):
     assert {r["vec_id"]: r["token"] for r in found} == dict(enumerate((x @ x.T).argmax(axis=1).tolist())) and len(found) == 40
 
 
+def test_vectors_are_shuffled_once(spark, monkeypatch):
+    """However many blocks there are, no vector is repeated in a shuffle; the best of all stretches of all blocks is found."""
+    from loomtext.operators import attention
+
+    monkeypatch.setattr(attention, "BLOCK", 4)
+    monkeypatch.setattr(attention, "TOKENS", 3)
+    x = np.random.default_rng(6).integers(-9, 10, (60, 4)).astype(float)
+    x[40:50] = x[20:30]  # ties within blocks and across
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, x array<double>").repartition(3)
+    for state_block, token_block in ((10, 7), (100, 100)):
+        found = attention.likeliest(rows, rows.withColumnRenamed("vec_id", "token"), state_block=state_block, token_block=token_block)
+        assert "Generate" not in found._jdf.queryExecution().analyzed().toString()
+        best = {r["vec_id"]: (r["token"], r["logit"]) for r in found.collect()}
+        assert best == {i: (int((x @ v).argmax()), float((x @ v).max())) for i, v in enumerate(x)}
+
+
 def test_streamed_rows_are_cut_outside_lambdas(spark, tmp_path):
     """Blocks are numbered out and cut in compiled code, not sliced row by row in a lambda."""
     from loomtext.operators import bpe
