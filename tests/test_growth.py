@@ -133,6 +133,74 @@ def test_pairs_are_summed_with_their_first_places():
             assert dict(zip(code.tolist(), n.tolist())) == sums and dict(zip(code.tolist(), least.tolist())) == firsts
 
 
+def test_tasks_send_sums_of_all_they_read(spark, monkeypatch):
+    """Pairs leave a task once, whatever it reads, and rare ones not at all; merges stay those of a full count."""
+    from pyspark.sql import functions as F
+
+    from loomtext.operators import bpe
+
+    draw = random.Random(9)
+    docs = spark.createDataFrame([(i, "".join(draw.choice("aaabbcde ") for _ in range(60))) for i in range(300)], "doc_id long, text string").repartition(3)
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plain = bpe.train_stream(docs, 60)
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+        kept = bpe.rewritten(bpe.encoded_rows(docs), [(97, 98, 256)], 40).localCheckpoint()
+        assert kept.where("pairs IS NOT NULL").count() == 3 and kept.where("ids IS NOT NULL").count() == 300
+        exact = {(r["a"], r["b"]): r["cnt"] for r in bpe.pair_sums(kept.where("ids IS NOT NULL")).collect()}
+        best, missed = bpe.heaviest(kept, 1_000, 40)
+        found = {(a, b): n for a, b, n in best}
+        assert missed == 120 and len(found) < len(exact) and all(found.get(p, 0) <= n <= found.get(p, 0) + missed for p, n in exact.items())
+        for part in (1, 4):  # so much is left out that rounds count anew
+            monkeypatch.setattr(bpe, "MISSED", part)
+            assert bpe.train_stream(docs, 60, hot=5) == plain
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+
+
+def test_repeated_runs_are_merged_and_summed_once():
+    draw = np.random.default_rng(7)
+    for trial in range(200):
+        merges, known = [], [*range(draw.integers(1, 6))]
+        for new in range(10, 10 + draw.integers(1, 12)):
+            merges.append((int(draw.choice(known)), int(draw.choice(known)), new))
+            known.append(new)
+        merges = [m for i, m in enumerate(merges) if m[:2] not in [x[:2] for x in merges[:i]]]
+        lengths = draw.integers(0, 40, 6)
+        ids, bounds = draw.integers(0, 5 + trial % 20, lengths.sum()), M.bounds_of(lengths)
+        table = M.MergeTable(merges)
+        for x, y in zip(table.encode(ids, bounds), table.encode_repeated(ids, bounds)):
+            assert np.array_equal(x, y)
+        pairs = {m[:2] for m in merges}
+        expected = []
+        for s, e in zip(bounds, bounds[1:]):
+            at = s
+            while at < e:
+                end = at
+                while end + 1 < e and (ids[end], ids[end + 1]) in pairs:
+                    end += 1
+                if end > at:
+                    expected.append((at, end))
+                at = end + 1
+        first, last = M.PairSet(list(pairs)).runs(ids, bounds)
+        assert list(zip(first.tolist(), last.tolist())) == expected
+        weight, place = draw.integers(1, 3 if trial % 2 else 2, len(first)), draw.permutation(len(first))
+        sums = {}
+        for s, e, w, p in zip(first, last, weight, place):
+            known_run = sums.setdefault(ids[s : e + 1].astype(np.uint16).tobytes(), [0, p])
+            known_run[0], known_run[1] = known_run[0] + w, min(known_run[1], p)
+        found = [(r, w, place[i]) for runs, sums_, at in M.distinct_runs(ids.astype(np.uint16), first, last, weight, (place,)) for r, w, i in zip(runs, sums_, at)]
+        assert len(found) == len(sums) and {r: [w, p] for r, w, p in found} == sums
+        counts, weights = {}, draw.integers(1, 4, 6)
+        for k, (s, e) in enumerate(zip(bounds, bounds[1:])):
+            for a, b in zip(ids[s:e], ids[s + 1 : e]):
+                counts[a << 16 | b] = counts.get(a << 16 | b, 0) + 2 * weights[k] + 1
+        added = M.PairSums(50)
+        for w in (weights, np.ones(6, np.int64), weights):
+            added.add(ids, bounds, w)
+        assert dict(zip(*(x.tolist() for x in added.result()))) == counts
+
+
 def test_tokens_in_order_are_shuffled_as_stretches(spark):
     """What is shuffled for a document follows its batches, not its tokens; tokens in any order come out in theirs."""
     from pyspark.sql import functions as F
