@@ -100,6 +100,23 @@ def test_windows_are_cut_in_the_tasks(spark):
             assert r["tokens"] == len(ids) and r["loss"] == (pytest.approx(np.mean(found), rel=1e-5) if found else None)
 
 
+def test_the_model_reads_the_bytes_of_texts(spark, tmp_path):
+    """Bytes go to the model as they are: no step makes an array of ids of them first."""
+    from loomtext.operators import model
+    from loomtext.plans import kernels
+
+    texts = {1: "é" * 100, 2: "", 3: None, 4: "x", 5: "word " * 77}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    scored = kernels.model_forward(spark, str(tmp_path))
+    assert "EvalPython" not in scored._jdf.queryExecution().executedPlan().toString()
+    rows = spark.createDataFrame([(k, list((t or "").encode())) for k, t in texts.items()], "doc_id long, ids array<int>")
+    expected = {r["doc_id"]: (r["n"], r["targets"], r["loss"]) for r in model.losses(rows, kernels.TINY, kernels.tiny_weights(spark)).collect()}
+    for r in scored.collect():
+        n, targets, loss = expected[r["doc_id"]]
+        assert n == len((texts[r["doc_id"]] or "").encode()) == r["tokens"] and r["loss"] == (pytest.approx(loss / targets, abs=2e-6) if targets else None)
+    assert scored.count() == len(texts)
+
+
 def test_training_guesses_its_pairs(spark, monkeypatch):
     """No round starts with far more pairs than the merges wanted or the run ids allow, so none is thrown away."""
     from loomtext.operators import bpe
